@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, pii
+from factloom.llm import bpe, common, jaccard, mixing, pii, quality
 
 
-def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    common.bound_batches(spark)
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, k=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data masked."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the shares of their sources' target weights, one row for each pass over a document."""
     return mixing.mixed_texts(docs, seed=10)
 
 
-STAGES = [("personal_data", mask_personal_data), ("mix_sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(docs, outputs=("n_tokens", "ids"), carry=("lang", "source"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix_sources", mix_sources), ("encode", encode)]
 
-#: The stages hash, encode and model text; SQL can't state their rows.
+#: The stages hash, model and encode text; SQL can't state their rows.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,12 @@ different ones collide with a chance of about pairs / 2**64.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so they can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        # The driver serves the file for as long as it runs; executors fetch it from the driver.
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, True)
+        path = f"{folder}/{root.name}_package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches to Python stay small in bytes as well as in rows, so long texts don't add up."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

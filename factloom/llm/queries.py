@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_bpe
+from .jaccard import op8_jaccard
 from .mixing import op10_mixing
 from .pii import op2_pii
+from .quality import op6_quality
 from .sharding import op9_sharding
+from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
+    "op3_bpe": op3_bpe,
+    "op6_quality": op6_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
