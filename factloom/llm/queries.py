@@ -11,6 +11,7 @@ from .jaccard import op8_jaccard
 from .mixing import op10_mixing
 from .pii import op2_pii
 from .quality import op6_quality
+from .repeats import op7_repeats
 from .sharding import op9_sharding
 from .token_counts import op1_token_counts
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
