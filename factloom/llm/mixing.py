@@ -99,7 +99,7 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id"
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
     rows, sources = place(docs, [F.col("doc_id"), F.col("size")])
     times = slots(sources, block, seed).groupBy("nosrc", "src", "index").agg(F.count(F.lit(1)).alias("times"))
-    found = pieces(rows.withColumn("row", F.when(F.col("size") == 0, F.monotonically_increasing_id())), block).join(times, ["nosrc", "src", "index"], "left")
+    found = pieces(rows.withColumn("row", F.when(F.col("size") == 0, F.monotonically_increasing_id())), block).join(times.hint("merge"), ["nosrc", "src", "index"], "left")
     out = found.groupBy("nosrc", "src", "start", "row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
 
@@ -115,7 +115,7 @@ def mixed_texts(df: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     docs = docs.withColumn("mark", F.xxhash64("text"))
     rows, sources = place(docs.select("doc_id", "src", "size", "mark").where("size > 0"), [F.col("doc_id"), F.col("size"), F.col("mark")])
     times = slots(sources, block, seed).groupBy("nosrc", "src", "index").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    found = pieces(rows, block).join(times, ["nosrc", "src", "index"])
+    found = pieces(rows, block).join(times.hint("merge"), ["nosrc", "src", "index"])
     taken = found.groupBy("doc_id", "size", "mark", "nosrc", "src", "start").agg(F.max("times").alias("most"), F.sort_array(F.collect_list(F.struct("lo", "n", "times"))).alias("parts"))
     taken = taken.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "size", "mark", "nosrc", "src").orderBy("start")))
     docs = docs.withColumn("nosrc", F.col("src").isNull()).withColumn("src", F.coalesce("src", F.lit("")))
