@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard
+from .katz import op5_katz
 from .mixing import op10_mixing
+from .neighbours import op4_neighbours
 from .pii import op2_pii
 from .quality import op6_quality
 from .repeats import op7_repeats
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_neighbours": op4_neighbours,
+    "op5_katz": op5_katz,
     "op6_quality": op6_quality,
     "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
