@@ -20,6 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, table
+
+__all__ = ["cut", "table"]
+
 #: Text bytes that one numpy step handles; a longer document is one step of its own.
 STEP_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,10 +39,6 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _shipped: set[str] = set()
 
 
@@ -71,20 +71,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; sets one only where none is set (tests, local runs)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/factloom-checkpoints")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ensure_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, renamed so that no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

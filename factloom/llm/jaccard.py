@@ -3,9 +3,10 @@
 Equal sets are one class. Sizes fall into bands; the scheme of a band cuts the hash range into
 more segments than two sets of the band that link can differ in, so they agree on a whole
 segment. Classes that share a segment's content are candidates; whatever candidates connect is
-one tile, in which bit counts of signatures rule pairs out before sorted arrays are intersected.
-No link is lost: segments that are empty are left out only where agreeing ones that aren't must
-remain.
+one tile. Tiles are gone through twice: first with bitmap signatures alone, whose bit counts
+bound the overlap from above and leave few classes, then with the sets of those, whose sorted
+arrays are intersected. No link is lost: segments that are empty are left out only where agreeing
+ones that aren't must remain.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components as connected
 from . import common
-from .components import connected
 
 #: Sizes of a band grow by this factor.
 BAND = 1.35
 #: Words of 64 bits in a signature.
-BITMAP = 16
+BITMAP = 32
 #: Classes that one tile holds; larger candidate groups are split into tiles by shared segment.
 TILE = 4096
 #: Segment contents held in a task before they are sent on.
@@ -88,12 +89,11 @@ def signatures(values: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def class_key(values: np.ndarray) -> bytes:
-    """16 bytes that name a set; sorted input."""
-    with np.errstate(over="ignore"):
-        a = common.mix(np.uint64(len(values)) + np.add.reduce(common.mix(values)))
-        b = common.mix(np.add.reduce(common.mix(values ^ np.uint64(0x5851F42D4C957F2D))))
-    return np.array([a, b], ">u8").tobytes()
+def class_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number that names each set; 0 names none. Different sets share one with chance 2**-64."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(values), dtype=np.uint64)])
+    key = common.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+    return np.where(key == 0, 1, key)
 
 
 def _sets(batch_text, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -104,16 +104,16 @@ def _sets(batch_text, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, cls, n_shingles) of every row; cls is null for a set without shingles."""
+    """(doc_id, cls, n_shingles, bits) of every row; cls is null for a set without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, values, at in _sets(batch.column(1), k):
                 sizes = np.diff(at)
-                keys = [class_key(values[at[i] : at[i + 1]]) if sizes[i] else None for i in range(len(sizes))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(sizes)], pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int64))], names=["doc_id", "cls", "n_shingles"])
+                bits = [bitmap(values[at[i] : at[i + 1]]).tobytes() for i in range(len(sizes))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(sizes)], pa.array(class_keys(values, at), mask=sizes == 0), pa.array(sizes.astype(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "cls", "n_shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, cls binary, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, cls long, n_shingles long, bits binary")
 
 
 def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
@@ -124,14 +124,13 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        held, n_held, names = [], 0, []
+        held, n_held, names, n_names = [], 0, [], 0
 
         def rows() -> pa.RecordBatch:
             keys, owner = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int64)
             order, at = common.split_by(common.part_of(keys, parts), parts)
             keys, owner = keys[order], owner[order]
-            table = np.frombuffer(b"".join(names), "V16")
-            out = []
+            table, out = np.concatenate(names), []
             for p in range(parts):
                 own, local = np.unique(owner[at[p] : at[p + 1]], return_inverse=True)
                 if len(local):
@@ -145,52 +144,39 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
                 key, row = signatures(values, at, bands)
                 if not len(key):
                     continue
-                own, local = np.unique(row, return_inverse=True)
-                held.append((key, local + len(names)))
-                names.extend(class_key(values[at[i] : at[i + 1]]) for i in own)
+                held.append((key, row + n_names))
+                names.append(class_keys(values, at))
+                n_names += len(names[-1])
                 n_held += len(key)
                 if n_held > FLUSH:
                     yield rows()
-                    n_held = 0
+                    n_held = n_names = 0
         if held:
             yield rows()
 
     def match(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
-        owners, names, base = [], [], 0
-        for o, t in zip(table["owners"], table["names"], strict=True):
-            names.append(np.frombuffer(t.as_py(), "V16"))
-            owners.append(np.frombuffer(o.as_py(), "<u4").astype(np.int64) + base)
-            base += len(names[-1])
-        owners = np.concatenate(owners)
+        owners = [np.frombuffer(t.as_py(), "<i8")[np.frombuffer(o.as_py(), "<u4")] for o, t in zip(table["owners"], table["names"], strict=True)]
+        c = np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
-        k_, o_ = keys[order], owners[order]
-        same = np.zeros(len(k_), bool)
-        same[1:] = k_[1:] == k_[:-1]
+        keys, c = keys[order], c[order]
+        same = np.zeros(len(keys), bool)
+        same[1:] = keys[1:] == keys[:-1]
         same[:-1] |= same[1:]
-        k_, o_ = k_[same], o_[same]
-        used = np.unique(o_)
-        flat = [x for x in names for x in [x]]
-        all_names = np.concatenate(flat) if flat else np.zeros(0, "V16")
-        text = [all_names[i].tobytes() for i in used]
-        number = {t: n for n, t in enumerate(sorted(set(text)))}
-        lookup = np.array([number[t] for t in text], np.int64)
-        c = lookup[np.searchsorted(used, o_)] if len(used) else o_
-        order = np.lexsort((c, k_))
-        k_, c = k_[order], c[order]
-        new = np.ones(len(k_), bool)
-        new[1:] = (k_[1:] != k_[:-1]) | (c[1:] != c[:-1])
-        k_, c = k_[new], c[new]
-        starts = np.flatnonzero(np.concatenate([[True], k_[1:] != k_[:-1]])) if len(k_) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(k_)))
+        keys, c = keys[same], c[same]
+        order = np.lexsort((c, keys))
+        keys, c = keys[order], c[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (c[1:] != c[:-1])
+        keys, c = keys[new], c[new]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(keys)))
         keep = np.repeat(sizes > 1, sizes)
-        first = np.repeat(c[starts], sizes)[keep] if len(k_) else c
-        k_, c = k_[keep], c[keep]
-        by = sorted(number)
-        return pa.table({"sig": pa.array(k_.view(np.int64)), "cls": pa.array([by[i] for i in c], pa.binary()), "first": pa.array([by[i] for i in first], pa.binary())})
+        first = np.repeat(c[starts], sizes)[keep]
+        return pa.table({"sig": pa.array(keys[keep].view(np.int64)), "cls": pa.array(c[keep]), "first": pa.array(first)})
 
     packed = docs.mapInArrow(pack, "part int, keys binary, owners binary, names binary")
-    return packed.groupBy("part").applyInArrow(match, "sig long, cls binary, first binary")
+    return packed.groupBy("part").applyInArrow(match, "sig long, cls long, first long")
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -199,17 +185,16 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def link_tile(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(component number, links) of each set of a tile: exact components at percent/100 or more.
+def link_tile(size: np.ndarray, bits: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """Component of each set of a tile, by sizes and bitmaps (one row each), under links of pairs
+    that may reach percent/100 by the bound, or, with the sets given, that do.
 
-    links counts the sets that were found to link with it while components were still apart; a
-    pair already connected is not looked at again.
+    A pair already connected is not looked at again.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    size = np.array([len(sets[i]) for i in order], np.int64)
-    bits = np.stack([bitmap(sets[i]) for i in order])
-    root = np.arange(len(sets))
-    for i in range(len(sets)):
+    order = np.argsort(size, kind="stable")
+    size, bits = size[order], bits[order]
+    root = np.arange(len(size))
+    for i in range(len(size)):
         # Larger sets of the size band: percent * larger <= 100 * smaller.
         hi = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         js = np.arange(i + 1, hi)
@@ -218,34 +203,59 @@ def link_tile(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
             continue
         apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
         most = (size[js] + size[i] - apart) // 2  # the overlap can't be larger
-        js = js[100 * most >= percent * (size[js] + size[i] - most)]
-        for j in js:
+        for j in js[100 * most >= percent * (size[js] + size[i] - most)]:
             if root[j] == root[i]:
                 continue
-            shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-            if 100 * shared >= percent * (size[i] + size[j] - shared):
-                root[root == root[j]] = root[i]
-    out = np.empty(len(sets), np.int64)
+            if sets is not None:
+                shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+                if 100 * shared < percent * (size[i] + size[j] - shared):
+                    continue
+            root[root == root[j]] = root[i]
+    out = np.empty(len(size), np.int64)
     out[order] = root
-    return out, size
+    return out
 
 
 def _tile_links(table: pa.Table, percent: int) -> pa.Table:
-    """(a, b): links that span the components of the tile's classes."""
-    seen: dict[bytes, np.ndarray] = {}
-    for c, s in zip(table["cls"], table["shingles"], strict=True):
-        seen.setdefault(c.as_py(), np.frombuffer(s.as_py(), np.uint64))
-    names = list(seen)
-    comp, _ = link_tile([seen[x] for x in names], percent)
-    first: dict[int, bytes] = {}
-    a, b = [], []
-    for name, c in zip(names, comp.tolist(), strict=True):
-        if c in first:
-            a.append(first[c])
-            b.append(name)
-        else:
-            first[c] = name
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    """(a, b): links that span the components of the tile's classes, from bits or shingles."""
+    cls, at = np.unique(table["cls"].to_numpy(), return_index=True)
+    if "shingles" in table.column_names:
+        sets = [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in at]
+        size, bits = np.array([len(x) for x in sets]), np.stack([bitmap(x) for x in sets])
+    else:
+        sets, size = None, table["n"].to_numpy()[at]
+        bits = np.stack([np.frombuffer(table["bits"][int(i)].as_py(), np.uint64) for i in at])
+    comp = link_tile(size, bits, percent, sets)
+    order = np.argsort(comp, kind="stable")
+    comp, cls = comp[order], cls[order]
+    first = np.concatenate([[True], comp[1:] != comp[:-1]])
+    head = cls[np.maximum.accumulate(np.where(first, np.arange(len(cls)), 0))]
+    return pa.table({"a": pa.array(head[~first]), "b": pa.array(cls[~first])})
+
+
+def _spanning(groups: DataFrame, found: DataFrame, facts: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(a, b): links within groups (node, root) that span the components they make, by facts (cls
+    and bits or shingles).
+
+    A group of up to tile classes is one tile. In a larger one, the classes of each segment content
+    make tiles, one for each pair of blocks, each class in one block; contents with the same
+    classes are taken once.
+    """
+    columns = facts.columns
+    held = facts.join(groups.withColumnRenamed("node", "cls"), "cls")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    small = held.join(sizes.where(F.col("members") <= tile), "root").select("root", *columns)
+    links = small.groupBy("root").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
+    large = sizes.where(F.col("members") > tile).join(groups, "root").select(F.col("node").alias("cls"))
+    rows = found.select("sig", "cls").join(large, "cls", "left_semi")
+    alike = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"))
+    once = alike.where("members > 1").groupBy("members", "mark").agg(F.min("sig").alias("sig"))
+    rows = rows.join(once, "sig").withColumn("blocks", F.ceil(F.col("members") * 2 / F.lit(tile)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls")
+    tiles = rows.join(facts, "cls").select("sig", "x", "y", *columns)
+    return links.unionByName(tiles.groupBy("sig", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -263,33 +273,23 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     docs = common.ensure_text(df, id_col, text_col)
     named = common.cut(classes(docs, k))
     found = common.cut(shared_segments(docs, k, percent, 2 * common.shuffle_parts(spark)))
-    groups = common.cut(connected(found.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))))
-    # The sets of candidates, each once, with the group that candidates connect.
-    ids = groups.join(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), groups["node"] == F.col("cls")).select("doc_id").distinct()
+    groups = connected(found.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
+    one = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
+    groups = common.cut(groups)
+    # Signatures alone: what the bound can't part.
+    may = common.cut(connected(_spanning(groups, found, one.select("cls", "n", "bits"), percent, tile)))
+    ids = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi").select("doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, values, at in _sets(batch.column(1), k):
-                own = [values[at[i] : at[i + 1]] for i in range(len(at) - 1) if at[i + 1] > at[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["cls", "shingles"])
+                own = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(class_keys(values, at)[own]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["cls", "shingles"])
 
     some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select("doc_id", "text")
-    held = some.mapInArrow(sets, "cls binary, shingles binary").join(groups.withColumnRenamed("node", "cls"), "cls")
-    held = common.cut(held)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    small = held.join(sizes.where(F.col("n") <= tile), "root")
-    links = small.groupBy("root").applyInArrow(lambda t: _tile_links(t, percent), "a binary, b binary")
-    # Larger groups: a tile for each pair of blocks of a segment's classes, each class in one block.
-    large = found.join(sizes.where(F.col("n") > tile).join(groups, "root").select(F.col("node").alias("cls")), "cls", "left_semi")
-    alike = large.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"))
-    once = alike.groupBy("n", "mark").agg(F.min("sig").alias("sig"))
-    large = large.join(once, "sig").withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(tile)).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls")
-    more = large.join(held.select("cls", "shingles").dropDuplicates(["cls"]), "cls").groupBy("sig", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a binary, b binary")
-    joined = connected(links.unionByName(more))
-    rows = named.join(joined.withColumnRenamed("node", "cls"), "cls", "left")
+    held = some.mapInArrow(sets, "cls long, shingles binary")
+    joined = connected(_spanning(may, found, held, percent, tile))
+    rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("root", F.coalesce("root", "cls"))
     least = rows.where("cls is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

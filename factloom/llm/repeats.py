@@ -199,73 +199,88 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
 
 
 def contexts(joined: DataFrame, length: int, gram: int, parts: int, hot: int) -> DataFrame:
-    """From (cls, text, found runs): (part, hash, cls, place, before, after) of each run, or, for a
-    run with more than hot places, (part, hash of a whole string, cls, its start, null, null)."""
+    """From (cls, text, found runs): (part, hash, cls, places, before, after), a row for each run and
+    context of a text with all its places; or, for a run with more than hot places, (part, hash of a
+    whole string, cls, its start, null, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for cls, text, runs in zip(batch["cls"].to_pylist(), _texts(batch["text"]), batch["found"].to_pylist(), strict=True):
+                same: dict[tuple, list[int]] = {}
                 for found in runs:
                     at, h, n = (np.frombuffer(found[x], k) for x, k in (("places", "<i8"), ("hashes", "<u8"), ("sizes", "<i8")))
                     for p, x in zip(at[n <= hot].tolist(), h[n <= hot].tolist(), strict=True):
-                        out.append((x, cls, p, text[max(0, p - (length - gram)) : p][::-1], text[p : p + length]))
+                        before, after = text[max(0, p - (length - gram)) : p], text[p : p + length]
+                        same.setdefault((x, len(before), before + after), []).append(p)
                     if (n > hot).any():
                         buf = np.frombuffer(text, np.uint8)
                         starts = np.unique(np.concatenate([np.arange(max(0, p - (length - gram)), min(p, len(buf) - length) + 1) for p in at[n > hot].tolist()]))
                         whole = gram_hashes(buf, length)[starts]
-                        out += [(x, cls, s, None, None) for s, x in zip(starts.tolist(), whole.tolist(), strict=True)]
-                if len(out) > 20_000:
-                    yield pack(out)
-                    out = []
+                        out += [(x, cls, np.array([s], "<i8").tobytes(), None, None) for s, x in zip(starts.tolist(), whole.tolist(), strict=True)]
+                out += [(x, cls, np.array(ps, "<i8").tobytes(), s[:k][::-1], s[k:]) for (x, k, s), ps in same.items()]
+                while len(out) > 4000:
+                    yield pack(out[:4000])
+                    del out[:4000]
             if out:
                 yield pack(out)
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
         h = np.array([o[0] for o in out], np.uint64)
-        cols = [pa.array(common.part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64)), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.binary()), pa.array([o[4] for o in out], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["part", "hash", "cls", "place", "before", "after"])
+        cols = [pa.array(common.part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64)), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "hash", "cls", "places", "before", "after"])
 
-    return joined.mapInArrow(run, "part int, hash long, cls binary, place long, before binary, after binary")
+    return joined.mapInArrow(run, "part int, hash long, cls binary, places binary, before binary, after binary")
 
 
 def intervals(found: DataFrame, length: int) -> DataFrame:
     """(cls, starts, ends): the repeated strings around sampled runs, as bytes covered in each text."""
 
-    def group(rows: list[tuple], out: dict[bytes, list]) -> None:
-        places: dict[tuple[bytes, bytes], set] = {}
-        for cls, place, before, after in rows:
-            places.setdefault((before, after), set()).add((cls, place))
+    def group(rows: list[dict], add) -> None:
+        places: dict[tuple[bytes, bytes], dict[bytes, np.ndarray]] = {}
+        for r in rows:
+            own = places.setdefault((r["before"], r["after"]), {})
+            own[r["cls"]] = np.union1d(own.get(r["cls"], np.zeros(0, "<i8")), np.frombuffer(r["places"], "<i8"))
         members = list(places)
         for context in members:
             before, after = context
-            if len(places[context]) > 1 and len(before) + len(after) >= length:
-                for cls, place in places[context]:
-                    out.setdefault(cls, []).append((place - len(before), place + len(after)))
+            own = places[context]
+            if len(before) + len(after) >= length and sum(map(len, own.values())) > 1:
+                add(own, len(before), len(after))
         for i, left, right in maximal_repeats([m[0] for m in members], [m[1] for m in members], length):
-            for cls, place in places[members[i]]:
-                out.setdefault(cls, []).append((place - left, place + right))
+            add(places[members[i]], left, right)
 
     def run(table: pa.Table) -> pa.Table:
-        out: dict[bytes, list] = {}
-        table = table.sort_by("hash")
+        out: dict[bytes, list[np.ndarray]] = {}
+
+        def add(own: dict[bytes, np.ndarray], left: int, right: int) -> None:
+            for cls, at in own.items():
+                out.setdefault(cls, []).append(np.stack([at - left, at + right]))
+
+        table = table.sort_by("hash").combine_chunks()
         h = table["hash"].to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]) if len(h) else [0]
-        cls, place, before, after = (table[x].to_pylist() for x in ("cls", "place", "before", "after"))
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            group(list(zip(cls[lo:hi], place[lo:hi], before[lo:hi], after[lo:hi], strict=True)), out)
-        pack = lambda i: pa.array([np.array([s[i] for s in v], "<i8").tobytes() for v in out.values()], pa.binary())
-        return pa.table({"cls": pa.array(list(out), pa.binary()), "starts": pack(0), "ends": pack(1)})
+        cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, int)
+        lo = 0
+        while lo < len(h):  # some whole groups at a time
+            hi = int(cuts[max(np.searchsorted(cuts, lo + 2000, "right") - 1, np.searchsorted(cuts, lo, "right"))])
+            rows = table.slice(lo, hi - lo).select(["cls", "places", "before", "after"]).to_pylist()
+            inner = cuts[(cuts >= lo) & (cuts <= hi)] - lo
+            for a, b in zip(inner[:-1], inner[1:], strict=True):
+                group(rows[a:b], add)
+            lo = hi
+        spans = [np.concatenate(v, axis=1) for v in out.values()]
+        packed = [merged(v[0], v[1]) for v in spans]
+        return pa.table({"cls": pa.array(list(out), pa.binary()), "starts": pa.array([x[0].astype("<i8").tobytes() for x in packed], pa.binary()), "ends": pa.array([x[1].astype("<i8").tobytes() for x in packed], pa.binary())})
 
     near = found.where("before is not null").groupBy("part").applyInArrow(run, "cls binary, starts binary, ends binary")
     # Whole strings of very common runs: the same hash at two starts or more.
-    whole = found.where("before is null").select("hash", "cls", "place").distinct()
+    whole = found.where("before is null").select("hash", "cls", "places").distinct()
     many = whole.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    far = whole.join(many, "hash", "left_semi").groupBy("cls").agg(F.collect_list("place").alias("at"))
+    far = whole.join(many, "hash", "left_semi").groupBy("cls").agg(F.collect_list("places").alias("at"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [np.array(x, "<i8") for x in b["at"].to_pylist()]
+            at = [np.frombuffer(b"".join(x), "<i8") for x in b["at"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["cls"], pa.array([x.tobytes() for x in at], pa.binary()), pa.array([(x + length).tobytes() for x in at], pa.binary())], names=["cls", "starts", "ends"])
 
     return near.unionByName(far.mapInArrow(spans, "cls binary, starts binary, ends binary"))
@@ -290,7 +305,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     """
     spark = df.sparkSession
     common.bound_batches(spark)
-    parts = 2 * common.shuffle_parts(spark)
+    parts = 4 * common.shuffle_parts(spark)
     docs = common.ensure_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     packed = sample_parts(docs.select("text"), length, gram, parts)
     runs = common.cut(repeated_runs(packed))
