@@ -60,7 +60,7 @@ def violations(found: DataFrame, sources: DataFrame) -> DataFrame:
     keyed = found.join(sources, ["project_path", "source_path"], "left")
     repeated = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).where("n > 1").select(F.lit("duplicate-key").alias("rule"), "id")
     unknown = keyed.where("lines is null").select(F.lit("unknown-source").alias("rule"), "id")
-    outside = keyed.where("start_line < 1 or start_line > size(lines)").select(F.lit("line-out-of-range").alias("rule"), "id")
+    outside = keyed.where("lines is not null and (start_line < 1 or start_line > size(lines))").select(F.lit("line-out-of-range").alias("rule"), "id")
     empty = found.where("size(evidence_lines) = 0").select(F.lit("no-evidence").alias("rule"), "id")
     wrong = keyed.where("exists(evidence_lines, e -> instr(coalesce(get(lines, e.line - 1), ''), e.snippet) = 0)").select(F.lit("snippet-not-in-line").alias("rule"), "id")
     infinite = found.where("exists(map_values(metrics), v -> v is null or isnan(v) or abs(v) = double('infinity'))").select(F.lit("metric-not-finite").alias("rule"), "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .graphs import components
 
 #: Thresholds of the named similarity levels.
@@ -25,8 +26,9 @@ def ngrams(tokens_: Column, n: int = 5) -> Column:
 def gram_sets(df: DataFrame, id_col: str, tokens_col: str, least_tokens: int = 30, n: int = 5) -> DataFrame:
     """(id, grams, size) of rows with least_tokens tokens or more; grams as 64-bit hashes, sorted."""
     grams = F.array_sort(F.transform(ngrams(F.col(tokens_col), n), lambda g: F.xxhash64(g)))
-    out = df.where(F.size(tokens_col) >= least_tokens).select(F.col(id_col).alias("id"), grams.alias("grams"))
-    return out.withColumn("size", F.size("grams")).where("size > 0")
+    # No filter on what is derived from the tokens: it would be pushed down and evaluated again.
+    out = df.where(F.size(tokens_col) >= max(least_tokens, n)).select(F.col(id_col).alias("id"), grams.alias("grams"))
+    return out.withColumn("size", F.size("grams"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float, least_shared: int = 3) -> DataFrame:
@@ -34,14 +36,17 @@ def similar_pairs(sets: DataFrame, threshold: float, least_shared: int = 3) -> D
 
     Grams are ranked from rare to common; two sets that are similar enough share one among their
     first size - ceil(threshold * size) + 1 (Chaudhuri et al., 2006). Only those are joined, within
-    the sizes that a partner can have, and candidates are verified on the sorted arrays.
+    the sizes that a partner can have, and candidates are verified on the sorted arrays. The sets
+    and their heads, which several steps read, are computed once and kept as checkpoints.
     """
+    sets = cut(sets)
     rows = sets.select("id", "size", F.explode("grams").alias("gram"))
     rare = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = rows.join(rare.where("df > 1"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     w = Window.partitionBy("id").orderBy("df", "gram")
     prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
     head = ranked.withColumn("r", F.row_number().over(w)).where((F.col("r") <= prefix) & (F.col("df") > 1)).select("id", "size", "gram")
+    head = cut(head)
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -198,21 +198,22 @@ def identifier_findings(spark: SparkSession, d: str) -> DataFrame:
 
 # --- n-grams and similarity ------------------------------------------------------------------
 
-_TOKENS = r"t AS (SELECT doc_id AS id, regexp_extract_all(text, '(\w+|[^\w\s])') AS tk FROM documents)"
+_GRAMS = r"""
+t AS (SELECT doc_id AS id, regexp_extract_all(text, '(\w+|[^\w\s])') AS tk FROM documents),
+k AS (SELECT id, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS p FROM t WHERE len(tk) >= 30),
+l AS (SELECT id, concat_ws(chr(1), w, lead(w, 1) OVER q, lead(w, 2) OVER q, lead(w, 3) OVER q, lead(w, 4) OVER q) AS gram, lead(w, 4) OVER q AS fifth FROM k WINDOW q AS (PARTITION BY id ORDER BY p)),
+g AS MATERIALIZED (SELECT DISTINCT id, hash(gram) AS gram FROM l WHERE fifth IS NOT NULL),
+s AS (SELECT id, count(*) AS n FROM g GROUP BY id)"""
 _PAIRS = (
-    _TOKENS
-    + r""",
-g AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(tk) - 3), lambda i: hash(array_to_string(tk[i:i + 4], chr(1)))))) AS gram FROM t WHERE len(tk) >= 30),
-s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    _GRAMS
+    + """,
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL HAVING count(*) >= 3),
 e AS (SELECT a, b, shared, shared / (sa.n + sb.n - shared)::DOUBLE AS score FROM p JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b)"""
 )
 
 
 @query(f"""
-WITH {_TOKENS}
-SELECT id AS doc_id, len(tk) AS n_tokens, len(list_distinct(list_transform(range(1, len(tk) - 3), lambda i: array_to_string(tk[i:i + 4], chr(1))))) AS n_grams
-FROM t WHERE len(tk) >= 30""")
+WITH {_GRAMS} SELECT t.id AS doc_id, len(tk) AS n_tokens, s.n AS n_grams FROM t JOIN s ON s.id = t.id""")
 def ngram_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", similarity.tokens(F.col("text")).alias("tk"))
     return docs.where(F.size("tk") >= 30).select("doc_id", F.size("tk").cast("long").alias("n_tokens"), F.size(similarity.ngrams(F.col("tk"))).cast("long").alias("n_grams"))
@@ -241,8 +242,8 @@ def jaccard_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH RECURSIVE {_PAIRS},
 q AS MATERIALIZED (SELECT a, b, score FROM e WHERE score >= 0.8),
-l AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
-r AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+l2 AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+r AS (SELECT a AS node, a AS other FROM l2 UNION SELECT r.node, l2.b FROM r JOIN l2 ON l2.a = r.other),
 c AS (SELECT node, min(other) AS root FROM r GROUP BY node),
 m AS (SELECT root, min(score) AS score FROM q JOIN c ON c.node = q.a GROUP BY root)
 SELECT c.root AS cluster_id, node AS member, score FROM c JOIN m ON m.root = c.root""")
