@@ -263,7 +263,7 @@ def score(df: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_id",
     """
     spark = df.sparkSession
     common.bound_batches(spark)
-    parts = max(4, common.shuffle_parts(spark) // 2)
+    parts = max(4, common.shuffle_parts(spark))
     docs = common.ensure_text(df, id_col, text_col)
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     hot = hot_histories(docs)
