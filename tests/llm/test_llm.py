@@ -1,0 +1,431 @@
+"""The training-data operators against brute force, on small rows with odd cases among them."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from factloom.llm import bpe, common, jaccard, katz, mixing, neighbours, permute, pii, quality, repeats, sharding, token_counts
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls string, row string, bucket string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def make(n=40, seed=3):
+    """Rows with copies, near copies, null and empty texts, null ids, repeated rows, odd characters."""
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choice("abcdeghéü") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    passage = " ".join(rnd.choice(vocab) for _ in range(70))
+    rows = []
+    for i in range(n):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(0, 120))]
+        if i % 3 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage.split(" ")
+        if rows and i % 5 == 1:
+            words = (rows[-1][1] or "x").split(" ")
+            words[0] = rnd.choice(vocab).upper()
+        text = "".join(w + rnd.choice([" ", " ", "\n", "  ", "\t"]) for w in words)
+        rows.append((i, text, rnd.choice(["en", "de", None]), rnd.choice(["s0", "s0", "s0", "s1", "ü", None]), len(text)))
+    rows += [(100, None, "en", "s1", None), (101, "", None, None, 0), (102, " \n\t", "en", "s0", 3), (103, rows[0][1], "en", "s1", 1), (104, rows[0][1], "en", "s1", 1), rows[2], rows[2], (None, rows[4][1], "en", "s0", 1), (None, None, None, None, None)]
+    rows += [(105, "Mail a@b.co.uk, a@b or x_y@z.org. 1.2.3.255 1.2.3.256 4387 5130 3523 7269 +1 (988) 555-2485 DE89 3704 0044 0532 0130 00 SSN 123-45-6789", "en", "s1", 1), (106, "🙂 é a@b.c 🙂", "en", "s1", 1), (107, "a" * 900, "en", "s1", 1), (108, "ab " * 400, "en", "s1", 1), (109, "<|endoftext|>Σς don't ١२ x́", "de", "s1", 1)]
+    return [(*r, "c", "r", "b") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def texts(rows):
+    return [r[1] or "" for r in rows]
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def multiset(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_permutations_are_bijections(spark):
+    for n in (1, 2, 3, 7, 64, 1000, 4097):
+        got = [r["p"] for r in spark.range(n).select(permute.feistel(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("p")).collect()]
+        assert sorted(got) == list(range(n))
+
+
+# 1 ---------------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(docs, rows):
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    pieces = token_counts.read_pieces(token_counts.default_path())
+    library = Tokenizer(Unigram([*pieces, ("<unk>", 0.0)], len(pieces), False))
+
+    def wanted(t):
+        s = "▁" + t.replace("▁", " ").replace(" ", "▁") if t else ""
+        e = library.encode(s)
+        return sum(len(s[a:b].encode()) if i == len(pieces) else 1 for i, (a, b) in zip(e.ids, e.offsets, strict=True))
+
+    own = [r for r in rows if "<|" not in (r[1] or "")]
+    got = multiset(token_counts.count_tokens(docs.where("text is null or not contains(text, '<|')")), "doc_id", "n_tokens")
+    assert got == Counter((r[0], wanted(r[1] or "")) for r in own)
+
+
+# 2 ---------------------------------------------------------------------------------------------
+
+
+def base_spans(t):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            s = m.group()
+            digits = re.sub("[^0-9]", "", s)
+            luhn = sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in s.split(".")) or kind == "card" and 16 <= len(digits) <= 19 and luhn or kind == "phone" and 8 <= len(digits) <= 15:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_base_spans(spark, docs, rows, seed):
+    rnd = random.Random(seed)
+    wild = ["".join(rnd.choice(["a", "1", "25", ".", "@", "-", " ", "+", "(", ")", "é", "🙂", "_", "4387513035237269"]) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    df = docs.select("doc_id", "text") if seed == 0 else spark.createDataFrame(list(enumerate(wild)), "doc_id long, text string")
+    own = [(r[0], r[1]) for r in rows] if seed == 0 else list(enumerate(wild))
+    got = Counter((r["doc_id"], ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] in pii.BASE)) for r in pii.find_pii(df).collect())
+    assert got == Counter((i, ",".join(base_spans(t or ""))) for i, t in own)
+
+
+def test_pii_method_adds_and_masks(docs):
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert {s["kind"] for s in found[105]} >= {"iban", "ssn", "email", "ip", "phone"}
+    masked = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert "a@b.co.uk" not in masked[105]["text"] and "<EMAIL>" in masked[105]["text"] and "1.2.3.256" in masked[105]["text"]
+    assert masked[106]["text"] == "🙂 é <EMAIL> 🙂" and masked[100]["text"] is None
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    got = multiset(bpe.encode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    wanted = Counter()
+    for r in rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        wanted[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert got == wanted
+
+
+def test_bpe_on_random_words():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.loaded(bpe.default_path())
+    rnd = random.Random(1)
+    for _ in range(1500):
+        t = "".join(rnd.choice("aaeinrstthlo'.9éİß") for _ in range(rnd.randint(1, 24)))
+        assert np.frombuffer(own.encode(t)[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+
+def test_neighbours_on_odd_vectors(spark):
+    v = [[1.0, 0.0, 0.0, 0.2], [1.0, 0.0, 0.0, 0.2], [2.0, 0.0, 0.0, 0.4], [0.0, 0.0, 0.0, 0.0], None, [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [-1.0, 0.1, 0.0, 0.0], [0.0, -0.0, 1.0, 0.0]]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = neighbours.nearest(df, df, k=3, tables=8, probes=8)
+    by = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        by[r["query_id"]].append((r["vec_id"], round(r["score"], 6)))
+    assert sorted(by) == [0, 1, 2, 7, 9, 10]
+    assert [x for x, _ in by[0]][:2] == [1, 2] and [x for x, _ in by[2]][:2] == [0, 1]
+    assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2500, 64)).astype(np.float32)
+    x[500:900] = x[0]  # one very common vector
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    d = x.astype(float)
+    unit = d / np.linalg.norm(d, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = sorted(range(2500), key=lambda i: (-round(s[i], 12), i))[:5]
+        own = [i for _, i, _ in sorted(got[q])]
+        assert len(own) == 5
+        hits += len(set(best) & set(own))
+    assert hits >= 0.9 * 250
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+
+def test_katz_equals_brute_force(docs, rows):
+    toks = [[*bytes(t, "utf8").lower().split(), b"\n"] for t in texts(rows)]
+    learn = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1 for r in rows]
+    c = Counter(w for t, x in zip(toks, learn, strict=True) if x for w in t)
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    pairs = defaultdict(Counter)
+    for t, x in zip(toks, learn, strict=True):
+        if x:
+            for a, b in zip([None, *t[:-1]], t, strict=True):
+                pairs[a][b] += 1
+    cc = np.zeros(7, int)
+    for h in pairs.values():
+        for times in h.values():
+            if times <= 6:
+                cc[times] += 1
+    d = katz.discounts(cc)
+
+    def prob(h, w):
+        if not (own := pairs.get(h)):
+            return p(w)
+        total, kept = sum(own.values()), sum(d[min(x, 6)] * x for x in own.values())
+        total += total - kept <= 1e-9 * total
+        return d[min(own[w], 6)] * own[w] / total if w in own else (1 - kept / total) / (1 - sum(map(p, own))) * p(w)
+
+    for h in [None, *list(pairs)[:20]]:
+        assert math.isclose(sum(prob(h, w) for w in c) + prob(h, b"unseen word"), 1, rel_tol=1e-9)
+    wanted = sorted((r[0] is None, r[0] or 0, len(t), sum(c[w] > 0 for w in t), n, not x, round(sum(math.log10(p(w)) for w in t), 6), round(sum(math.log10(prob(a, b)) for a, b in zip([None, *t[:-1]], t, strict=True)), 6)) for r, t, x in zip(rows, toks, learn, strict=True))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs).collect())
+    assert got == wanted
+
+
+# 6 ---------------------------------------------------------------------------------------------
+
+
+def statistics(t):
+    w, lines, seen, dup = WORD.findall(t), t.split("\n"), set(), 0
+    for x in lines:
+        if WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    g, hot = Counter(zip(w, w[1:], w[2:], strict=False)), set()
+    for i in range(len(w) - 2):
+        if g[tuple(w[i : i + 3])] > 1:
+            hot |= {i, i + 1, i + 2}
+    return len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(hot)
+
+
+def test_quality_statistics(docs, rows):
+    got = multiset(quality.judge(docs), "doc_id", *quality.STATS, "base_failed")
+    wanted = Counter()
+    for r in rows:
+        s = statistics(r[1] or "")
+        wanted[(r[0], *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
+    assert got == wanted
+
+
+def test_quality_bands_reject_noise_and_keep_prose(spark):
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(3, 7))) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(80)), "en") for i in range(400)]
+    rows += [(500, " ".join("".join(rnd.choice("etaoinshr") for _ in range(6)) for _ in range(80)), "en")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept.pop(500) and all(kept.values())
+
+
+def test_kneser_ney_is_a_distribution():
+    rng = np.random.default_rng(1)
+    model = quality.KneserNey(keys := np.unique(rng.integers(0, 64**3, 3000)), rng.integers(1, 9, len(keys)))
+    assert np.allclose((10.0 ** model.dense().astype(float)).reshape(-1, 64).sum(1), 1, atol=1e-4)
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def covered(own, length):
+    places = defaultdict(list)
+    for i, t in enumerate(own):
+        for s in range(len(t) - length + 1):
+            places[t[s : s + length]].append((i, s))
+    out = [np.zeros(len(t), bool) for t in own]
+    for found in places.values():
+        if len(found) > 1:
+            for i, s in found:
+                out[i][s : s + length] = True
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeats_equal_brute_force(docs, rows, hot):
+    own = [t.encode() for t in texts(rows)]
+    wanted = Counter()
+    for r, t, m in zip(rows, own, covered(own, 60), strict=True):
+        spans = int(np.sum(np.diff(np.concatenate([[0], m.astype(int)])) == 1))
+        wanted[r[0], len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest()] += 1
+    got = multiset(repeats.remove_repeats(docs, 60, 12, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == wanted
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k,percent,tile", [(3, 90, 4096), (5, 80, 4096), (2, 50, 4)])
+def test_jaccard_components(docs, rows, k, percent, tile):
+    sets = []
+    for t in texts(rows):
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[root(i)] += [r[0]] if r[0] is not None else []
+    wanted = Counter((r[0], len(sets[i]), min(least[root(i)], default=None)) for i, r in enumerate(rows))
+    # Rows of one id are told apart by their sets, so an empty one stands for itself.
+    assert multiset(jaccard.near_duplicates(docs, k, percent, tile=tile), "doc_id", "n_shingles", "component_id") == wanted
+
+
+def test_segments_lose_no_link():
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 90):
+        bands = jaccard.Bands(percent)
+        for _ in range(400):
+            n = int(rng.integers(1, 300))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 2))
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if not len(b) or 100 * shared < percent * (len(a) + len(b) - shared):
+                continue
+            key, row = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+            assert set(key[row == 0]) & set(key[row == 1])
+
+
+# 9 and 10 --------------------------------------------------------------------------------------
+
+
+def test_shards(docs, rows):
+    got = sharding.shard(docs, 7, seed=1).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert multiset(sharding.shard(docs.repartition(5), 7, seed=1), "doc_id", "shard", "slot") == multiset(sharding.shard(docs, 7, seed=1), "doc_id", "shard", "slot")
+
+
+def targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 3 * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_mixing(docs, rows, block):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    wanted = targets(sizes)
+    got = mixing.mix(docs, block=block, seed=2).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((r["source_size"], round(r["target"], 6)), [0])[0] += r["taken"]
+    assert sorted(by) == sorted({(sizes[s], round(t, 6)) for s, t in wanted.items()})
+    for (_, target), (taken,) in by.items():
+        assert abs(taken - target) <= 3 * block
+    assert multiset(mixing.mix(docs.repartition(4), block=block, seed=2), "doc_id", "taken") == multiset(mixing.mix(docs, block=block, seed=2), "doc_id", "taken")
+
+
+def test_mixed_texts_follow_the_targets(docs, rows):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    out = mixing.mixed_texts(docs, block=4, seed=2)
+    assert out.columns == docs.columns
+    taken = Counter()
+    for r in out.collect():
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    for s, t in targets(sizes).items():
+        assert abs(taken[s] - t) <= 12
+
+
+# all -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("operator", [
+    lambda d: token_counts.count_tokens(d), lambda d: pii.find_pii(d), lambda d: bpe.encode(d), lambda d: katz.score(d), lambda d: quality.judge(d),
+    lambda d: repeats.remove_repeats(d), lambda d: jaccard.near_duplicates(d), lambda d: sharding.shard(d, 4), lambda d: mixing.mix(d), lambda d: mixing.mixed_texts(d), lambda d: quality.keep_good(d), lambda d: jaccard.keep_one(d),
+])
+def test_empty_tables(docs, operator):
+    assert operator(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    [(_, buf, offs)] = common.slices(pa.array(["Ab a\tb", None, "ab", "é"]))
+    h, _, _, rows = common.words(buf, offs, True)
+    assert rows.tolist() == [0, 0, 0, 2, 3] and h[0] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(60):
+        text = " ".join(rnd.choice(vocab) for _ in range(90)) + (" mail a@b.org" if i % 4 == 0 else "")
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+    rows += [(60, rows[0][1], "en", "s1", 1), (61, rows[1][1] + " end", "en", "s1", 1), (62, "short", "en", "s0", 5), (63, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality_rules"](spark, docs, "")
+    assert {r["doc_id"] for r in good.collect()} == set(range(62))
+    one = stages["near_duplicates"](spark, good, "")
+    assert {r["doc_id"] for r in one.collect()} == set(range(60))
+    clean = stages["personal_data"](spark, one, "")
+    assert clean.where("contains(text, '@')").count() == 0 and clean.count() == 60
+    mixed = stages["mix_sources"](spark, clean, "")
+    assert mixed.columns == docs.columns
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sum(r["n_tokens"] for r in out.collect()) > 0
