@@ -122,10 +122,10 @@ def mixed_texts(df: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "size", "mark", "nosrc", "src").orderBy(F.lit(1))))
     both = docs.alias("d").join(taken.alias("t"), (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("d.size") == F.col("t.size")) & (F.col("d.mark") == F.col("t.mark")) & (F.col("d.nosrc") == F.col("t.nosrc")) & (F.col("d.src") == F.col("t.src")) & (F.col("d.rn") == F.col("t.rn")))
     both = both.select(*[F.col(f"d.`{c}`") for c in df.columns], "t.parts", F.explode(F.sequence(F.lit(1), F.col("t.most"))).alias("copy"))
-    bits = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    both = both.withColumn("bits", bits)
-    chosen = F.expr("array_join(flatten(transform(filter(parts, p -> p.times >= copy), p -> slice(bits, cast(p.lo + 1 as int), cast(p.n as int)))), '')")
-    both = both.withColumn("text", chosen)
+    # The words are an argument of the outer transform, so that they are found once, not for each part.
+    bits = F.array(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
+    chosen = F.transform(bits, lambda b: F.array_join(F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= F.col("copy")), lambda p: F.slice(b, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), ""))
+    both = both.withColumn("text", F.get(chosen, F.lit(0)))
     return both.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
