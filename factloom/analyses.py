@@ -129,7 +129,10 @@ def dead_code(facts: Facts, o: Effective) -> DataFrame:
         open_ = graphs.visible_all_the_way(graphs.ancestors(parents), d.select(F.col("symbol_id").alias("node"), seen.alias("is_visible")))
         protected = protected.unionByName(open_.where("protected").select(F.col("node").alias("symbol")))
     protected = references.with_parents(protected, parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type")))
-    used = references.fan_out(refs.select(F.col("symbol_id").alias("symbol"), F.when(F.col("is_self"), "Self").otherwise("Direct").alias("kind"), F.col("source_path").alias("place")), parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type"))).select("symbol", (F.col("kind") == "Self").alias("is_self"))
+    # A symbol's reference to itself says nothing about the type around it either.
+    contained = parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type"))
+    outer = refs.where(~F.col("is_self")).select(F.col("symbol_id").alias("symbol"), "kind", F.col("source_path").alias("place"))
+    used = references.fan_out(outer, contained).select("symbol", F.lit(False).alias("is_self"))
     uncertain = facts["reference_uncertainty"].select("symbol")
     candidates = d.where("kind in ('type', 'method')").withColumn("symbol", F.col("symbol_id"))
     found = references.unreferenced(candidates, used, protected, uncertain)

@@ -15,7 +15,7 @@ def line_count(text: Column) -> Column:
 
 def first_line(text: Column, most: int = 180) -> Column:
     """The first line that isn't blank, trimmed and cut."""
-    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]", -1), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]", -1), lambda s: F.trim(s)), lambda s: s != "")
     return F.substring(F.get(lines, F.lit(0)), 1, most)
 
 

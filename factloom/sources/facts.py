@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def read_text_tree(spark: SparkSession, folder: str, pattern: str = "*.cs") -> D
 
     Spark lists and reads the files; nothing is opened on the driver.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z]+:/*", "/")
-    path = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/"), "%20", " ")
-    rows = files.select(F.substring(path, F.length(root) + 2, F.length(path)).alias("source_path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).format("binaryFile").load(folder)
+    root = F.lit(re.sub("^[a-z]+:/*", "/", folder.rstrip("/")))
+    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
+    rows = files.select(F.substring(path, F.length(root) + 2, F.length(path)).alias("source_path"), F.decode("content", "UTF-8").alias("text"))
     return rows.withColumn("generated", classify.is_generated(F.col("source_path"), F.col("text")))
 
 
@@ -62,4 +64,4 @@ def markup(spark: SparkSession, folder: str, most_files: int = 2000, most_bytes:
     n, largest = files.agg(F.count(F.lit(1)), F.coalesce(F.max("length"), F.lit(0))).first()
     if n > most_files or largest > most_bytes:
         raise ValueError(f"{n} markup files of up to {largest} bytes; at most {most_files} of {most_bytes} are read")
-    return files.select(F.col("path").alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("text"))

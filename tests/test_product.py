@@ -90,3 +90,23 @@ def test_markdown_pieces():
     assert report.code_span("a`b") == "``a`b``"
     assert report.number(2.0) == "2" and report.number(0.125) in ("0.12", "0.13")
     assert report.escape("a*b\nc") == "a\\*b c"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from factloom import cli
+
+    assert cli.main([str(tmp_path / "none")]) == 2
+    assert cli.main([str(tmp_path)]) == 2
+    decl = [("p", "a.cs", "T", "type", "Größe", None, "Internal", [], 3)]
+    spark.createDataFrame(decl, facts.SCHEMAS["declarations"]).write.parquet(f"{tmp_path}/declarations.parquet")
+    out = cli.review(str(tmp_path), None, str(tmp_path / "out"), spark)
+    assert out["findings"]["non-ascii-identifiers"] == 1 and (tmp_path / "out").exists()
+
+
+def test_markup_uses(spark):
+    from factloom.sources import markup
+
+    rows = [("a.xaml", '<Window x:Class="N.Main"><Button Click="Go" Text="{Binding Path=Item.Name}"/></Window>'), ("b.razor", '@page "/x"\n<Card @onclick="Save">@Total</Card>'), ("c.js", "DotNet.invokeMethodAsync('Asm', 'Tick')")]
+    got = {(r["kind"], r["name"]) for r in markup.uses(spark.createDataFrame(rows, "file_path string, text string")).collect()}
+    assert got >= {("class", "Main"), ("handler", "Go"), ("binding", "Name"), ("event", "Save"), ("component", "Card"), ("member", "Total"), ("script", "Tick")}
+    assert ("member", "page") not in got
