@@ -70,36 +70,54 @@ def shared_prefix(a: bytes, b: bytes) -> int:
     return lo
 
 
+def _neighbour_prefixes(sorted_texts: list[bytes]) -> np.ndarray:
+    return np.array([shared_prefix(a, b) for a, b in zip(sorted_texts, sorted_texts[1:], strict=False)], np.int64)
+
+
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list[tuple[int, int, int]]:
-    """(member, left, right) with left + right >= least: the string from left bytes before the
-    member's position to right bytes after it also stands at another member's.
+    """(member, left, right): how far the strings of least bytes or more reach that stand around the
+    member's position and around another member's too.
 
     lefts are reversed left contexts and rights right contexts, of distinct members. Members in
     suffix order and the common-prefix lengths of neighbours are scanned with a stack; each
-    interval (members that share its depth) is tested once. Its members in the order of their left
-    contexts have their longest common left extension with a neighbour; an interval whose members
-    extend alike on the left is no less tested, as deeper ones may differ.
+    interval (members that share its depth) is tested once: its members in the order of their left
+    contexts have their longest common left extension with a neighbour, a least value over a range
+    of neighbours' extensions. All strings of a member hold its position, so their union is known
+    by the largest reach on either side.
     """
     n = len(rights)
     if n < 2:
         return []
-    order = sorted(range(n), key=lambda i: rights[i])
-    depth = [shared_prefix(rights[order[i - 1]], rights[order[i]]) for i in range(1, n)]
-    by_left = sorted(range(n), key=lambda i: lefts[i])
-    rank = [0] * n
-    for r, i in enumerate(by_left):
-        rank[i] = r
-    out: list[tuple[int, int, int]] = []
+    order = np.array(sorted(range(n), key=rights.__getitem__))
+    depth = _neighbour_prefixes([rights[i] for i in order]).tolist()
+    by_left = np.array(sorted(range(n), key=lefts.__getitem__))
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    # least[k][i] is the least of 2**k neighbours' extensions from i on.
+    least_of = [_neighbour_prefixes([lefts[i] for i in by_left])]
+    while 2 << (len(least_of) - 1) < n:
+        half, prev = 1 << (len(least_of) - 1), least_of[-1]
+        least_of.append(np.minimum(prev[:-half], prev[half:]))
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def interval(lo: int, hi: int, d: int) -> None:
-        members = sorted(order[lo : hi + 1], key=rank.__getitem__)
-        before = -1
-        best = [0] * len(members)
-        for k in range(1, len(members)):
-            before = shared_prefix(lefts[members[k - 1]], lefts[members[k]])
-            best[k - 1] = max(best[k - 1], before)
-            best[k] = before
-        out.extend((m, x, d) for m, x in zip(members, best, strict=True) if x + d >= least)
+        r = np.sort(rank[order[lo : hi + 1]])
+        i, j = r[:-1], r[1:]
+        if len(r) <= 3:
+            m = np.array([least_of[0][a:b].min() for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+        else:
+            k = np.frexp((j - i).astype(float))[1] - 1
+            m = np.empty(len(i), np.int64)
+            for x in np.unique(k):
+                own = k == x
+                m[own] = np.minimum(least_of[x][i[own]], least_of[x][j[own] - (1 << int(x))])
+        best = np.zeros(len(r), np.int64)
+        best[:-1] = m
+        best[1:] = np.maximum(best[1:], m)
+        own = best + d >= least
+        who = by_left[r[own]]
+        left[who] = np.maximum(left[who], best[own])
+        right[who] = np.maximum(right[who], d)
 
     stack: list[tuple[int, int]] = []
     for i, d in enumerate([*depth, -1]):
@@ -109,7 +127,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
             interval(start, i, deep)
         if d >= 0 and (not stack or stack[-1][1] < d):
             stack.append((start, d))
-    return out
+    return [(m, int(left[m]), int(right[m])) for m in np.flatnonzero(right).tolist()]
 
 
 def _name(text: bytes) -> bytes:
@@ -247,7 +265,12 @@ def intervals(found: DataFrame, length: int) -> DataFrame:
             own = places[context]
             if len(before) + len(after) >= length and sum(map(len, own.values())) > 1:
                 add(own, len(before), len(after))
-        for i, left, right in maximal_repeats([m[0] for m in members], [m[1] for m in members], length):
+        if len(members) == 2:  # the one interval of two members
+            left, right = (shared_prefix(members[0][i], members[1][i]) for i in (0, 1))
+            reach = [(0, left, right), (1, left, right)] if left + right >= length else []
+        else:
+            reach = maximal_repeats([m[0] for m in members], [m[1] for m in members], length)
+        for i, left, right in reach:
             add(places[members[i]], left, right)
 
     def run(table: pa.Table) -> pa.Table:
