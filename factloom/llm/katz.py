@@ -25,7 +25,7 @@ from . import common
 #: Counts above this are not discounted.
 MOST = 5
 #: Tokens held in a task before they are packed.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Histories dealt over all parts. Which ones only shifts work, never results.
 HOT = 64
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -131,15 +131,18 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
     kinds = {"h": "<u8", "w": "<u8", "doc": "<u4", "rows": "<i8", "ids": "<i8", "train": "?"}
     own = {c: [np.frombuffer(x.as_py(), k) for x in t[c]] for c, k in kinds.items()}
     base = np.cumsum([0, *[len(x) for x in own["rows"][:-1]]])
-    own["doc"] = [d.astype(np.int64) + b for d, b in zip(own["doc"], base, strict=True)]
+    own["doc"] = [d.astype(np.int32) + np.int32(b) for d, b in zip(own["doc"], base, strict=True)]
     return tuple(np.concatenate(x) for x in own.values())
 
 
 def _pairs(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Histories and words in order, and each token's pair as one number (and its history's)."""
-    uh, hi = np.unique(h, return_inverse=True)
     uw, wi = np.unique(w, return_inverse=True)
-    return uh, uw, hi * len(uw) + wi, wi
+    wi = wi.astype(np.int32)
+    uh, pair = np.unique(h, return_inverse=True)
+    pair *= len(uw)
+    pair += wi
+    return uh, uw, pair, wi
 
 
 def ask(packed: DataFrame, word_parts: int, hot: np.ndarray) -> DataFrame:
@@ -199,7 +202,6 @@ class Table:
     def __init__(self, h: np.ndarray, w: np.ndarray, learn: np.ndarray, count: np.ndarray, total: int, distinct: int, cc: np.ndarray, hot: np.ndarray, hot_cc: np.ndarray, hot_follow: np.ndarray):
         """h, w, learn: tokens. count: training counts of the distinct words in their order."""
         self.uh, self.uw, self.pair, self.wi = _pairs(h, w)
-        self.hi = self.pair // max(len(self.uw), 1)
         self.known = count > 0
         self.log_word = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         p_word = (count + 0.5) / (total + 0.5 * (distinct + 1))
@@ -225,11 +227,16 @@ class Table:
 
     def scores(self) -> np.ndarray:
         """log10 P of every token: its pair if seen, else the word under the history's weight."""
-        at = np.minimum(np.searchsorted(self.seen, self.pair), max(len(self.seen) - 1, 0))
-        out = np.log10(self.alpha)[self.hi] + self.log_word[self.wi]
-        if len(self.seen):
-            hit = self.seen[at] == self.pair
-            out[hit] = self.log_pair[at[hit]]
+        out, log_alpha = np.empty(len(self.pair)), np.log10(self.alpha)
+        step = 1 << 18
+        for lo in range(0, len(out), step):
+            pair = self.pair[lo : lo + step]
+            part = log_alpha[pair // max(len(self.uw), 1)] + self.log_word[self.wi[lo : lo + step]]
+            if len(self.seen):
+                at = np.minimum(np.searchsorted(self.seen, pair), len(self.seen) - 1)
+                hit = self.seen[at] == pair
+                part[hit] = self.log_pair[at[hit]]
+            out[lo : lo + step] = part
         return out
 
 
