@@ -17,6 +17,18 @@ def numbered_symbols(symbols: Column, mark: str) -> Column:
     return F.transform(symbols, lambda s: F.concat(F.lit(mark), (F.array_position(distinct, s) - 1).cast("string")))
 
 
+def shared_only(statements: DataFrame, owner: list[str]) -> DataFrame:
+    """statements, eligible only where two owners or more have the form.
+
+    A run that two owners have consists of such statements, so no group is lost, and runs are
+    built where there may be some instead of everywhere.
+    """
+    who = F.struct(*owner)
+    many = statements.where("eligible").groupBy("form").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
+    marked = statements.join(many.select("form", F.lit(True).alias("shared")), "form", "left")
+    return marked.withColumn("eligible", F.col("eligible") & F.coalesce("shared", F.lit(False))).select(*statements.columns)
+
+
 def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: int, most: int | None = None) -> DataFrame:
     """Every run of eligible neighbours with least statements and least_tokens tokens or more.
 

@@ -268,7 +268,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "form"))
     tokens = (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1).cast("long")
     statements = rows.select("doc_id", F.lit(0).alias("list_id"), (F.col("p") + 1).cast("long").alias("ordinal"), "form", tokens.alias("tokens"), (F.trim("form") != "").alias("eligible"))
-    return fragments.groups(fragments.windows(statements, ["doc_id"], 3, 60), ["doc_id"])
+    return fragments.groups(fragments.windows(fragments.shared_only(statements, ["doc_id"]), ["doc_id"], 3, 60), ["doc_id"])
 
 
 @query(f"WITH {_RUNS} SELECT grp, doc_id, first, last, tokens, owners, occurrences FROM g")
