@@ -336,9 +336,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     named = docs.withColumn("cls", F.unhex(F.md5("text")))
     first = named.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = common.cut(first)
-    one = first.select("cls", "first")
-    texts = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63)))).join(one, ["cls", "first"], "left_semi").select("cls", "text")
-    around = contexts(texts.join(found, "cls"), length, gram, parts, hot)
+    # Texts are dealt once: the row that stands for its class is part of the join's key.
+    wanted = found.join(first.select("cls", "first"), "cls")
+    texts = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["cls", "first"]).select("cls", "text", "found")
+    around = contexts(texts, length, gram, parts, hot)
     spans = common.cut(intervals(around, length).groupBy("cls").agg(F.collect_list(F.struct("starts", "ends")).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
