@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 400, 48
-#: A run that comes at more places than this goes another exact way, by hashes of whole strings.
-HOT = 20_000
+#: Contexts of one run that a task may hold, under 1 KB each. A run that comes at more places goes
+#: another exact way, by hashes of whole strings, which costs some ten times the bytes.
+HOT = 100_000
 
 
 def gram_hashes(buf: np.ndarray, length: int) -> np.ndarray:

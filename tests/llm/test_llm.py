@@ -270,7 +270,7 @@ def covered(own, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [100_000, 2])
 def test_repeats_equal_brute_force(docs, rows, hot):
     own = [t.encode() for t in texts(rows)]
     wanted = Counter()
