@@ -8,6 +8,8 @@ different ones collide with a chance of about pairs / 2**64.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import zipfile
@@ -39,6 +41,17 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def _return_memory() -> None:
+    """Arrays of 1 MB or more go back to the system when they are freed.
+
+    Left alone, the C library raises that limit to 32 MB as it runs, and a worker keeps what its
+    largest task has used.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
+
+_return_memory()
 _shipped: set[str] = set()
 
 

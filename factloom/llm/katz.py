@@ -25,7 +25,7 @@ from . import common
 #: Counts above this are not discounted.
 MOST = 5
 #: Tokens held in a task before they are packed.
-FLUSH = 1_000_000
+FLUSH = 700_000
 #: Histories dealt over all parts. Which ones only shifts work, never results.
 HOT = 64
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
