@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 400, 48
-#: Contexts of one run that a task may hold, under 1 KB each. A run that comes at more places goes
-#: another exact way, by hashes of whole strings, which costs some ten times the bytes.
+#: Contexts of one run that a task may hold, under 1 KB each. A run that has more goes another exact
+#: way, by hashes of whole strings, which costs some ten times the bytes.
 HOT = 100_000
 
 
@@ -174,8 +174,9 @@ def sample_parts(texts: DataFrame, length: int, gram: int, parts: int) -> DataFr
     return texts.mapInArrow(run, "part int, hashes binary, places binary, owners binary, names binary")
 
 
-def repeated_runs(packed: DataFrame) -> DataFrame:
-    """(cls, places, hashes, sizes): each text's sampled runs that come at two places or more."""
+def repeated_runs(packed: DataFrame, length: int) -> DataFrame:
+    """(cls, places, hashes, sizes): each text's sampled runs that come at two places or more, and
+    about how many contexts a run has over all texts."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]])
@@ -203,8 +204,13 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
         keys, at, c = keys[new], at[new], c[new]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
-        sizes = np.repeat(sizes, sizes)
-        keep = sizes > 1
+        keep = np.repeat(sizes, sizes) > 1
+        # Contexts: places that go on at the same short distance in a text have the same one.
+        gap = np.zeros(len(keys), np.int64)
+        gap[1:] = np.where((keys[1:] == keys[:-1]) & (c[1:] == c[:-1]), at[1:] - at[:-1], 0)
+        again = np.zeros(len(keys), bool)
+        again[1:] = (gap[1:] > 0) & (gap[1:] == gap[:-1]) & (gap[1:] <= length)
+        sizes = np.repeat(np.add.reduceat(~again, starts, dtype=np.int64), sizes) if len(keys) else sizes
         keys, at, c, sizes = keys[keep], at[keep], c[keep], sizes[keep]
         order = np.argsort(c, kind="stable")
         keys, at, c, sizes = keys[order], at[order], c[order], sizes[order]
@@ -332,7 +338,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     parts = 4 * common.shuffle_parts(spark)
     docs = common.ensure_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     packed = sample_parts(docs.select("text"), length, gram, parts)
-    runs = common.cut(repeated_runs(packed))
+    runs = common.cut(repeated_runs(packed, length))
     found = runs.groupBy("cls").agg(F.collect_list(F.struct("places", "hashes", "sizes")).alias("found"))
     named = docs.withColumn("cls", F.unhex(F.md5("text")))
     first = named.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count(F.lit(1)).alias("copies"))
