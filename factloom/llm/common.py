@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import zipfile
@@ -80,6 +81,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps whose results are kept as checkpoints.
+
+    It does so when the driver collects its garbage, which may otherwise be after the whole job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

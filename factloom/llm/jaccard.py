@@ -273,11 +273,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     docs = common.ensure_text(df, id_col, text_col)
     named = common.cut(classes(docs, k))
     found = common.cut(shared_segments(docs, k, percent, 2 * common.shuffle_parts(spark)))
+    common.let_go(spark)
     groups = connected(found.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
     one = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
     groups = common.cut(groups)
     # Signatures alone: what the bound can't part.
     may = common.cut(connected(_spanning(groups, found, one.select("cls", "n", "bits"), percent, tile)))
+    common.let_go(spark)
     ids = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi").select("doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
