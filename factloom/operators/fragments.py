@@ -17,6 +17,23 @@ def numbered_symbols(symbols: Column, mark: str) -> Column:
     return F.transform(symbols, lambda s: F.concat(F.lit(mark), (F.array_position(distinct, s) - 1).cast("string")))
 
 
+def normalized(df: DataFrame, columns: list[str], symbols: Column, mark: str) -> DataFrame:
+    """columns and form: all symbols of each row as numbered_symbols numbers them, joined by commas; null without any.
+
+    Symbols are rows here, numbered by sorting: numbered_symbols searches the distinct ones for
+    each symbol, which takes time with the square of their number.
+    """
+    rows = df.select(*columns, symbols.alias("_symbols"), F.monotonically_increasing_id().alias("_row"))
+    # Equal symbols lie side by side when they are sent, which the compression of shuffle files likes.
+    placed = F.when(F.size("_symbols") > 0, F.sort_array(F.arrays_zip(F.col("_symbols").alias("symbol"), F.sequence(F.lit(0), F.size("_symbols") - 1).alias("at"))))
+    rows = rows.select(*columns, "_row", F.explode_outer(placed).alias("_s")).select(*columns, "_row", F.col("_s.at").alias("_at"), F.col("_s.symbol").alias("_symbol")).repartition("_row")
+    rows = rows.withColumn("_first", F.min("_at").over(Window.partitionBy("_row", "_symbol")))
+    rows = rows.withColumn("_number", F.dense_rank().over(Window.partitionBy("_row").orderBy("_first")) - 1)
+    numbered = F.array_sort(F.collect_list(F.struct("_at", "_number")))
+    form = F.array_join(F.transform(numbered, lambda x: F.concat(F.lit(mark), x["_number"].cast("string"))), ",")
+    return rows.groupBy("_row", *columns).agg(F.when(F.count("_at") > 0, form).alias("form")).select(*columns, "form")
+
+
 def shared_only(statements: DataFrame, owner: list[str]) -> DataFrame:
     """statements, eligible only where two owners or more have the form.
 

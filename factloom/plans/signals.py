@@ -294,6 +294,16 @@ def fragment_normalized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(fragments.numbered_symbols(words, "L"), ",").alias("form"))
 
 
+@query("""
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM documents),
+f AS (SELECT *, min(p) OVER (PARTITION BY doc_id, word) AS first FROM w),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS number FROM f)
+SELECT doc_id, string_agg('L' || number, ',' ORDER BY p) AS form FROM n GROUP BY doc_id""")
+def fragment_normalized_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    return fragments.normalized(docs, ["doc_id"], F.split("text", " ", -1), "L")
+
+
 # --- nesting ---------------------------------------------------------------------------------
 
 _TAGS = r"""

@@ -84,6 +84,17 @@ def test_numbering_by_first_occurrence(spark):
     assert df.select(fragments.numbered_symbols(F.col("s"), "L").alias("n")).first()["n"] == ["L0", "L1", "L0", "L2"]
 
 
+def test_normalized_numbers_the_whole_row(spark):
+    many = [f"w{i * i % 97}" for i in range(300)]
+    rows = [(1, many), (2, [*many[:299], "other"]), (2, ["x", "y", "x"]), (3, None), (4, []), (5, [""])]
+    out = fragments.normalized(spark.createDataFrame(rows, "id int, s array<string>"), ["id"], F.col("s"), "L")
+
+    def form(s):
+        return ",".join(f"L{list(dict.fromkeys(s)).index(x)}" for x in s) if s else None
+
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, form(s)) for i, s in rows), key=str)
+
+
 EDGES = [("A", "B"), ("B", "A"), ("B", "C"), ("C", "A"), ("D", "E"), ("E", "D"), ("X", "Y"), ("Y", "Z")]
 
 
