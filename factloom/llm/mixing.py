@@ -87,21 +87,26 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
 
 
 def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of df.
+    """doc_id, size, source_size, target, taken, places of every row of df.
 
     Each source's words, document after document, form blocks of `block` words (the last may be
-    shorter); slots name the blocks to take, and a document's taken words are those of its parts
-    of blocks, each as often as slots name the block, MOST times at most. Null text has size 0
+    shorter); slots name the blocks to take, MOST times at most. A document's places are its parts
+    of blocks in the mix: (shard, slot, at, lo, n) for its n words from word lo (from 0), which
+    begin at word `at` of the block in that slot of that shard; sorted by these. All rows' places
+    together are the whole mix, and taken is the sum of a row's n. Null text has size 0
     and nothing is taken from it; a null source is a source of its own, the last; rows repeated or
     with null ids are rows like others; an empty table gives no rows. All DataFrame functions.
     """
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
     rows, sources = place(docs, [F.col("doc_id"), F.col("size")])
-    times = slots(sources, block, seed).groupBy("nosrc", "src", "index").agg(F.count(F.lit(1)).alias("times"))
-    found = pieces(rows.withColumn("row", F.when(F.col("size") == 0, F.monotonically_increasing_id())), block).join(times.hint("merge"), ["nosrc", "src", "index"], "left")
-    out = found.groupBy("nosrc", "src", "start", "row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
+    drawn = slots(sources, block, seed).groupBy("nosrc", "src", "index").agg(F.collect_list(F.struct("shard", "slot")).alias("drawn"))
+    found = pieces(rows.withColumn("row", F.when(F.col("size") == 0, F.monotonically_increasing_id())), block).join(drawn.hint("merge"), ["nosrc", "src", "index"], "left")
+    at = F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("index") * block)
+    parts = F.transform("drawn", lambda s: F.struct(s["shard"].alias("shard"), s["slot"].alias("slot"), at.alias("at"), F.col("lo").alias("lo"), F.col("n").alias("n")))
+    out = found.groupBy("nosrc", "src", "start", "row", "doc_id", "size", "source_size", "target").agg(F.sort_array(F.flatten(F.collect_list(parts))).alias("places"))
+    taken = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", taken.alias("taken"), "places")
 
 
 def mixed_texts(df: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:

@@ -373,6 +373,36 @@ def test_mixing(docs, rows, block):
     assert multiset(mixing.mix(docs.repartition(4), block=block, seed=2), "doc_id", "taken") == multiset(mixing.mix(docs, block=block, seed=2), "doc_id", "taken")
 
 
+def test_mix_fills_the_slots_of_shards(spark):
+    """The rows' places are a whole mix: gapless shards, whole blocks, source counts a draw of each shard."""
+    per, n = 64, 10_000
+    df = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 3}") for i in range(n)], "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, block=4, seed=7).collect()
+    blocks = defaultdict(list)
+    for r in got:
+        assert r["taken"] == sum(p["n"] for p in r["places"])
+        assert all(p["n"] > 0 and 0 <= p["lo"] and p["lo"] + p["n"] <= r["size"] for p in r["places"])
+        for p in r["places"]:
+            blocks[p["shard"], p["slot"]].append((p["at"], p["n"], r["doc_id"] % 3))
+    last = max(shard for shard, _ in blocks)
+    ends = [max(slot for shard, slot in blocks if shard == s) for s in range(last + 1)]
+    assert ends[:-1] == [mixing.SHARD_SLOTS - 1] * last and len(blocks) == sum(ends) + last + 1
+    for parts in blocks.values():
+        parts.sort()
+        assert [a for a, _, _ in parts] == [sum(n for _, n, _ in parts[:i]) for i in range(len(parts))]
+        assert len({s for _, _, s in parts}) == 1 and sum(n for _, n, _ in parts) <= 4
+    assert sum(sum(n for _, n, _ in parts) < 4 for parts in blocks.values()) <= 9
+    # Counts of `per` neighbouring slots spread as a draw without replacement has it, neither fixed nor clumped.
+    source = [blocks[k][0][2] for k in sorted(blocks)]
+    runs = [source[i : i + per] for i in range(0, len(source) - per + 1, per)]
+    for s in range(3):
+        share = source.count(s) / len(source)
+        counts = [run.count(s) for run in runs]
+        spread = per * share * (1 - share) * (len(source) - per) / (len(source) - 1)
+        assert abs(np.mean(counts) - per * share) < 5 * (spread / len(runs)) ** 0.5
+        assert 0.6 * spread < np.var(counts) < 1.5 * spread
+
+
 def test_mixed_texts_follow_the_targets(docs, rows):
     sizes = Counter()
     for r in rows:
