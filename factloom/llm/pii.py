@@ -15,9 +15,17 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Lengths of account numbers by country, as registered. Other countries' may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Code points that hold the longest one with its spaces and the character after it.
+IBAN_ROOM = 48
 #: A text without this can't hold the kind; much cheaper to look for.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 #: Score of a confirmed span, and what a context word shortly before it adds.
@@ -62,6 +70,35 @@ def mod97(m: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(add(acc, c))) == 1
 
 
+def _ibans(text: Column, heads: Column) -> Column:
+    """The account numbers that begin at heads (m, start), as (m, start); none begins within another.
+
+    The pattern finds country and check digits only. A number ends at the length of its country,
+    or, where none is registered, at the furthest end of a group where mod-97 holds.
+    """
+    known = "|".join(IBAN_LENGTHS[n].replace(" ", "|") for n in IBAN_LENGTHS)
+
+    def of(length: int) -> str:
+        groups, rest = divmod(length - 4, 4)
+        named = IBAN_LENGTHS.get(length, "").replace(" ", "|")
+        country = f"(?:(?!{known})[A-Z]{{2}}{'|' if named else ''}{named})"
+        return rf"^{country}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])"
+
+    patterns = F.array(*[F.lit(of(n)) for n in range(35, 11, -1)])
+
+    def ends(h: Column) -> Column:
+        room = F.substring(text, h["start"] + 1, F.lit(IBAN_ROOM))
+        found = F.filter(F.transform(patterns, lambda p: F.regexp_substr(room, p)), lambda m: F.when(m.isNotNull(), mod97(m)).otherwise(F.lit(False)))
+        return F.struct(F.get(found, F.lit(0)).alias("m"), h["start"].alias("start"))
+
+    def apart(acc: Column, x: Column) -> Column:
+        free = (F.size(acc) == 0) | (F.element_at(acc, -1)["start"] + F.length(F.element_at(acc, -1)["m"]) <= x["start"])
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    found = F.filter(F.transform(heads, ends), lambda x: x["m"].isNotNull())
+    return F.aggregate(found, F.array().cast("array<struct<m:string,start:int>>"), apart)
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     if kind == "ip":
         small = lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3
@@ -70,8 +107,6 @@ def _confirmed(kind: str, m: Column) -> Column:
         return F.when(F.length(_digits(m)).between(16, 19), luhn(_digits(m))).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(_digits(m)).between(8, 15)
-    if kind == "iban":
-        return mod97(m)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-|-0000$")
     return F.lit(True)
@@ -92,7 +127,7 @@ def _spans(kind: str, text: Column) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    kept = F.filter(raw, lambda x: _confirmed(kind, x["m"]))
+    kept = _ibans(text, raw) if kind == "iban" else F.filter(raw, lambda x: _confirmed(kind, x["m"]))
 
     def scored(x: Column) -> Column:
         lo = F.greatest(F.lit(0), x["start"] - WINDOW)

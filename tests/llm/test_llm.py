@@ -118,6 +118,25 @@ def test_pii_method_adds_and_masks(docs):
     assert masked[106]["text"] == "🙂 é <EMAIL> 🙂" and masked[100]["text"] is None
 
 
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_pii_ibans_before_any_word(spark, iban):
+    flat, wanted = iban.replace(" ", ""), []
+    texts = []
+    for own in (iban, flat):
+        for after in ("", ".", " Please pay", " 12 May", " BANK", " A 1", " 1234 5678", "\nBank", f" {own}", " DE", ", IBAN"):
+            texts.append(f"🙂 IBAN {own}{after}")
+            wanted.append([own] * (2 if after == f" {own}" else 1))
+        for bad in (f"{own}A", f"x{own}", own[:-1] + str((ord(own[-1]) + 1) % 10), own.replace("0", "O", 1)):
+            texts.append(f"IBAN {bad} Please")
+            wanted.append([])
+    # A country without a registered length: the furthest end that passes.
+    texts.append("IBAN ZZ65 1234 5678 9012 Please")
+    wanted.append(["ZZ65 1234 5678 9012"])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_pii(df).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
