@@ -196,6 +196,17 @@ def identifier_findings(spark: SparkSession, d: str) -> DataFrame:
     return identifiers.findings(rows.withColumn("character", identifiers.offending(F.col("word"))), ["source", "character"], "word", "doc_id", ["doc_id"]).select("doc_id", "source", "word", "character", "discriminator")
 
 
+@query("""
+WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_split_to_array(text, '[ \n]+')) AS word FROM documents),
+c AS (SELECT *, regexp_extract(regexp_replace(word, '^@', ''), '[^A-Za-z0-9_]') AS character FROM w WHERE word <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, character ORDER BY doc_id, word) AS rn FROM c WHERE character <> '')
+SELECT doc_id, source, word, character, CASE WHEN rn > 1 THEN 'identifier:' || doc_id ELSE 'identifier' END AS discriminator FROM r""")
+def identifier_findings_words(spark: SparkSession, d: str) -> DataFrame:
+    words = F.explode(F.array_distinct(F.filter(F.split("text", "[ \n]+", -1), lambda x: x != "")))
+    rows = table(spark, d, "documents").select("doc_id", "source", words.alias("word"))
+    return identifiers.findings(rows, ["source", "character"], "word", "doc_id", ["doc_id", "word"]).select("doc_id", "source", "word", "character", "discriminator")
+
+
 # --- n-grams and similarity ------------------------------------------------------------------
 
 _GRAMS = r"""

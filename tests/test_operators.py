@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import classify, findings, fragments, graphs, identifiers, percentiles, references, similarity, sizes
+from factloom.plans.catalog import QUERIES
 
 
 def got(df, *columns):
@@ -95,6 +96,14 @@ def test_normalized_numbers_the_whole_row(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, form(s)) for i, s in rows), key=str)
 
 
+def test_identifier_findings_reach_all_words(spark, tmp_path):
+    text = "plain " * 50
+    rows = [(2, f"{text}é-x", "s"), (1, f"{text}\n aé bé aé", "s"), (3, "naïve", "t"), (4, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["identifier_findings_words"](spark, str(tmp_path))
+    assert got(out, "doc_id", "word", "character", "discriminator") == [(1, "aé", "é", "identifier"), (1, "bé", "é", "identifier:1"), (2, "é-x", "é", "identifier:2"), (3, "naïve", "ï", "identifier")]
+
+
 EDGES = [("A", "B"), ("B", "A"), ("B", "C"), ("C", "A"), ("D", "E"), ("E", "D"), ("X", "Y"), ("Y", "Z")]
 
 
