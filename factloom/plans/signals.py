@@ -572,6 +572,18 @@ def protect_uncertain(spark: SparkSession, d: str) -> DataFrame:
     return references.match_names(uses, declared)
 
 
+@query("""
+WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages),
+w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]+')) AS name, doc_id AS symbol FROM documents),
+d AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM w WHERE name <> '')
+SELECT symbol, min(CASE WHEN n = 1 THEN 'protected' ELSE 'uncertain' END) AS state FROM d WHERE name IN (SELECT name FROM u) GROUP BY symbol""")
+def protect_uncertain_words(spark: SparkSession, d: str) -> DataFrame:
+    uses = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name"))
+    words = F.explode(F.array_distinct(F.filter(F.split("text", "[ \n]+", -1), lambda x: x != "")))
+    declared = table(spark, d, "documents").select(words.alias("name"), F.col("doc_id").alias("symbol"))
+    return references.match_names(uses, declared)
+
+
 _PATHS = "p AS (SELECT page_id, strlen(html) AS bytes, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)"
 
 

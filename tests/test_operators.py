@@ -104,6 +104,15 @@ def test_identifier_findings_reach_all_words(spark, tmp_path):
     assert got(out, "doc_id", "word", "character", "discriminator") == [(1, "aé", "é", "identifier"), (1, "bé", "é", "identifier:1"), (2, "é-x", "é", "identifier:2"), (3, "naïve", "ï", "identifier")]
 
 
+def test_names_of_all_words_are_protected_or_uncertain(spark, tmp_path):
+    rows = [(1, "once own both " * 30), (2, "own " * 50 + "both"), (3, "none\nlast"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    html = "".join(f'<a href="/{n}">' for n in ("once", "both", "last", "absent"))
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["protect_uncertain_words"](spark, str(tmp_path))
+    assert got(out, "symbol", "state") == [(1, "protected"), (2, "uncertain"), (3, "protected")]
+
+
 EDGES = [("A", "B"), ("B", "A"), ("B", "C"), ("C", "A"), ("D", "E"), ("E", "D"), ("X", "Y"), ("Y", "Z")]
 
 
