@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graphs import components as connected
 from . import common
@@ -258,16 +259,8 @@ def _spanning(groups: DataFrame, found: DataFrame, facts: DataFrame, percent: in
     return links.unionByName(tiles.groupBy("sig", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of df.
-
-    A row's set is its distinct shingles of k words, A-Z lower-cased; fewer words are one shingle,
-    none (or null text) an empty set that links with nothing. Rows link when the Jaccard
-    similarity of their sets is percent/100 or more; component_id is the smallest id that links
-    reach, a row's own included. Rows with a null id don't name a component but connect others;
-    if no row of a component has an id it is null. Repeated rows are one class. An empty table
-    gives no rows.
-    """
+def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, tile: int) -> DataFrame:
+    """doc_id, n_shingles, cls, root of every row of df: its class and one class of its component; null for an empty set."""
     spark = df.sparkSession
     common.bound_batches(spark)
     docs = common.ensure_text(df, id_col, text_col)
@@ -292,19 +285,47 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     held = some.mapInArrow(sets, "cls long, shingles binary")
     joined = connected(_spanning(may, found, held, percent, tile))
     rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "cls"))
+    return rows.withColumn("root", F.coalesce("root", "cls"))
+
+
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of df.
+
+    A row's set is its distinct shingles of k words, A-Z lower-cased; fewer words are one shingle,
+    none (or null text) an empty set that links with nothing. Rows link when the Jaccard
+    similarity of their sets is percent/100 or more; component_id is the smallest id that links
+    reach, a row's own included. Rows with a null id don't name a component but connect others;
+    if no row of a component has an id it is null. Repeated rows are one class. An empty table
+    gives no rows.
+    """
+    rows = _rooted(df, k, percent, id_col, text_col, tile)
     least = rows.where("cls is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without near-duplicates: of each component the row with its component_id.
+    """The rows of df without near-duplicates: of each component one row, the first by doc_id, null last, then class.
 
-    Rows repeated under one id are one document, of which one stays; rows with a null id stay.
+    Different texts under one id are documents of their own. Texts without words are in no
+    component and stay, once for each id that isn't null.
     """
-    found = near_duplicates(df, k, percent)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return df.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns).unionByName(df.where("doc_id is null"))
+    rows = _rooted(df, k, percent, "doc_id", "text", TILE).where("cls is not null")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_noid"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("cls").alias("_cls"))).alias("first"))
+    names = df.columns
+    text_at = names.index("text")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, values, at in _sets(batch.column(text_at), k):
+                sizes = np.diff(at)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(sizes)).columns, pa.array(class_keys(values, at), mask=sizes == 0)], names=[*names, "_cls"])
+
+    own = df.mapInArrow(named, StructType([*df.schema.fields, StructField("_cls", LongType())]))
+    own = own.withColumn("_noid", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    key = ["_cls", "_noid", "_id"]
+    one = own.join(first.select("first.*"), key, "left_semi").dropDuplicates(key).select(*names)
+    bare = df.where(~F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)))
+    return one.unionByName(bare.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(bare.where("doc_id is null"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,19 @@ def test_jaccard_components(docs, rows, k, percent, tile):
     assert multiset(jaccard.near_duplicates(docs, k, percent, tile=tile), "doc_id", "n_shingles", "component_id") == wanted
 
 
+def test_keep_one_tells_rows_of_odd_ids_apart(spark):
+    rnd = random.Random(4)
+    a, b, c, d = (" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 6) for _ in range(90)) for _ in range(4))
+    rows = [(None, a), (7, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (5, c), (5, d), (5, c), (6, d), (8, ""), (8, ""), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns
+    got = multiset(out, "doc_id", "text")
+    of_b = {t for i, t in got if i is None and t and t.startswith(b)}
+    assert len(of_b) == 1 and of_b <= {b, b + " end"}
+    assert got == Counter([(7, a), (None, *of_b), (5, c), (5, d), (8, ""), (None, None), (None, " ")])
+
+
 def test_segments_lose_no_link():
     rng = np.random.default_rng(7)
     for percent in (50, 80, 90):
