@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, drop
 
 MAX_ROUNDS = 1000
 
@@ -22,19 +22,21 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e)
-    before = None
     for _ in range(max_rounds):
+        # Done when every edge points at a least node: no node is above two others, or above and below.
+        sides = e.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        open_ = sides.groupBy("n").agg(F.max("below").alias("below"), F.sum("above").alias("above")).where("above > 1 or (above = 1 and below = 1)")
+        if open_.limit(1).count() == 0:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
-        e = small.select(F.col("m").alias("u"), "v").unionByName(small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-        e = cut(e)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        new = small.select(F.col("m").alias("u"), "v").unionByName(small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
+        new = cut(new)
+        drop(e)
+        e = new
     else:
         raise RuntimeError(f"components not found in {max_rounds} rounds")
     own = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()

@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; sets one only where none is set (tests, local runs)."""
+    """Uses the folder that the cluster names; sets one only where none is set and all run on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or "/tmp/factloom-checkpoints")
 
 
@@ -36,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared checkpoint folder: iterations start from them."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that cut gave, when nothing reads it any more."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.nodeName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
