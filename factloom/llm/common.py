@@ -10,11 +10,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -81,13 +80,22 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def let_go(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of steps whose results are kept as checkpoints.
+def filter_of(keys: DataFrame, bits: int = 25) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for 64-bit hashes: true for each h of keys, and for others with chance n / 2**bits at n keys.
 
-    It does so when the driver collects its garbage, which may otherwise be after the whole job.
+    It has 2**bits bits whatever the number of keys; with many keys it lets more through.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    have = np.zeros(1 << (bits - 6), np.uint64)
+    have[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(have)
+
+    def test(h: np.ndarray) -> np.ndarray:
+        at = h.astype(np.int64).view(np.uint64) & np.uint64((1 << bits) - 1)
+        return shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+    return test
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ more segments than two sets of the band that link can differ in, so they agree o
 segment. Classes that share a segment's content are candidates; whatever candidates connect is
 one tile. Tiles are gone through twice: first with bitmap signatures alone, whose bit counts
 bound the overlap from above and leave few classes, then with the sets of those, whose sorted
-arrays are intersected. No link is lost: segments that are empty are left out only where agreeing
+arrays are intersected. Texts stay where they are read: sets are sent of those classes only. No link is lost: segments that are empty are left out only where agreeing
 ones that aren't must remain.
 """
 
@@ -15,10 +15,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graphs import components as connected
 from . import common
@@ -29,6 +29,8 @@ BAND = 1.35
 BITMAP = 32
 #: Classes that one tile holds; larger candidate groups are split into tiles by shared segment.
 TILE = 4096
+#: Shingles that one tile holds, 8 bytes each.
+ROOM = 4_000_000
 #: Segment contents held in a task before they are sent on.
 FLUSH = 3_000_000
 
@@ -61,11 +63,12 @@ class Bands:
         return np.searchsorted(self.high, sizes)
 
 
-def signatures(values: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(segment content hash, row) for sets given flat and sorted with offsets; a set takes part
-    in its own band's scheme and in those of the bands that hold larger sets it may link with."""
+def signatures(values: np.ndarray, at: np.ndarray, bands: Bands, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(segment content hash, row) for sets given flat and sorted with offsets, or some of them; a
+    set takes part in its own band's scheme and in those of the bands that hold larger sets it may
+    link with."""
     sizes = np.diff(at)
-    full = np.flatnonzero(sizes)
+    full = np.flatnonzero(sizes if some is None else (sizes > 0) & some)
     keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if not len(full):
         return keys[0], rows[0]
@@ -105,49 +108,69 @@ def _sets(batch_text, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, cls, n_shingles, bits) of every row; cls is null for a set without shingles."""
+    """(doc_id, mark, cls, n_shingles, bits) of every row; cls is null for a set without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, values, at in _sets(batch.column(1), k):
+            for lo, values, at in _sets(batch["text"], k):
                 sizes = np.diff(at)
-                bits = [bitmap(values[at[i] : at[i + 1]]).tobytes() for i in range(len(sizes))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(sizes)], pa.array(class_keys(values, at), mask=sizes == 0), pa.array(sizes.astype(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "cls", "n_shingles", "bits"])
+                n = len(sizes)
+                bits = [bitmap(values[at[i] : at[i + 1]]).tobytes() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo : lo + n], batch["mark"][lo : lo + n], pa.array(class_keys(values, at), mask=sizes == 0), pa.array(sizes.astype(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "mark", "cls", "n_shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n_shingles long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, cls long, n_shingles long, bits binary")
+
+
+def _pack5(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack5(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
 
 
 def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """(sig, cls, first): the classes of each segment content that two classes or more share.
 
-    Tasks pack contents by part into binary rows; a part is looked through as sorted arrays.
+    Tasks pack contents by part into binary rows; a part is looked through as sorted arrays. Of a
+    content 40 bits are sent, beside the part that its upper bits name: contents confused by that
+    are candidates more, which the exact intersection parts. A task sends a class once a row.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        held, n_held, names, n_names = [], 0, [], 0
+        held, n_held, names, n_names, seen = [], 0, [], 0, set()
 
         def rows() -> pa.RecordBatch:
             keys, owner = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int64)
-            order, at = common.split_by(common.part_of(keys, parts), parts)
+            order, at = common.split_by(common.part_of(keys, parts), parts)  # owners stay in order within a part
             keys, owner = keys[order], owner[order]
             table, out = np.concatenate(names), []
             for p in range(parts):
-                own, local = np.unique(owner[at[p] : at[p + 1]], return_inverse=True)
-                if len(local):
-                    out.append((p, keys[at[p] : at[p + 1]].tobytes(), local.astype("<u4").tobytes(), table[own].tobytes()))
+                own, times = np.unique(owner[at[p] : at[p + 1]], return_counts=True)
+                if len(own):
+                    out.append((p, _pack5(keys[at[p] : at[p + 1]]), times.astype("<u2" if times.max() < 65536 else "<u4").tobytes(), table[own].tobytes()))
             held.clear()
             names.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]], names=["part", "keys", "owners", "names"])
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]], names=["part", "keys", "times", "names"])
 
         for batch in batches:
-            for _, values, at in _sets(batch.column(1), k):
-                key, row = signatures(values, at, bands)
+            for _, values, at in _sets(batch["text"], k):
+                name = class_keys(values, at)
+                fresh = np.zeros(len(name), bool)
+                for i, x in enumerate(name.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                key, row = signatures(values, at, bands, fresh)
                 if not len(key):
                     continue
                 held.append((key, row + n_names))
-                names.append(class_keys(values, at))
-                n_names += len(names[-1])
+                names.append(name)
+                n_names += len(name)
                 n_held += len(key)
                 if n_held > FLUSH:
                     yield rows()
@@ -156,9 +179,13 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
             yield rows()
 
     def match(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
-        owners = [np.frombuffer(t.as_py(), "<i8")[np.frombuffer(o.as_py(), "<u4")] for o, t in zip(table["owners"], table["names"], strict=True)]
-        c = np.concatenate(owners)
+        keys, owners = [], []
+        for x, t, o in zip(table["keys"], table["times"], table["names"], strict=True):
+            name, times = np.frombuffer(o.as_py(), "<i8"), t.as_py()
+            times = np.frombuffer(times, "<u2" if len(times) == 2 * len(name) else "<u4")
+            keys.append(_unpack5(x.as_py()))
+            owners.append(np.repeat(name, times))
+        keys, c = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
         keys, c = keys[order], c[order]
         same = np.zeros(len(keys), bool)
@@ -174,9 +201,10 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
         sizes = np.diff(np.append(starts, len(keys)))
         keep = np.repeat(sizes > 1, sizes)
         first = np.repeat(c[starts], sizes)[keep]
-        return pa.table({"sig": pa.array(keys[keep].view(np.int64)), "cls": pa.array(c[keep]), "first": pa.array(first)})
+        sig = keys[keep].astype(np.int64) | (np.int64(table["part"][0].as_py()) << np.int64(40))
+        return pa.table({"sig": pa.array(sig), "cls": pa.array(c[keep]), "first": pa.array(first)})
 
-    packed = docs.mapInArrow(pack, "part int, keys binary, owners binary, names binary")
+    packed = docs.select("text").mapInArrow(pack, "part int, keys binary, times binary, names binary")
     return packed.groupBy("part").applyInArrow(match, "sig long, cls long, first long")
 
 
@@ -234,56 +262,68 @@ def _tile_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(head[~first]), "b": pa.array(cls[~first])})
 
 
-def _spanning(groups: DataFrame, found: DataFrame, facts: DataFrame, percent: int, tile: int) -> DataFrame:
-    """(a, b): links within groups (node, root) that span the components they make, by facts (cls
-    and bits or shingles).
+def _dealt(groups: DataFrame, found: DataFrame, sizes: DataFrame, tile: int, room: int) -> tuple[DataFrame, DataFrame]:
+    """(cls, root) of groups (node, root) that are one tile, and (cls, sig, x, y) of larger ones.
 
-    A group of up to tile classes is one tile. In a larger one, the classes of each segment content
-    make tiles, one for each pair of blocks, each class in one block; contents with the same
-    classes are taken once.
+    A tile holds tile classes and room shingles at most. In a larger group, the classes of each
+    segment content make tiles, one for each pair of blocks, each class in one block; contents with
+    the same classes are taken once.
     """
-    columns = facts.columns
-    held = facts.join(groups.withColumnRenamed("node", "cls"), "cls")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    small = held.join(sizes.where(F.col("members") <= tile), "root").select("root", *columns)
-    links = small.groupBy("root").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
-    large = sizes.where(F.col("members") > tile).join(groups, "root").select(F.col("node").alias("cls"))
-    rows = found.select("sig", "cls").join(large, "cls", "left_semi")
-    alike = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"))
-    once = alike.where("members > 1").groupBy("members", "mark").agg(F.min("sig").alias("sig"))
-    rows = rows.join(once, "sig").withColumn("blocks", F.ceil(F.col("members") * 2 / F.lit(tile)).cast("int"))
+    held = groups.withColumnRenamed("node", "cls").join(sizes, "cls")
+    weight = held.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    fits = (F.col("members") <= tile) & (F.col("weight") <= room)
+    marked = common.cut(held.join(weight.select("root", fits.alias("fits")), "root"))
+    large = marked.where("not fits").select("cls", "n")
+    rows = found.select("sig", "cls").join(large, "cls")
+    alike = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"))
+    once = alike.where("members > 1").groupBy("members", "weight", "mark").agg(F.min("sig").alias("sig"))
+    blocks = F.greatest(F.ceil(F.col("members") * 2 / F.lit(tile)), F.ceil(F.col("weight") * 2 / F.lit(room))).cast("int")
+    rows = rows.join(once.select("sig", blocks.alias("blocks")), "sig")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls")
-    tiles = rows.join(facts, "cls").select("sig", "x", "y", *columns)
-    return links.unionByName(tiles.groupBy("sig", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
+    return marked.where("fits").select("cls", "root"), rows.select("cls", "sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
 
+def _spanning(small: DataFrame, large: DataFrame, facts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links that span the components in tiles as dealt, small and large, by facts (cls and bits or shingles)."""
+    links = lambda t: _tile_links(t, percent)
+    near = small.join(facts, "cls").groupBy("root").applyInArrow(links, "a long, b long")
+    far = large.join(facts, "cls").groupBy("sig", "x", "y").applyInArrow(links, "a long, b long")
+    return near, far
 
-def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, tile: int) -> DataFrame:
-    """doc_id, n_shingles, cls, root of every row of df: its class and one class of its component; null for an empty set."""
+
+def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, tile: int, room: int = ROOM) -> DataFrame:
+    """doc_id, mark, n_shingles, cls, root of every row of df: a hash of its text, its class and one
+    class of its component; null for an empty set.
+    """
     spark = df.sparkSession
     common.bound_batches(spark)
-    docs = common.ensure_text(df, id_col, text_col)
+    docs = common.ensure_text(df, id_col, text_col).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     named = common.cut(classes(docs, k))
-    found = common.cut(shared_segments(docs, k, percent, 2 * common.shuffle_parts(spark)))
-    common.let_go(spark)
+    found = common.cut(shared_segments(docs, k, percent, common.shuffle_parts(spark)))
     groups = connected(found.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
+    # A class is represented by one row: the least of its ids, or any without one.
     one = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
-    groups = common.cut(groups)
+    one = common.cut(one.join(groups.select(F.col("node").alias("cls")), "cls", "left_semi"))
+    small, large = _dealt(groups, found, one.select("cls", "n"), tile, room)
     # Signatures alone: what the bound can't part.
-    may = common.cut(connected(_spanning(groups, found, one.select("cls", "n", "bits"), percent, tile)))
-    common.let_go(spark)
-    ids = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi").select("doc_id")
+    near, far = _spanning(small, large, one.select("cls", "n", "bits"), percent)
+    near, far = common.cut(near), common.cut(far)
+    both = lambda e: e.select(F.col("a").alias("cls"), F.col("a").alias("root")).unionByName(e.select(F.col("b").alias("cls"), F.col("a").alias("root"))).distinct()
+    small, large = both(near), large.join(both(far).select("cls").distinct(), "cls", "left_semi")
+    wanted = one.join(both(near.unionByName(far)).select("cls").distinct(), "cls", "left_semi")
+    here = common.filter_of(wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, values, at in _sets(batch.column(1), k):
+            some = batch.filter(pa.array(here(batch["h"].to_numpy())))
+            for _, values, at in _sets(some["text"], k):
                 own = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(class_keys(values, at)[own]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["cls", "shingles"])
 
-    some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select("doc_id", "text")
-    held = some.mapInArrow(sets, "cls long, shingles binary")
-    joined = connected(_spanning(may, found, held, percent, tile))
+    held = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(sets, "cls long, shingles binary")
+    near, far = _spanning(small, large, held, percent)
+    joined = connected(near.unionByName(far))
     rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     return rows.withColumn("root", F.coalesce("root", "cls"))
 
@@ -307,25 +347,30 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df without near-duplicates: of each component one row, the first by doc_id, null last, then class.
 
     Different texts under one id are documents of their own. Texts without words are in no
-    component and stay, once for each id that isn't null.
+    component and stay, once for each id that isn't null. Null text is a text without words; an
+    empty table gives no rows; columns of any name stay as they are. Rows that are alone in their
+    component pass without a shuffle: a fixed number of bits tells which rows can't be among the
+    others, and those others are looked up exactly.
     """
-    rows = _rooted(df, k, percent, "doc_id", "text", TILE).where("cls is not null")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_noid"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("cls").alias("_cls"))).alias("first"))
     names = df.columns
-    text_at = names.index("text")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, values, at in _sets(batch.column(text_at), k):
-                sizes = np.diff(at)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(sizes)).columns, pa.array(class_keys(values, at), mask=sizes == 0)], names=[*names, "_cls"])
-
-    own = df.mapInArrow(named, StructType([*df.schema.fields, StructField("_cls", LongType())]))
-    own = own.withColumn("_noid", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    key = ["_cls", "_noid", "_id"]
-    one = own.join(first.select("first.*"), key, "left_semi").dropDuplicates(key).select(*names)
-    bare = df.where(~F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)))
-    return one.unionByName(bare.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(bare.where("doc_id is null"))
+    rows = _rooted(df, k, percent, "doc_id", "text", TILE)
+    # A row without words stands for itself and its id; without an id too, it isn't compared.
+    rows = rows.where("cls is not null or doc_id is not null")
+    rows = rows.select(F.col("doc_id").isNull().alias("noid"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("cls", F.lit(0)).alias("cls"), "mark", F.when(F.col("cls").isNull(), F.col("doc_id")).alias("bare"), "root")
+    group = rows.groupBy("root", "bare").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("noid", "id", "cls", "mark")).alias("first")).where("members > 1")
+    same = F.col("r.root").eqNullSafe(F.col("g.root")) & F.col("r.bare").eqNullSafe(F.col("g.bare"))
+    held = rows.alias("r").join(group.alias("g"), same)
+    held = common.cut(held.select("r.noid", "r.id", "r.mark", (F.struct("r.noid", "r.id", "r.cls", "r.mark") == F.col("g.first")).alias("stays")).groupBy("noid", "id", "mark").agg(F.max("stays").alias("stays")))
+    here = common.filter_of(held.select(F.xxhash64("noid", "id", "mark").alias("h")))
+    may = F.pandas_udf(lambda h: pd.Series(here(h.to_numpy())), "boolean")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = ["noid", "id", "mark"]
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").isNull().alias("noid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("mark"), (F.col("doc_id").isNotNull() | text.rlike(common.WORD)).alias("compared"))
+    own = own.withColumn("met", F.col("compared") & may(F.xxhash64(*key)))
+    # Rows of one id and text are always among those held, so none but those are folded here.
+    others = own.where("met").dropDuplicates(key).join(held.hint("merge"), key, "left").where(F.coalesce("stays", F.lit(True)))
+    whole = own.where("not met").select("row").unionByName(others.select("row"))
+    return whole.select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
