@@ -5,7 +5,9 @@ A string of LENGTH bytes that starts at two places contains, at both, the same s
 those whose run comes more than once meet in one part, where a stack scan over the common-prefix
 lengths of the sorted suffixes yields every interval of suffixes that share a prefix; left
 extensions within an interval show which maximal strings reach LENGTH, with all places they
-start at. Whole texts that repeat are one class, counted once.
+start at. Whole texts that repeat are one class, counted once. Positions are sampled so that
+strings of PASSAGE bytes hold one too: the same scan tells which passages repeat. Texts that hold
+no repeated run stay where they are read.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 400, 48
+#: Bytes of the strings that passages consist of, and words that a passage has more than.
+PASSAGE, PASSAGE_WORDS = 192, 50
 #: Contexts of one run that a task may hold, under 1 KB each. A run that has more goes another exact
 #: way, by hashes of whole strings, which costs some ten times the bytes.
 HOT = 100_000
@@ -75,9 +80,9 @@ def _neighbour_prefixes(sorted_texts: list[bytes]) -> np.ndarray:
     return np.array([shared_prefix(a, b) for a, b in zip(sorted_texts, sorted_texts[1:], strict=False)], np.int64)
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list[tuple[int, int, int]]:
-    """(member, left, right): how far the strings of least bytes or more reach that stand around the
-    member's position and around another member's too.
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], lengths: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
+    """(level, member, left, right): how far the strings of lengths[level] bytes or more reach that
+    stand around the member's position and around another member's too.
 
     lefts are reversed left contexts and rights right contexts, of distinct members. Members in
     suffix order and the common-prefix lengths of neighbours are scanned with a stack; each
@@ -99,7 +104,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
     while 2 << (len(least_of) - 1) < n:
         half, prev = 1 << (len(least_of) - 1), least_of[-1]
         least_of.append(np.minimum(prev[:-half], prev[half:]))
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left, right = np.zeros((len(lengths), n), np.int64), np.zeros((len(lengths), n), np.int64)
 
     def interval(lo: int, hi: int, d: int) -> None:
         r = np.sort(rank[order[lo : hi + 1]])
@@ -115,10 +120,13 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
         best = np.zeros(len(r), np.int64)
         best[:-1] = m
         best[1:] = np.maximum(best[1:], m)
-        own = best + d >= least
-        who = by_left[r[own]]
-        left[who] = np.maximum(left[who], best[own])
-        right[who] = np.maximum(right[who], d)
+        for level, least in enumerate(lengths):
+            own = best + d >= least
+            if not own.any():
+                break
+            who = by_left[r[own]]
+            left[level, who] = np.maximum(left[level, who], best[own])
+            right[level, who] = np.maximum(right[level, who], d)
 
     stack: list[tuple[int, int]] = []
     for i, d in enumerate([*depth, -1]):
@@ -128,7 +136,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
             interval(start, i, deep)
         if d >= 0 and (not stack or stack[-1][1] < d):
             stack.append((start, d))
-    return [(m, int(left[m]), int(right[m])) for m in np.flatnonzero(right).tolist()]
+    return [(level, m, int(left[level, m]), int(right[level, m])) for level in range(len(lengths)) for m in np.flatnonzero(right[level]).tolist()]
 
 
 def _name(text: bytes) -> bytes:
@@ -223,10 +231,15 @@ def repeated_runs(packed: DataFrame, length: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, "cls binary, places binary, hashes binary, sizes binary")
 
 
-def contexts(joined: DataFrame, length: int, gram: int, parts: int, hot: int) -> DataFrame:
-    """From (cls, text, found runs): (part, hash, cls, places, before, after), a row for each run and
-    context of a text with all its places; or, for a run with more than hot places, (part, hash of a
-    whole string, cls, its start, null, null)."""
+def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int, hot: int) -> DataFrame:
+    """From (cls, text, found runs): (part, hash, cls, level, places, before, after), a row for each
+    run and context of a text with all its places; or, for a run with more than hot places, (part,
+    hash of a whole string, cls, its level, its start, null, null).
+
+    A string has a sampled position among its first lengths[0] bytes, so the context goes no
+    further back than that from the one, and as far on as the longest string.
+    """
+    reach = lengths[0] - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,14 +249,16 @@ def contexts(joined: DataFrame, length: int, gram: int, parts: int, hot: int) ->
                 for found in runs:
                     at, h, n = (np.frombuffer(found[x], k) for x, k in (("places", "<i8"), ("hashes", "<u8"), ("sizes", "<i8")))
                     for p, x in zip(at[n <= hot].tolist(), h[n <= hot].tolist(), strict=True):
-                        before, after = text[max(0, p - (length - gram)) : p], text[p : p + length]
+                        before, after = text[max(0, p - reach) : p], text[p : p + lengths[-1]]
                         same.setdefault((x, len(before), before + after), []).append(p)
-                    if (n > hot).any():
+                    for level, length in enumerate(lengths if (n > hot).any() else ()):
                         buf = np.frombuffer(text, np.uint8)
-                        starts = np.unique(np.concatenate([np.arange(max(0, p - (length - gram)), min(p, len(buf) - length) + 1) for p in at[n > hot].tolist()]))
+                        if len(buf) < length:
+                            break
+                        starts = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, len(buf) - length) + 1) for p in at[n > hot].tolist()]))
                         whole = gram_hashes(buf, length)[starts]
-                        out += [(x, cls, np.array([s], "<i8").tobytes(), None, None) for s, x in zip(starts.tolist(), whole.tolist(), strict=True)]
-                out += [(x, cls, np.array(ps, "<i8").tobytes(), s[:k][::-1], s[k:]) for (x, k, s), ps in same.items()]
+                        out += [(x, cls, level, np.array([s], "<i8").tobytes(), None, None) for s, x in zip(starts.tolist(), whole.tolist(), strict=True)]
+                out += [(x, cls, 0, np.array(ps, "<i8").tobytes(), s[:k][::-1], s[k:]) for (x, k, s), ps in same.items()]
                 while len(out) > 4000:
                     yield pack(out[:4000])
                     del out[:4000]
@@ -252,14 +267,14 @@ def contexts(joined: DataFrame, length: int, gram: int, parts: int, hot: int) ->
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
         h = np.array([o[0] for o in out], np.uint64)
-        cols = [pa.array(common.part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64)), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]]
-        return pa.RecordBatch.from_arrays(cols, names=["part", "hash", "cls", "places", "before", "after"])
+        cols = [pa.array(common.part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64)), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(3, 6)]]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "hash", "cls", "level", "places", "before", "after"])
 
-    return joined.mapInArrow(run, "part int, hash long, cls binary, places binary, before binary, after binary")
+    return joined.mapInArrow(run, "part int, hash long, cls binary, level int, places binary, before binary, after binary")
 
 
-def intervals(found: DataFrame, length: int) -> DataFrame:
-    """(cls, starts, ends): the repeated strings around sampled runs, as bytes covered in each text."""
+def intervals(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(cls, level, starts, ends): the repeated strings around sampled runs, as bytes covered in each text."""
 
     def group(rows: list[dict], add) -> None:
         places: dict[tuple[bytes, bytes], dict[bytes, np.ndarray]] = {}
@@ -270,22 +285,24 @@ def intervals(found: DataFrame, length: int) -> DataFrame:
         for context in members:
             before, after = context
             own = places[context]
-            if len(before) + len(after) >= length and sum(map(len, own.values())) > 1:
-                add(own, len(before), len(after))
+            if sum(map(len, own.values())) > 1:
+                for level, length in enumerate(lengths):
+                    if len(before) + len(after) >= length:
+                        add(level, own, len(before), len(after))
         if len(members) == 2:  # the one interval of two members
             left, right = (shared_prefix(members[0][i], members[1][i]) for i in (0, 1))
-            reach = [(0, left, right), (1, left, right)] if left + right >= length else []
+            reach = [(level, i, left, right) for level, length in enumerate(lengths) if left + right >= length for i in (0, 1)]
         else:
-            reach = maximal_repeats([m[0] for m in members], [m[1] for m in members], length)
-        for i, left, right in reach:
-            add(places[members[i]], left, right)
+            reach = maximal_repeats([m[0] for m in members], [m[1] for m in members], lengths)
+        for level, i, left, right in reach:
+            add(level, places[members[i]], left, right)
 
     def run(table: pa.Table) -> pa.Table:
-        out: dict[bytes, list[np.ndarray]] = {}
+        out: dict[tuple[bytes, int], list[np.ndarray]] = {}
 
-        def add(own: dict[bytes, np.ndarray], left: int, right: int) -> None:
+        def add(level: int, own: dict[bytes, np.ndarray], left: int, right: int) -> None:
             for cls, at in own.items():
-                out.setdefault(cls, []).append(np.stack([at - left, at + right]))
+                out.setdefault((cls, level), []).append(np.stack([at - left, at + right]))
 
         table = table.sort_by("hash").combine_chunks()
         h = table["hash"].to_numpy()
@@ -300,20 +317,23 @@ def intervals(found: DataFrame, length: int) -> DataFrame:
             lo = hi
         spans = [np.concatenate(v, axis=1) for v in out.values()]
         packed = [merged(v[0], v[1]) for v in spans]
-        return pa.table({"cls": pa.array(list(out), pa.binary()), "starts": pa.array([x[0].astype("<i8").tobytes() for x in packed], pa.binary()), "ends": pa.array([x[1].astype("<i8").tobytes() for x in packed], pa.binary())})
+        return pa.table({"cls": pa.array([x[0] for x in out], pa.binary()), "level": pa.array([x[1] for x in out], pa.int32()), "starts": pa.array([x[0].astype("<i8").tobytes() for x in packed], pa.binary()), "ends": pa.array([x[1].astype("<i8").tobytes() for x in packed], pa.binary())})
 
-    near = found.where("before is not null").groupBy("part").applyInArrow(run, "cls binary, starts binary, ends binary")
+    schema = "cls binary, level int, starts binary, ends binary"
+    near = found.where("before is not null").groupBy("part").applyInArrow(run, schema)
     # Whole strings of very common runs: the same hash at two starts or more.
-    whole = found.where("before is null").select("hash", "cls", "places").distinct()
-    many = whole.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    far = whole.join(many, "hash", "left_semi").groupBy("cls").agg(F.collect_list("places").alias("at"))
+    whole = found.where("before is null").select("level", "hash", "cls", "places").distinct()
+    many = whole.groupBy("level", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("level", "hash")
+    far = whole.join(many, ["level", "hash"], "left_semi").groupBy("cls", "level").agg(F.collect_list("places").alias("at"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [np.frombuffer(b"".join(x), "<i8") for x in b["at"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["cls"], pa.array([x.tobytes() for x in at], pa.binary()), pa.array([(x + length).tobytes() for x in at], pa.binary())], names=["cls", "starts", "ends"])
+            long = [lengths[x] for x in b["level"].to_pylist()]
+            packed = [merged(np.sort(x), np.sort(x) + n) for x, n in zip(at, long, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["cls"], b["level"], *[pa.array([x[i].astype("<i8").tobytes() for x in packed], pa.binary()) for i in (0, 1)]], names=["cls", "level", "starts", "ends"])
 
-    return near.unionByName(far.mapInArrow(spans, "cls binary, starts binary, ends binary"))
+    return near.unionByName(far.mapInArrow(spans, schema))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,56 +345,79 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, if with_text) of every row.
+def passage_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> int:
+    """Words that begin in those of the runs that have more than most of them."""
+    begin = common.words(buf, np.array([0, len(buf)]), False)[1]
+    n = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
+    return int(n[n > most].sum())
+
+
+def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words (and kept, binary, if with_text) of every row.
 
     Removed is each byte covered by a string of length bytes that also starts anywhere else, in
     the same text too, judged on the texts as given. A text that comes in two rows or more is
-    removed whole if it has length bytes. Null text counts as empty; shorter texts keep all; rows
-    with null ids are rows like others; an empty table gives no rows.
+    removed whole if it has length bytes. passage_words is the number of words in passages: runs
+    of over PASSAGE_WORDS words whose bytes strings of passage bytes cover that also start
+    elsewhere; nothing is removed for these. Null text counts as empty; shorter texts keep all;
+    rows with null ids are rows like others; an empty table gives no rows.
     """
     spark = df.sparkSession
     common.bound_batches(spark)
+    lengths = (passage, length)
     parts = 4 * common.shuffle_parts(spark)
     docs = common.ensure_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    packed = sample_parts(docs.select("text"), length, gram, parts)
+    packed = sample_parts(docs.select("text"), passage, gram, parts)
     runs = common.cut(repeated_runs(packed, length))
     found = runs.groupBy("cls").agg(F.collect_list(F.struct("places", "hashes", "sizes")).alias("found"))
     named = docs.withColumn("cls", F.unhex(F.md5("text")))
     first = named.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = common.cut(first)
-    # Texts are dealt once: the row that stands for its class is part of the join's key.
-    wanted = found.join(first.select("cls", "first"), "cls")
-    texts = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["cls", "first"]).select("cls", "text", "found")
-    around = contexts(texts, length, gram, parts, hot)
-    spans = common.cut(intervals(around, length).groupBy("cls").agg(F.collect_list(F.struct("starts", "ends")).alias("spans")))
+    # Texts are dealt once, and only those that hold a run: the row that stands for its class is part of the join's key.
+    wanted = common.cut(found.join(first.select("cls", "first"), "cls"))
+    h = F.xxhash64("cls", "first").alias("h")
+    met = common.filter_of(wanted.select(h))
+    some = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63))))
+    texts = some.where(F.pandas_udf(lambda x: pd.Series(met(x.to_numpy())), "boolean")(h)).join(wanted, ["cls", "first"]).select("cls", "text", "found")
+    around = contexts(texts, lengths, gram, parts, hot)
+    spans = common.cut(intervals(around, lengths).groupBy("cls").agg(F.collect_list(F.struct("level", "starts", "ends")).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for b in batches:
             out: list[tuple] = []
             for text, copies, own in zip(_texts(b["text"]), b["copies"].to_pylist(), b["spans"].to_pylist(), strict=True):
-                if copies > 1 and len(text) >= length:
-                    s, e = np.array([0]), np.array([len(text)])
-                elif own:
-                    s, e = merged(*(np.concatenate([np.frombuffer(x[k], "<i8") for x in own]) for k in ("starts", "ends")))
-                else:
-                    s = e = np.zeros(0, np.int64)
+                level = []
+                for i, n in enumerate(lengths):
+                    mine = [x for x in own or () if x["level"] == i]
+                    if copies > 1 and len(text) >= n:
+                        level.append((np.array([0]), np.array([len(text)])))
+                    elif mine:
+                        level.append(merged(*(np.concatenate([np.frombuffer(x[k], "<i8") for x in mine]) for k in ("starts", "ends"))))
+                    else:
+                        level.append((none, none))
+                s, e = level[1]
                 at, keep = 0, []
                 for x, y in zip(s.tolist(), e.tolist(), strict=True):
                     keep.append(text[at:x])
                     at = y
                 kept = b"".join([*keep, text[at:]])
-                out.append((len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
-            cols = [b["doc_id"], *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                shared = passage_words(np.frombuffer(text, np.uint8), *level[0], PASSAGE_WORDS) if len(level[0][0]) else 0
+                out.append((len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), shared, kept))
+            cols = [b["doc_id"], *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.int64())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words"]
             if with_text:
-                cols, names = [*cols, pa.array([o[4] for o in out], pa.binary())], [*names, "kept"]
+                cols, names = [*cols, pa.array([o[5] for o in out], pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    facts = first.select("cls", "copies").join(spans, "cls", "left").where("copies > 1 or spans is not null")
-    rows = named.join(facts, "cls", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.mapInArrow(cut, schema)
+    facts = common.cut(first.select("cls", "copies").join(spans, "cls", "left").where("copies > 1 or spans is not null"))
+    listed = common.filter_of(facts.select(F.xxhash64("cls").alias("h")))
+    own = named.withColumn("listed", F.pandas_udf(lambda x: pd.Series(listed(x.to_numpy())), "boolean")(F.xxhash64("cls")))
+    among = own.where("listed").join(facts.hint("merge"), "cls", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
+    alone = own.where("not listed").select("doc_id", "text")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long" + ", kept binary" * with_text
+    whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(0).cast("long").alias("passage_words"), *[F.col("text").cast("binary").alias("kept")] * with_text]
+    return among.mapInArrow(cut, schema).unionByName(alone.select("doc_id", *whole))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

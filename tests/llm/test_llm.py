@@ -292,11 +292,17 @@ def covered(own, length):
 @pytest.mark.parametrize("hot", [100_000, 2])
 def test_repeats_equal_brute_force(docs, rows, hot):
     own = [t.encode() for t in texts(rows)]
-    wanted = Counter()
+    wanted, passages = Counter(), {}
+    for r, t, m in zip(rows, own, covered(own, 30), strict=True):
+        edges = np.diff(np.concatenate([[0], m.astype(int), [0]]))
+        runs = zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)
+        begins = [x.start() for x in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        n = [sum(a <= x < b for x in begins) for a, b in runs]
+        passages[id(r)] = sum(x for x in n if x > 50)
     for r, t, m in zip(rows, own, covered(own, 60), strict=True):
         spans = int(np.sum(np.diff(np.concatenate([[0], m.astype(int)])) == 1))
-        wanted[r[0], len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest()] += 1
-    got = multiset(repeats.remove_repeats(docs, 60, 12, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        wanted[r[0], len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest(), passages[id(r)]] += 1
+    got = multiset(repeats.remove_repeats(docs, 60, 12, hot, 30), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words")
     assert got == wanted
 
 
