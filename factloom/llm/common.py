@@ -49,6 +49,7 @@ def _return_memory() -> None:
     """
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 _return_memory()

@@ -309,9 +309,11 @@ def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, til
     # Signatures alone: what the bound can't part.
     near, far = _spanning(small, large, one.select("cls", "n", "bits"), percent)
     near, far = common.cut(near), common.cut(far)
-    both = lambda e: e.select(F.col("a").alias("cls"), F.col("a").alias("root")).unionByName(e.select(F.col("b").alias("cls"), F.col("a").alias("root"))).distinct()
-    small, large = both(near), large.join(both(far).select("cls").distinct(), "cls", "left_semi")
-    wanted = one.join(both(near.unionByName(far)).select("cls").distinct(), "cls", "left_semi")
+    # What the bound connects: a tile's links are stars already, those of larger groups go on from tile to tile.
+    ends = near.select(F.col("a").alias("node"), F.col("a").alias("root")).unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("root"))).distinct()
+    may = common.cut(ends.unionByName(connected(far)))
+    small, large = _dealt(may, found, one.select("cls", "n"), tile, room)
+    wanted = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi")
     here = common.filter_of(wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,11 +276,11 @@ def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int,
 def intervals(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(cls, level, starts, ends): the repeated strings around sampled runs, as bytes covered in each text."""
 
-    def group(rows: list[dict], add) -> None:
-        places: dict[tuple[bytes, bytes], dict[bytes, np.ndarray]] = {}
-        for r in rows:
-            own = places.setdefault((r["before"], r["after"]), {})
-            own[r["cls"]] = np.union1d(own.get(r["cls"], np.zeros(0, "<i8")), np.frombuffer(r["places"], "<i8"))
+    def group(rows: tuple[list, ...], add) -> None:
+        places: dict[tuple[bytes, bytes], dict[bytes, list[bytes]]] = {}
+        for cls, at, before, after in zip(*rows, strict=True):
+            places.setdefault((before, after), {}).setdefault(cls, []).append(at)
+        places = {x: {cls: np.unique(np.frombuffer(b"".join(at), "<i8")) for cls, at in own.items()} for x, own in places.items()}
         members = list(places)
         for context in members:
             before, after = context
@@ -304,16 +304,19 @@ def intervals(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
             for cls, at in own.items():
                 out.setdefault((cls, level), []).append(np.stack([at - left, at + right]))
 
-        table = table.sort_by("hash").combine_chunks()
         h = table["hash"].to_numpy()
+        order = np.argsort(h, kind="stable")
+        h = h[order]
         cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, int)
         lo = 0
         while lo < len(h):  # some whole groups at a time
             hi = int(cuts[max(np.searchsorted(cuts, lo + 2000, "right") - 1, np.searchsorted(cuts, lo, "right"))])
-            rows = table.slice(lo, hi - lo).select(["cls", "places", "before", "after"]).to_pylist()
+            some = table.select(["cls", "places", "before", "after"]).take(pa.array(order[lo:hi]))
+            rows = [x.to_pylist() for x in some.columns]
+            del some
             inner = cuts[(cuts >= lo) & (cuts <= hi)] - lo
             for a, b in zip(inner[:-1], inner[1:], strict=True):
-                group(rows[a:b], add)
+                group(tuple(x[a:b] for x in rows), add)
             lo = hi
         spans = [np.concatenate(v, axis=1) for v in out.values()]
         packed = [merged(v[0], v[1]) for v in spans]

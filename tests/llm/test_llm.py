@@ -201,38 +201,74 @@ def test_neighbours_recall(spark):
 # 5 ---------------------------------------------------------------------------------------------
 
 
-def test_katz_equals_brute_force(docs, rows):
-    toks = [[*bytes(t, "utf8").lower().split(), b"\n"] for t in texts(rows)]
-    learn = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1 for r in rows]
-    c = Counter(w for t, x in zip(toks, learn, strict=True) if x for w in t)
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    pairs = defaultdict(Counter)
-    for t, x in zip(toks, learn, strict=True):
-        if x:
-            for a, b in zip([None, *t[:-1]], t, strict=True):
-                pairs[a][b] += 1
-    cc = np.zeros(7, int)
-    for h in pairs.values():
-        for times in h.values():
-            if times <= 6:
-                cc[times] += 1
-    d = katz.discounts(cc)
-
-    def prob(h, w):
-        if not (own := pairs.get(h)):
-            return p(w)
-        total, kept = sum(own.values()), sum(d[min(x, 6)] * x for x in own.values())
+def good_turing(n, most=5):
+    """r* = (r + 1) n[r+1] / n[r], renormalised so that counts above most keep all (Katz, 1987), over r."""
+    out = {}
+    a = (most + 1) * n[most + 1] / n[1] if n[1] else 1.0
+    for r in range(1, most + 1):
+        out[r] = 1.0
+        if n[r] and n[r + 1] and a < 1:
+            star = (r + 1) * n[r + 1] / n[r]
+            d = (star / r - a) / (1 - a)
+            out[r] = d if 0 < d <= 1 else 1.0
+    return lambda c: out.get(c, 1.0)
+
+
+class BruteKatz:
+    def __init__(self, texts, learn):
+        self.toks = [[*bytes(t, "utf8").lower().split(), b"\n"] for t in texts]
+        self.c = Counter(w for t, x in zip(self.toks, learn, strict=True) if x for w in t)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.grams = {1: defaultdict(Counter), 2: defaultdict(Counter)}
+        for t, x in zip(self.toks, learn, strict=True):
+            for u, v, w in self.triples(t) if x else ():
+                self.grams[1][v,][w] += 1
+                self.grams[2][u, v][w] += 1
+        self.d = {k: good_turing(Counter(x for h in g.values() for x in h.values())) for k, g in self.grams.items()}
+
+    @staticmethod
+    def triples(t):
+        return zip([None, None, *t[:-2]] if len(t) > 1 else [None], [None, *t[:-1]], t, strict=True)
+
+    def p(self, w, *h):
+        if not h:
+            return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        own, d = self.grams[len(h)].get(h), self.d[len(h)]
+        if not own:
+            return self.p(w, *h[1:])
+        total, kept = sum(own.values()), sum(d(x) * x for x in own.values())
         total += total - kept <= 1e-9 * total
-        return d[min(own[w], 6)] * own[w] / total if w in own else (1 - kept / total) / (1 - sum(map(p, own))) * p(w)
+        if w in own:
+            return d(own[w]) * own[w] / total
+        return (1 - kept / total) / (1 - sum(self.p(x, *h[1:]) for x in own)) * self.p(w, *h[1:])
+
+
+def test_good_turing_by_hand():
+    n = np.array([0, 100, 40, 20, 12, 8, 5])
+    a = 6 * 5 / 100
+    wanted = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)]
+    assert np.allclose(katz.discounts(n)[1:6], [x if 0 < x <= 1 else 1 for x in wanted]) and katz.discounts(n)[6] == 1
+
 
-    for h in [None, *list(pairs)[:20]]:
-        assert math.isclose(sum(prob(h, w) for w in c) + prob(h, b"unseen word"), 1, rel_tol=1e-9)
-    wanted = sorted((r[0] is None, r[0] or 0, len(t), sum(c[w] > 0 for w in t), n, not x, round(sum(math.log10(p(w)) for w in t), 6), round(sum(math.log10(prob(a, b)) for a, b in zip([None, *t[:-1]], t, strict=True)), 6)) for r, t, x in zip(rows, toks, learn, strict=True))
+@pytest.mark.parametrize("hot,known", [(64, 65_000), (3, 8), (1, 1)])
+def test_katz_equals_brute_force(docs, rows, hot, known, monkeypatch):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "COMMON", known)
+    learn = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1 for r in rows]
+    brute = BruteKatz(texts(rows), learn)
+    for h in [*list(brute.grams[1])[:8], *list(brute.grams[2])[:25]]:
+        assert math.isclose(sum(brute.p(w, *h) for w in brute.c) + brute.p(b"unseen word", *h), 1, rel_tol=1e-9)
+    wanted = sorted((r[0] is None, r[0] or 0, len(t), sum(brute.c[w] > 0 for w in t), brute.n, not x, round(sum(math.log10(brute.p(w)) for w in t), 6), round(sum(math.log10(brute.p(w, u, v)) for u, v, w in brute.triples(t)), 6)) for r, t, x in zip(rows, brute.toks, learn, strict=True))
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs).collect())
     assert got == wanted
 
 
+def test_katz_with_nothing_to_learn_from(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = katz.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids) and all(r["score"] == r["base_score"] and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
