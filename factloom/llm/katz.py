@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,8 +526,9 @@ def _evaluate(own: pa.Table, answers: pa.Table, code: Coding, parts: int) -> pa.
     n_common = len(code.words)
     lv = _levels(p, n_common + len(p.rare))
     asked, after, _ = _wanted(p, lv, code)
-    stats = np.array(answers.filter(pa.compute.is_valid(answers["stats"]))["stats"][0].as_py())
-    answers = answers.filter(pa.compute.is_null(answers["stats"])).sort_by("word_part")
+    told = pc.is_valid(answers["stats"])
+    stats = np.frombuffer(answers.filter(told)["stats"][0].as_py(), np.float64)
+    answers = answers.filter(pc.invert(told)).sort_by("word_part")
     _, order, cut = _by_word(asked, p.rare, code, parts)
     count = np.concatenate([code.counts, np.zeros(len(p.rare), np.int64)])
     place = np.empty(len(asked), np.int64)
@@ -612,16 +614,21 @@ def score(df: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_id",
         return pa.table({"part": a["part"], "word_part": a["to"], "counts": _blob(counts), "times": _blob(times), "at": _blob([None] * a.num_rows), "hot": a["hot"]})
 
     def summary(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.table({"stats": pa.array([_answers(a, b, shared.value)[2]] if a.num_rows else [], pa.list_(pa.float64()))})
+        rows = [_answers(a, b, shared.value)[2].tobytes()] if a.num_rows else []
+        return pa.table({"k": pa.array([a["to"][0].as_py() % fan] * len(rows), pa.int32()), "stats": _blob(rows)})
 
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"k": pa.array([0], pa.int32()), "stats": _blob([np.sum([np.frombuffer(x.as_py(), np.float64) for x in t["stats"]], axis=0).tobytes()])})
+
+    fan = max(1, round(parts**0.5))
     both = asked.groupBy("to").cogroup(table.groupBy("to"))
     answers = both.applyInArrow(answer, "part int, word_part int, counts binary, times binary, at binary, hot binary")
-    # Sums over all parts of the words: 14 + 128 * 14 numbers at most, a copy for each part.
-    stats = both.applyInArrow(summary, "stats array<double>").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    stats = stats.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("stats")).where(F.size("stats") > 0)
+    # Sums over all parts of the words, in two steps: 14 + 128 * 14 numbers at most, a copy for each part.
+    stats = both.applyInArrow(summary, "k int, stats binary").groupBy("k").applyInArrow(add, "k int, stats binary")
+    stats = stats.groupBy("k").applyInArrow(add, "k int, stats binary")  # all have k 0 by now
     none = [F.lit(None).cast(k).alias(c) for c, k in (("word_part", "int"), ("counts", "binary"), ("times", "binary"), ("at", "binary"), ("hot", "binary"))]
     stats = stats.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *none, "stats")
-    told = answers.withColumn("stats", F.lit(None).cast("array<double>")).unionByName(stats)
+    told = answers.withColumn("stats", F.lit(None).cast("binary")).unionByName(stats)
 
     def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows:
