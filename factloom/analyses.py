@@ -16,6 +16,20 @@ from .options import Analysis, Descriptor, Effective, Option, Registry
 
 Facts = Mapping[str, DataFrame]
 
+#: The fact tables that each analysis reads.
+READS = {
+    "method-control-flow-outliers": ("members",),
+    "code-size-candidates": ("documents", "members", "type_parts"),
+    "duplicate-code-candidates": ("body_tokens",),
+    "structural-duplication-candidates": ("statements",),
+    "type-dependency-cycle-candidates": ("type_declarations", "type_edges", "types"),
+    "type-dependency-hub-candidates": ("type_declarations", "type_edges", "types"),
+    "indirection-drift-candidates": ("forwarders",),
+    "missing-test-evidence-candidates": ("call_uncertainty", "calls", "functions"),
+    "dead-code-candidates": ("declarations", "protected", "reference_uncertainty", "references"),
+    "non-ascii-identifiers": ("declarations",),
+}
+
 
 def _whole(low: int, high: int | None = None):
     return lambda v: isinstance(v, int) and v >= low and (high is None or v <= high)
@@ -58,9 +72,12 @@ def duplicate_code(facts: Facts, o: Effective) -> DataFrame:
     bodies = facts["body_tokens"]
     sets = similarity.gram_sets(bodies, "owner_id", "tokens", o.general["minTokens"])
     found = similarity.clusters(similarity.similar_pairs(sets, similarity.LEVELS[o.general["minimumSimilarity"]]))
-    members = found.groupBy("cluster_id", "score").agg(F.count(F.lit(1)).alias("members"))
-    at = bodies.select(F.col("owner_id").alias("cluster_id"), "project_path", "source_path", F.col("line").alias("start_line"))
-    return _finding(members.join(at, "cluster_id"), "duplicate-code-candidates", "duplicate-code-cluster", "cluster_id", {"memberCount": "members", "similarity": "score"})
+    # The member that stands for a cluster is the first by project, source, line and identity.
+    place = F.struct("project_path", "source_path", F.col("line").alias("start_line"), F.col("owner_id").alias("subject"))
+    at = bodies.select(F.col("owner_id").alias("member"), place.alias("at"))
+    least = F.lit(similarity.LEVELS[o.general["minimumSimilarity"]])
+    rows = found.join(at, "member").groupBy("cluster_id", "score").agg(F.count(F.lit(1)).alias("members"), F.min("at").alias("at")).select("*", "at.*").withColumn("threshold", least)
+    return _finding(rows, "duplicate-code-candidates", "duplicate-code-cluster", "subject", {"memberCount": "members", "similarityScore": "score", "minimumSimilarityThreshold": "threshold"})
 
 
 def structural_duplication(facts: Facts, o: Effective) -> DataFrame:
@@ -109,7 +126,7 @@ def missing_evidence(facts: Facts, o: Effective) -> DataFrame:
     v, nodes = o.general, facts["functions"]
     calls = facts["calls"].select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     kinds = graphs.reach(calls, nodes.select(F.col("symbol_id").alias("node"), "is_root", (~F.col("is_test")).alias("is_production")))
-    affected = facts["call_uncertainty"].select(F.col("symbol_id").alias("node"), "is_global")
+    affected = facts["call_uncertainty"].select(F.col("symbol_id").alias("source"), F.col("affected_symbol_id").alias("node"), "is_global")
     doubt = graphs.uncertain(calls, nodes.select(F.col("symbol_id").alias("node")), affected, nodes.where("is_root").select(F.col("symbol_id").alias("node")))
     rows = nodes.withColumnRenamed("symbol_id", "node").join(kinds, "node").join(doubt, "node")
     some = (F.col("decisions") >= v["minDecisionCount"]) | (F.col("nesting") >= v["minDecisionNesting"])

@@ -13,7 +13,7 @@ import json
 import sys
 from pathlib import Path
 
-from .analyses import registry
+from .analyses import READS, registry
 from .options import InvalidOptions
 from .sources import config as configuration
 from .sources import facts, report
@@ -42,9 +42,14 @@ def review(folder: str, config: str | None, output: str | None, spark=None) -> d
         raise Failed(2, "INVALID_INPUT", f"no fact tables in {folder}")
     spark = spark or session("review")
     try:
-        tables = facts.read(spark, folder, names)
+        try:
+            tables = facts.read(spark, folder, names, [t for a, on, _ in settings["analyses"] if on for t in READS[a.descriptor.id]])
+        except ValueError as e:
+            raise Failed(2, "INVALID_INPUT", str(e)) from e
         found = {a.descriptor.id: a.run(tables, options).cache() for a, on, options in settings["analyses"] if on}
         counts = {k: v.count() for k, v in found.items()}
+    except Failed:
+        raise
     except Exception as e:
         raise Failed(3, "ANALYSIS_FAILED", str(e).split("\n")[0]) from e
     try:

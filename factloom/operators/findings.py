@@ -17,15 +17,19 @@ def finding_id(*parts: Column) -> Column:
 
 
 def project_key(path: Column) -> Column:
-    """A slug of at most 32 characters and 8 hex digits that tell equal slugs apart."""
+    """p-, a slug of at most 32 characters and 8 hex digits that tell equal slugs apart.
+
+    Each character that a slug can't have is a dash; dashes at its ends go before it is cut.
+    """
     name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    slug = F.substring(F.regexp_replace(name, "[^A-Za-z0-9_-]+", "-"), 1, 32)
-    slug = F.regexp_replace(slug, "^-+|-+$", "")
-    return F.concat(F.when(slug == "", "project").otherwise(slug), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
+    slug = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_-]", "-"), "^-+|-+$", "")
+    slug = F.when(slug == "", "project").otherwise(F.substring(slug, 1, 32))
+    return F.concat(F.lit("p-"), slug, F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
 
 
-def type_id(symbol: Column) -> Column:
-    return F.concat(F.lit("t-"), F.substring(F.sha2(symbol, 256), 1, 16))
+def type_id(project: Column, symbol: Column) -> Column:
+    """t- and 16 hex digits of the digest of project key and symbol."""
+    return F.concat(F.lit("t-"), F.substring(F.sha2(F.concat_ws(":", project, symbol), 256), 1, 16))
 
 
 def areas(subjects: DataFrame, key: list[str]) -> DataFrame:

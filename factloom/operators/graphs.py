@@ -220,11 +220,14 @@ def closure(edges: DataFrame, seeds: DataFrame, max_length: int = MAX_ROUNDS) ->
 
 
 def uncertain(edges: DataFrame, nodes: DataFrame, affected: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, uncertain): what a reachable affected node (node, is_global) leads to; if a reachable
-    one is global, every node."""
+    """(node, uncertain): the nodes that uncertainties (source, node, is_global) with a reachable
+    source affect, and what these lead to; if one of them is global, every node.
+
+    What is affected need not be reachable itself; a global uncertainty affects no node of its own.
+    """
     met = closure(edges, roots)
-    hit = cut(affected.join(met, "node", "left_semi"))
-    after = closure(edges, hit.select("node"))
+    hit = cut(affected.join(met.select(F.col("node").alias("source")), "source", "left_semi"))
+    after = closure(edges, hit.where("not is_global and node is not null").select("node"))
     everywhere = hit.agg(F.coalesce(F.max("is_global"), F.lit(False)).alias("everywhere"))
     marked = nodes.select("node").distinct().join(after.withColumn("marked", F.lit(True)), "node", "left")
     return marked.crossJoin(F.broadcast(everywhere)).select("node", (F.col("everywhere") | F.coalesce("marked", F.lit(False))).alias("uncertain"))

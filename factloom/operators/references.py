@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,15 +30,35 @@ def with_parents(symbols: DataFrame, containing: DataFrame) -> DataFrame:
 
 
 def match_names(uses: DataFrame, declared: DataFrame) -> DataFrame:
-    """(symbol, state) from uses (name, kind) of declared names (name, symbol).
+    """(symbol, state) from uses (name) of declared names (name, symbol).
 
     One match is protected, several make each of them uncertain; a use without a match says
     nothing. A symbol that any use protects is protected, uses that leave it uncertain aside.
+    Matches are counted where they are, so a very common name is one row to join.
     """
-    d = declared.select("name", "symbol").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    hits = uses.select("name").distinct().join(d, "name")
+    d = declared.select("name", "symbol").distinct().join(uses.select("name").distinct(), "name", "left_semi")
     state = F.when(F.col("n") == 1, "protected").otherwise("uncertain")
-    return hits.groupBy("symbol").agg(F.min(state).alias("state"))
+    counted = d.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", state.alias("state"))
+    return d.join(counted, "name").groupBy("symbol").agg(F.min("state").alias("state"))
+
+
+def match_members(uses: DataFrame, members: DataFrame) -> DataFrame:
+    """(symbol, state) from uses (owner, name) of members (owner, name, symbol, is_method) of types.
+
+    One member of that name in the owner is protected, several are uncertain. Where the owner has
+    none, or the use names no single owner (null), every method of that name anywhere is
+    uncertain; a use without a name (an expression) makes all methods of its owner uncertain. A
+    symbol that any use protects is protected.
+    """
+    m, u = members.distinct(), uses.select("owner", "name").distinct()
+    named = u.where("owner is not null and name is not null")
+    n = m.groupBy("owner", "name").agg(F.count(F.lit(1)).alias("n"))
+    found = named.join(n, ["owner", "name"])
+    own = m.join(found, ["owner", "name"]).select("symbol", F.when(F.col("n") == 1, "protected").otherwise("uncertain").alias("state"))
+    astray = named.join(n, ["owner", "name"], "left_anti").select("name").unionByName(u.where("owner is null and name is not null").select("name")).distinct()
+    far = m.where("is_method").join(astray, "name", "left_semi").select("symbol", F.lit("uncertain").alias("state"))
+    whole = m.where("is_method").join(u.where("owner is not null and name is null").select("owner").distinct(), "owner", "left_semi").select("symbol", F.lit("uncertain").alias("state"))
+    return own.unionByName(far).unionByName(whole).groupBy("symbol").agg(F.min("state").alias("state"))
 
 
 def owner_by_longest_prefix(paths: DataFrame, owners: DataFrame) -> DataFrame:
@@ -53,8 +73,13 @@ def owner_by_longest_prefix(paths: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def unique_on(df: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key occurs once: an identity that several rows share is none."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n = 1").drop("_n")
+    """Rows whose key occurs once: an identity that several rows share is none.
+
+    Counts meet before rows do, so a key that very many rows share is no group of a task. Rows
+    without a key (null) are no identity.
+    """
+    once = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    return df.join(once, key, "left_semi")
 
 
 def with_attributes(declarations: DataFrame, wanted: list[str]) -> DataFrame:

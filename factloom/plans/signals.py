@@ -186,22 +186,12 @@ def non_ascii_first(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("character", identifiers.offending(F.col("word"))).where("character is not null")
 
 
-@query("""
-WITH w AS (SELECT doc_id, source, regexp_extract(text, '[^ \n]+') AS word FROM documents),
-c AS (SELECT *, regexp_extract(regexp_replace(word, '^@', ''), '[^A-Za-z0-9_]') AS character FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, character ORDER BY doc_id) AS rn FROM c WHERE character <> '')
-SELECT doc_id, source, word, character, CASE WHEN rn > 1 THEN 'identifier:' || doc_id ELSE 'identifier' END AS discriminator FROM r""")
-def identifier_findings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "source", F.regexp_extract("text", "[^ \n]+", 0).alias("word"))
-    return identifiers.findings(rows.withColumn("character", identifiers.offending(F.col("word"))), ["source", "character"], "word", "doc_id", ["doc_id"]).select("doc_id", "source", "word", "character", "discriminator")
-
-
 @query("""
 WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_split_to_array(text, '[ \n]+')) AS word FROM documents),
 c AS (SELECT *, regexp_extract(regexp_replace(word, '^@', ''), '[^A-Za-z0-9_]') AS character FROM w WHERE word <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, character ORDER BY doc_id, word) AS rn FROM c WHERE character <> '')
 SELECT doc_id, source, word, character, CASE WHEN rn > 1 THEN 'identifier:' || doc_id ELSE 'identifier' END AS discriminator FROM r""")
-def identifier_findings_words(spark: SparkSession, d: str) -> DataFrame:
+def identifier_findings(spark: SparkSession, d: str) -> DataFrame:
     words = F.explode(F.array_distinct(F.filter(F.split("text", "[ \n]+", -1), lambda x: x != "")))
     rows = table(spark, d, "documents").select("doc_id", "source", words.alias("word"))
     return identifiers.findings(rows, ["source", "character"], "word", "doc_id", ["doc_id", "word"]).select("doc_id", "source", "word", "character", "discriminator")
@@ -297,20 +287,12 @@ def fragments_maximal(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("group").alias("grp"), "doc_id", *long("first", "last", "tokens", "owners", "occurrences"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, string_split(text, ' ')[1:40] AS l FROM documents)
-SELECT doc_id, array_to_string(list_transform(l, lambda x: 'L' || (len(list_distinct(l[1:list_position(l, x)])) - 1)), ',') AS form FROM w""")
-def fragment_normalized(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split("text", " ", -1), 1, 40)
-    return table(spark, d, "documents").select("doc_id", F.array_join(fragments.numbered_symbols(words, "L"), ",").alias("form"))
-
-
 @query("""
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM documents),
 f AS (SELECT *, min(p) OVER (PARTITION BY doc_id, word) AS first FROM w),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS number FROM f)
 SELECT doc_id, string_agg('L' || number, ',' ORDER BY p) AS form FROM n GROUP BY doc_id""")
-def fragment_normalized_whole(spark: SparkSession, d: str) -> DataFrame:
+def fragment_normalized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     return fragments.normalized(docs, ["doc_id"], F.split("text", " ", -1), "L")
 
@@ -480,12 +462,12 @@ def reach_direct_indirect(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH RECURSIVE {_REACH},
 m AS (SELECT DISTINCT node FROM r),
-a AS (SELECT node, node = 33 AS everywhere FROM n WHERE node % 11 = 3 AND node IN (SELECT node FROM m)),
-u AS (SELECT node FROM a UNION SELECT e.b FROM u JOIN e ON e.a = u.node)
+a AS (SELECT node + 1 AS node, node = 33 AS everywhere FROM n WHERE node % 11 = 3 AND node IN (SELECT node FROM m)),
+u AS (SELECT node FROM a WHERE NOT everywhere UNION SELECT e.b FROM u JOIN e ON e.a = u.node)
 SELECT node, node IN (SELECT node FROM u) OR (SELECT coalesce(bool_or(everywhere), false) FROM a) AS uncertain FROM n""")
 def uncertainty_closure(spark: SparkSession, d: str) -> DataFrame:
     users = _users(spark, d)
-    affected = users.where("node % 11 = 3").select("node", (F.col("node") == 33).alias("is_global"))
+    affected = users.where("node % 11 = 3").select(F.col("node").alias("source"), (F.col("node") + 1).alias("node"), (F.col("node") == 33).alias("is_global"))
     return graphs.uncertain(_edges(spark, d, 5_000_000), users, affected, users.where("is_root"))
 
 
@@ -561,23 +543,12 @@ def reference_fanout(spark: SparkSession, d: str) -> DataFrame:
     return references.fan_out(refs, types).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages),
-w AS (SELECT DISTINCT regexp_extract(text, '[^ \n]+') AS name, doc_id AS symbol FROM documents),
-d AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM w)
-SELECT symbol, min(CASE WHEN n = 1 THEN 'protected' ELSE 'uncertain' END) AS state FROM d WHERE name IN (SELECT name FROM u) GROUP BY symbol""")
-def protect_uncertain(spark: SparkSession, d: str) -> DataFrame:
-    uses = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name"))
-    declared = table(spark, d, "documents").select(F.regexp_extract("text", "[^ \n]+", 0).alias("name"), F.col("doc_id").alias("symbol"))
-    return references.match_names(uses, declared)
-
-
 @query("""
 WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages),
 w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]+')) AS name, doc_id AS symbol FROM documents),
 d AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM w WHERE name <> '')
 SELECT symbol, min(CASE WHEN n = 1 THEN 'protected' ELSE 'uncertain' END) AS state FROM d WHERE name IN (SELECT name FROM u) GROUP BY symbol""")
-def protect_uncertain_words(spark: SparkSession, d: str) -> DataFrame:
+def protect_uncertain(spark: SparkSession, d: str) -> DataFrame:
     uses = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name"))
     words = F.explode(F.array_distinct(F.filter(F.split("text", "[ \n]+", -1), lambda x: x != "")))
     declared = table(spark, d, "documents").select(words.alias("name"), F.col("doc_id").alias("symbol"))
@@ -665,11 +636,11 @@ def finding_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT s_suppkey, trim(substring(regexp_replace(regexp_replace(s_name, '\.[^.]*$', ''), '[^A-Za-z0-9_-]+', '-', 'g'), 1, 32), '-') || '-' || substring(sha256('src/' || s_name || '.csproj'), 1, 8) AS project_key,
-  't-' || substring(sha256(s_name), 1, 16) AS type_id FROM supplier""")
+SELECT s_suppkey, project_key, 't-' || substring(sha256(project_key || ':' || s_name), 1, 16) AS type_id FROM (
+  SELECT s_suppkey, s_name, 'p-' || substring(trim(regexp_replace(regexp_replace(s_name, '\.[^.]*$', ''), '[^A-Za-z0-9_-]', '-', 'g'), '-'), 1, 32) || '-' || substring(sha256('src/' || s_name || '.csproj'), 1, 8) AS project_key FROM supplier)""")
 def project_keys(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("src/"), "s_name", F.lit(".csproj"))
-    return table(spark, d, "supplier").select("s_suppkey", findings.project_key(path).alias("project_key"), findings.type_id(F.col("s_name")).alias("type_id"))
+    return table(spark, d, "supplier").select("s_suppkey", findings.project_key(path).alias("project_key"), findings.type_id(findings.project_key(path), F.col("s_name")).alias("type_id"))
 
 
 @query("SELECT p_name, count(DISTINCT (p_brand, p_type)) AS meanings FROM part GROUP BY p_name HAVING count(DISTINCT (p_brand, p_type)) > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import json
 import os
 import re
@@ -106,9 +107,10 @@ def publish(found: dict[str, DataFrame], output: str | Path, options: dict | Non
             (aside / ".owner").unlink()
             os.rename(aside, output / name)
             return output / name
-        except OSError:
+        except OSError as e:
             shutil.rmtree(aside, ignore_errors=True)
-            if wait is None:
+            # Locks pass; a full disk or a missing folder doesn't.
+            if wait is None or e.errno not in (errno.EACCES, errno.EBUSY, errno.EAGAIN, errno.ETXTBSY):
                 raise
             time.sleep(wait)
     raise AssertionError

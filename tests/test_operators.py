@@ -1,5 +1,6 @@
 """Boundary cases of the review operators as small rows."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def test_identifier_findings_reach_all_words(spark, tmp_path):
     text = "plain " * 50
     rows = [(2, f"{text}é-x", "s"), (1, f"{text}\n aé bé aé", "s"), (3, "naïve", "t"), (4, None, "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = QUERIES["identifier_findings_words"](spark, str(tmp_path))
+    out = QUERIES["identifier_findings"](spark, str(tmp_path))
     assert got(out, "doc_id", "word", "character", "discriminator") == [(1, "aé", "é", "identifier"), (1, "bé", "é", "identifier:1"), (2, "é-x", "é", "identifier:2"), (3, "naïve", "ï", "identifier")]
 
 
@@ -109,7 +110,7 @@ def test_names_of_all_words_are_protected_or_uncertain(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     html = "".join(f'<a href="/{n}">' for n in ("once", "both", "last", "absent"))
     spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    out = QUERIES["protect_uncertain_words"](spark, str(tmp_path))
+    out = QUERIES["protect_uncertain"](spark, str(tmp_path))
     assert got(out, "symbol", "state") == [(1, "protected"), (2, "uncertain"), (3, "protected")]
 
 
@@ -143,9 +144,12 @@ def test_uncertainty(spark):
     nodes = spark.createDataFrame([(x,) for x in "TABCD"], "node string")
     edges = spark.createDataFrame([("T", "A"), ("A", "B"), ("C", "D")], "a string, b string")
     roots = nodes.where("node = 'T'")
-    mark = lambda rows: dict(got(graphs.uncertain(edges, nodes, spark.createDataFrame(rows, "node string, is_global boolean"), roots), "node", "uncertain"))
-    assert mark([("A", False), ("C", True)]) == {"T": False, "A": True, "B": True, "C": False, "D": False}
-    assert all(mark([("B", True)]).values())
+    mark = lambda rows: dict(got(graphs.uncertain(edges, nodes, spark.createDataFrame(rows, "source string, node string, is_global boolean"), roots), "node", "uncertain"))
+    assert mark([("A", "A", False), ("C", None, True)]) == {"T": False, "A": True, "B": True, "C": False, "D": False}
+    assert all(mark([("B", None, True)]).values())
+    # The source is met, what it affects isn't; and the other way round.
+    assert mark([("B", "C", False)]) == {"T": False, "A": False, "B": False, "C": True, "D": True}
+    assert not any(mark([("C", "A", False)]).values())
 
 
 def test_empty_graphs(spark):
@@ -165,6 +169,23 @@ def test_name_matches(spark):
     assert got(references.match_names(uses, declared), "symbol", "state") == [(1, "protected"), (2, "uncertain"), (3, "uncertain")]
 
 
+def test_member_matches(spark):
+    members = spark.createDataFrame([("X", "Go", 1, True), ("X", "Two", 2, True), ("X", "Two", 3, True), ("Y", "Save", 4, True), ("Y", "Save", 5, False), ("Z", "Any", 6, True), ("Z", "Prop", 7, False)], "owner string, name string, symbol long, is_method boolean")
+    use = lambda *rows: got(references.match_members(spark.createDataFrame(rows, "owner string, name string"), members), "symbol", "state")
+    assert use(("X", "Go"), ("X", "Two")) == [(1, "protected"), (2, "uncertain"), (3, "uncertain")]
+    assert use(("X", "Save")) == [(4, "uncertain")] and use((None, "Go"), ("X", "Go")) == [(1, "protected")]
+    assert use(("Z", None)) == [(6, "uncertain")] and use(("X", "Nowhere")) == []
+
+
+def test_project_keys_and_type_ids(spark):
+    paths = ["src/..A b+c.csproj", "src/" + "x" * 40 + ".csproj", "src/+.csproj"]
+    keys = [r["k"] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(findings.project_key(F.col("p")).alias("k")).collect()]
+    digest = lambda t, n: hashlib.sha256(t.encode()).hexdigest()[:n]
+    assert keys == [f"p-{slug}-{digest(p, 8)}" for slug, p in zip(["A-b-c", "x" * 32, "project"], paths, strict=True)]
+    row = spark.range(1).select(findings.type_id(F.lit(keys[0]), F.lit("T:N.C")).alias("t")).first()
+    assert row["t"] == "t-" + digest(f"{keys[0]}:T:N.C", 16)
+
+
 def test_longest_prefix(spark):
     owners = spark.createDataFrame([("", "root"), ("a/b", "ab"), ("a", "a")], "dir string, owner string")
     paths = spark.createDataFrame([("a/b/c.x",), ("a/c.x",), ("z.x",), ("ab/c.x",)], "path string")

@@ -86,6 +86,17 @@ def test_text_tree(spark, tmp_path):
     assert got == {"x/A.cs": False, "B.g.cs": True}
 
 
+def test_markup_tree(spark, tmp_path):
+    root = tmp_path / "temp" / "project"  # only folders below the root are left out
+    for f, text in (("a.razor", "<p/>"), ("sub/b.js", ""), ("obj/c.js", "x"), ("node_modules/d/e.js", ""), ("f.cs", "")):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text(text)
+    got = {r["file_path"]: r["text"] for r in facts.markup(spark, str(root)).collect()}
+    assert got == {"a.razor": "<p/>", "sub/b.js": ""}
+    with pytest.raises(ValueError):
+        facts.markup(spark, str(root), most_files=1)
+
+
 def test_markdown_pieces():
     assert report.code_span("a`b") == "``a`b``"
     assert report.number(2.0) == "2" and report.number(0.125) in ("0.12", "0.13")
@@ -99,6 +110,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path)]) == 2
     decl = [("p", "a.cs", "T", "type", "Größe", None, "Internal", [], 3)]
     spark.createDataFrame(decl, facts.SCHEMAS["declarations"]).write.parquet(f"{tmp_path}/declarations.parquet")
+    with pytest.raises(cli.Failed, match="statements"):  # tables that enabled analyses read aren't there
+        cli.review(str(tmp_path), None, str(tmp_path / "out"), spark)
+    for name, schema in facts.SCHEMAS.items():
+        if name != "declarations":
+            spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     out = cli.review(str(tmp_path), None, str(tmp_path / "out"), spark)
     assert out["findings"]["non-ascii-identifiers"] == 1 and (tmp_path / "out").exists()
 
