@@ -9,14 +9,17 @@ from . import common
 
 # The patterns of the kinds. Possessive quantifiers and the condition that a match
 # begins where its first run of characters begins, or at the end of the match before, change no
-# match; they keep the work linear in the text and the matcher's stack flat.
+# match; they keep the work linear in the text and the matcher's stack flat. Digits with single
+# separators between them match as a whole run, so that runs of 16 to 19 are found at once.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,3}+(?:api ?key|access ?key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?[a-z0-9_+/.-]{8,4000}={0,2}",
 }
 #: Lengths of account numbers by country, as registered. Other countries' may have any length.
 IBAN_LENGTHS = {
@@ -28,8 +31,8 @@ IBAN_LENGTHS = {
 IBAN_ROOM = 48
 #: A text without this can't hold the kind; much cheaper to look for.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
-#: Score of a confirmed span, and what a context word shortly before it adds.
-SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.95, "ssn": 0.4}
+#: Score of a confirmed span, and what a context word shortly before or after it adds.
+SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.95, "ssn": 0.4, "key": 0.8, "secret": 0.6}
 CONTEXT = {
     "email": "e-?mail|contact|write to",
     "ip": "ip|host|server|address",
@@ -37,7 +40,11 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank",
     "ssn": "ssn|social|security",
+    "key": "key|secret|token|credential",
+    "secret": "key|secret|login|user|auth|credential",
 }
+#: Bits a character that a secret's characters have at least; words and repeated signs have less.
+ENTROPY = 2.8
 BASE, BONUS, WINDOW, LEAST = ("email", "ip", "card", "phone"), 0.1, 40, 0.5
 #: Kinds that only a context word lifts over LEAST get this instead of BONUS.
 STRONG_BONUS = {"ssn": 0.4}
@@ -99,6 +106,22 @@ def _ibans(text: Column, heads: Column) -> Column:
     return F.aggregate(found, F.array().cast("array<struct<m:string,start:int>>"), apart)
 
 
+def entropy(value: Column) -> Column:
+    """Bits a character: of the distribution of the characters of value (not empty) among themselves."""
+    n = F.length(value).cast("double")
+
+    def add(acc: Column, c: Column) -> Column:
+        share = (n - F.length(F.replace(value, c, F.lit("")))) / n
+        return acc - share * F.log2(share)
+
+    return F.aggregate(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), F.lit(0.0), add)
+
+
+def secret_value(m: Column) -> Column:
+    """The value at the end of an assignment."""
+    return F.regexp_substr(m, F.lit("[A-Za-z0-9_+/.-]+={0,2}$"))
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     if kind == "ip":
         small = lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3
@@ -109,6 +132,11 @@ def _confirmed(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(8, 15)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-|-0000$")
+    if kind == "key":
+        return m.startswith("-----") | (entropy(m) >= ENTROPY)
+    if kind == "secret":
+        value = secret_value(m)
+        return F.coalesce(value.rlike("[0-9]") & (F.length(value) >= 8) & (entropy(value) >= ENTROPY), F.lit(False))
     return F.lit(True)
 
 
@@ -116,38 +144,47 @@ def _spans(kind: str, text: Column) -> Column:
     """The kind's spans in text order: array of (kind, start, end, score), in code points, end exclusive."""
     pattern = PATTERNS[kind]
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    # Only confirmed spans are gathered: work grows with the text and with what is found in it.
+    tried = (lambda m: F.lit(True)) if kind == "iban" else lambda m: _confirmed(kind, m)
     raw = F.aggregate(
         F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("out")),
         lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
             F.struct(
                 (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start")))).alias("out"),
+                F.when(tried(x["m"]), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start"))))).otherwise(acc["out"]).alias("out"),
             )
         ),
         lambda acc: acc["out"],
     )
-    kept = _ibans(text, raw) if kind == "iban" else F.filter(raw, lambda x: _confirmed(kind, x["m"]))
+    kept = _ibans(text, raw) if kind == "iban" else raw
+    if kind == "secret":  # the span is the value alone
+        kept = F.transform(kept, lambda x: F.struct(secret_value(x["m"]).alias("m"), (x["start"] + F.length(x["m"]) - F.length(secret_value(x["m"]))).alias("start")))
 
     def scored(x: Column) -> Column:
         lo = F.greatest(F.lit(0), x["start"] - WINDOW)
-        near = F.lower(F.substring(text, lo + 1, x["start"] - lo))
+        end = x["start"] + F.length(x["m"])
+        near = F.lower(F.concat(F.substring(text, lo + 1, x["start"] - lo), F.lit(" "), F.substring(text, end + 1, F.lit(WINDOW))))
         score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), F.lit(STRONG_BONUS.get(kind, BONUS))).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     out = F.transform(kept, scored)
     if kind not in BASE:
         out = F.filter(out, lambda x: x["score"] >= LEAST)
     there = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    there = there & text.rlike("[0-9]") if kind != "email" else there
+    there = there & text.rlike("[0-9]") if kind not in ("email", "key") else there
+    if kind == "secret":
+        there = there & text.rlike("[:=]")
     return F.when(there, out).otherwise(none)
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array of (kind, start, end, score), by kind as in PATTERNS, then start.
 
-    Base kinds (email, ip, card, phone) keep every confirmed match; further kinds (iban, ssn) keep
-    those whose score, raised by a context word within WINDOW code points before, is LEAST or more.
+    Base kinds (email, ip, card, phone) keep every confirmed match; further kinds (iban, ssn, key,
+    secret) keep those whose score, raised by a context word within WINDOW code points before or
+    after, is LEAST or more. A secret is the value given to a token, password or key; it has a
+    digit and ENTROPY bits a character, as have keys, which are known by how they begin.
     Null text counts as empty; rows repeated or with null ids are rows like others; an empty table
     gives no rows.
     """
@@ -170,7 +207,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """df with the personal data in its text masked and n_chars counted again; null text stays null."""
+    """df with the personal data in its text masked and n_chars counted again; null text stays null.
+
+    Rows repeated are each masked, and alike; an empty table gives no rows; columns of any name
+    stay as they are.
+    """
     spans = F.concat(*[_spans(k, F.coalesce(F.col("text"), F.lit(""))) for k in PATTERNS])
     out = df.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), spans)))
     return out.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in df.columns])
@@ -180,4 +221,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(common.table(spark, sf_dir, "documents"))
     of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     line = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(line(of(BASE)), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(line(of(BASE)), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in PATTERNS if k not in BASE], F.size("spans").cast("long").alias("n_spans"))
