@@ -113,25 +113,41 @@ def mixed_texts(df: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of df (doc_id, text, lang, source, n_chars among them).
 
     A document comes once for each pass that takes any of its blocks, with the words of the blocks
-    taken in that pass and the white space before them; what no slot names is left out.
+    taken in that pass and the white space before them; what no slot names is left out. A null
+    text has no words and is left out; a null source is a source of its own, the last; rows
+    repeated, or without ids, are rows like others; an empty table gives no rows; columns of any
+    name stay as they are, n_chars is counted again.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = df.withColumn("src", F.col("source")).withColumn("size", F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long"))
-    docs = docs.withColumn("mark", F.xxhash64("text"))
-    rows, sources = place(docs.select("doc_id", "src", "size", "mark").where("size > 0"), [F.col("doc_id"), F.col("size"), F.col("mark")])
+    names = df.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"),
+        F.col("doc_id").alias("doc_id"),
+        F.col("source").isNull().alias("nosrc"),
+        F.coalesce("source", F.lit("")).alias("src"),
+        F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"),
+        F.xxhash64("text").alias("mark"),
+    ).where("size > 0")
+    lean = docs.select("doc_id", F.when(~F.col("nosrc"), F.col("src")).alias("src"), "size", "mark")
+    rows, sources = place(lean, [F.col("doc_id"), F.col("size"), F.col("mark")])
     times = slots(sources, block, seed).groupBy("nosrc", "src", "index").agg(F.count(F.lit(1)).cast("int").alias("times"))
     found = pieces(rows, block).join(times.hint("merge"), ["nosrc", "src", "index"])
     taken = found.groupBy("doc_id", "size", "mark", "nosrc", "src", "start").agg(F.max("times").alias("most"), F.sort_array(F.collect_list(F.struct("lo", "n", "times"))).alias("parts"))
-    taken = taken.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "size", "mark", "nosrc", "src").orderBy("start")))
-    docs = docs.withColumn("nosrc", F.col("src").isNull()).withColumn("src", F.coalesce("src", F.lit("")))
-    docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "size", "mark", "nosrc", "src").orderBy(F.lit(1))))
-    both = docs.alias("d").join(taken.alias("t"), (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("d.size") == F.col("t.size")) & (F.col("d.mark") == F.col("t.mark")) & (F.col("d.nosrc") == F.col("t.nosrc")) & (F.col("d.src") == F.col("t.src")) & (F.col("d.rn") == F.col("t.rn")))
-    both = both.select(*[F.col(f"d.`{c}`") for c in df.columns], "t.parts", F.explode(F.sequence(F.lit(1), F.col("t.most"))).alias("copy"))
+    key = ["doc_id", "size", "mark", "nosrc", "src"]
+    # Rows that are equal in these are equal in text: which of them gets which place makes no difference.
+    taken = taken.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("start")))
+    docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
+    for c in [*key[1:], "rn"]:
+        same = same & (F.col(f"d.{c}") == F.col(f"t.{c}"))
+    both = docs.alias("d").join(taken.alias("t"), same)
+    both = both.select("d.own", "t.parts", F.explode(F.sequence(F.lit(1), F.col("t.most"))).alias("copy"))
     # The words are an argument of the outer transform, so that they are found once, not for each part.
-    bits = F.array(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
+    bits = F.array(F.regexp_extract_all(F.col("own.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
     chosen = F.transform(bits, lambda b: F.array_join(F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= F.col("copy")), lambda p: F.slice(b, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), ""))
-    both = both.withColumn("text", F.get(chosen, F.lit(0)))
-    return both.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    both = both.select("own", F.get(chosen, F.lit(0)).alias("mixed"))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return both.select(*[new.get(c, F.col("own")[c]).alias(c) for c in names])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
