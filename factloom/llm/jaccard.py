@@ -25,8 +25,6 @@ from . import common
 
 #: Sizes of a band grow by this factor.
 BAND = 1.35
-#: Words of 64 bits in a signature.
-BITMAP = 32
 #: Classes that one tile holds; larger candidate groups are split into tiles by shared segment.
 TILE = 4096
 #: Shingles that one tile holds, 8 bytes each.
@@ -209,37 +207,55 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP * 64, bool)
-    bits[(values % np.uint64(BITMAP * 64)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+    """Hashed bits of a set: a power of two of them, twice its size or more, so that they tell large sets apart too."""
+    bits = np.zeros(max(256, 1 << (2 * len(values) - 1).bit_length()), bool)
+    bits[(values & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def link_tile(size: np.ndarray, bits: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
-    """Component of each set of a tile, by sizes and bitmaps (one row each), under links of pairs
-    that may reach percent/100 by the bound, or, with the sets given, that do.
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of longer bitmaps as the bitmaps of that many words that their sets would have."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def link_tile(size: np.ndarray, bits: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """Component of each set of a tile, by sizes and bitmaps, under links of pairs that may reach
+    percent/100 by the bound, or, with the sets given, that do.
 
     A pair already connected is not looked at again.
     """
     order = np.argsort(size, kind="stable")
-    size, bits = size[order], bits[order]
+    size, bits = size[order], [bits[i] for i in order]
     root = np.arange(len(size))
-    for i in range(len(size)):
-        # Larger sets of the size band: percent * larger <= 100 * smaller.
-        hi = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-        js = np.arange(i + 1, hi)
-        js = js[root[js] != root[i]]
-        if not len(js):
-            continue
-        apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-        most = (size[js] + size[i] - apart) // 2  # the overlap can't be larger
-        for j in js[100 * most >= percent * (size[js] + size[i] - most)]:
-            if root[j] == root[i]:
+    # Longer bitmaps belong to larger sets, so those of one length stand together.
+    length = np.array([len(x) for x in bits])
+    starts = np.flatnonzero(np.concatenate([[True], length[1:] != length[:-1]])) if len(bits) else np.zeros(0, int)
+    stops = np.append(starts[1:], len(bits))
+    levels = [np.stack(bits[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    for level, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+        # All sets from this length on that one of this length may link with, as bitmaps of this length.
+        reach = int(np.searchsorted(size, size[b - 1] * 100 // percent, "right"))
+        same = np.concatenate([folded(x, levels[level].shape[1]) for x, at in zip(levels[level:], starts[level:], strict=True) if at < reach])
+        for i in range(a, b):
+            # Larger sets of the size band: percent * larger <= 100 * smaller.
+            hi = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+            js = np.arange(i + 1, hi)
+            js = js[root[js] != root[i]]
+            if not len(js):
                 continue
-            if sets is not None:
-                shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-                if 100 * shared < percent * (size[i] + size[j] - shared):
+            apart = np.bitwise_count(same[js - a] ^ same[i - a]).sum(1, dtype=np.int64)
+            most = (size[js] + size[i] - apart) // 2  # the overlap can't be larger
+            for j in js[100 * most >= percent * (size[js] + size[i] - most)]:
+                if root[j] == root[i]:
                     continue
-            root[root == root[j]] = root[i]
+                if sets is not None:
+                    shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+                    if 100 * shared < percent * (size[i] + size[j] - shared):
+                        continue
+                root[root == root[j]] = root[i]
     out = np.empty(len(size), np.int64)
     out[order] = root
     return out
@@ -250,10 +266,10 @@ def _tile_links(table: pa.Table, percent: int) -> pa.Table:
     cls, at = np.unique(table["cls"].to_numpy(), return_index=True)
     if "shingles" in table.column_names:
         sets = [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in at]
-        size, bits = np.array([len(x) for x in sets]), np.stack([bitmap(x) for x in sets])
+        size, bits = np.array([len(x) for x in sets]), [bitmap(x) for x in sets]
     else:
         sets, size = None, table["n"].to_numpy()[at]
-        bits = np.stack([np.frombuffer(table["bits"][int(i)].as_py(), np.uint64) for i in at])
+        bits = [np.frombuffer(table["bits"][int(i)].as_py(), np.uint64) for i in at]
     comp = link_tile(size, bits, percent, sets)
     order = np.argsort(comp, kind="stable")
     comp, cls = comp[order], cls[order]

@@ -11,6 +11,7 @@ from .jaccard import op8_jaccard
 from .katz import op5_katz
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
+from .oracles import OP7_REPEATS, OP8_JACCARD
 from .pii import op2_pii
 from .quality import op6_quality
 from .repeats import op7_repeats
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_repeats": OP7_REPEATS, "op8_jaccard": OP8_JACCARD}

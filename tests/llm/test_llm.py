@@ -6,13 +6,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from factloom.llm import bpe, common, jaccard, katz, mixing, neighbours, permute, pii, quality, repeats, sharding, token_counts
+from factloom.llm import bpe, common, jaccard, katz, mixing, neighbours, permute, pii, quality, queries, repeats, sharding, token_counts
 from pyspark.sql import functions as F
 
+from ..harness import by_spark, by_sql
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls string, row string, bucket string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -460,6 +463,30 @@ def test_keep_one_tells_rows_of_odd_ids_apart(spark):
     assert got == Counter([(7, a), (None, *of_b), (5, c), (5, d), (8, ""), (None, None), (None, " ")])
 
 
+def test_bitmaps_bound_and_tell_apart():
+    """No pair that links is ruled out, and unrelated sets are, small and large, across bitmap lengths."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for percent in (50, 80, 90):
+        sets, pair = [], []
+        for n in (1, 5, 100, 127, 128, 129, 250, 257, 1000, 3000, 9000):
+            a = draw(n)
+            gone = len(a) * (100 - percent) // 200
+            b = np.unique(np.concatenate([a[gone:], draw(gone)])) if gone else a.copy()
+            pair.append((len(sets), len(sets) + 1))
+            sets += [a, b]
+        size, bits = np.array([len(x) for x in sets]), [jaccard.bitmap(x) for x in sets]
+        comp, exact = jaccard.link_tile(size, bits, percent), jaccard.link_tile(size, bits, percent, sets)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                shared = len(np.intersect1d(x, sets[j]))
+                linked = 100 * shared >= percent * (len(x) + len(sets[j]) - shared)
+                assert not linked or comp[i] == comp[j] and exact[i] == exact[j]
+                assert linked or exact[i] != exact[j]
+                if (j, i) not in pair and min(len(x), len(sets[j])) >= 100:
+                    assert comp[i] != comp[j]
+
+
 def test_segments_lose_no_link():
     rng = np.random.default_rng(7)
     for percent in (50, 80, 90):
@@ -476,6 +503,14 @@ def test_segments_lose_no_link():
             assert set(key[row == 0]) & set(key[row == 1])
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    columns, got = by_spark(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    names, wanted = by_sql(queries.ORACLES[name], "/root/testdata/sf0.001")
+    assert sorted(columns) == sorted(names) and got == wanted
+
+
 # 9 and 10 --------------------------------------------------------------------------------------
 
 
