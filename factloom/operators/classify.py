@@ -11,7 +11,6 @@ TEST_NAME_SUFFIXES = ["Tests", "Test", "UnitTests", "UnitTest", "IntegrationTest
 TEST_PATH_SEGMENTS = ["test", "tests", "unittests", "integrationtests", "fasttests", "componenttests", "testkit", "spec", "specs"]
 GENERATED_FILE_SUFFIXES = [".g.cs", ".g.i.cs", ".generated.cs", ".designer.cs"]
 GENERATED_MARKER = "<auto-generated"
-GENERATED_ATTRIBUTES = ["System.CodeDom.Compiler.GeneratedCodeAttribute", "System.Runtime.CompilerServices.CompilerGeneratedAttribute"]
 HEADER_LINES = 5
 
 

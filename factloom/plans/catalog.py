@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import subjects  # noqa: F401  registers its queries
 from .signals import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
