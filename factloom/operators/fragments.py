@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def encode(parts: Column) -> Column:
     """An unambiguous join of strings: each as its length, a colon and itself."""
@@ -79,11 +81,25 @@ def groups(runs: DataFrame, owner: list[str]) -> DataFrame:
 
 def maximal(grouped: DataFrame, owner: list[str]) -> DataFrame:
     """Groups not contained in a larger one: suppressed is a group each of whose occurrences lies
-    within an occurrence of one and the same group with more statements."""
+    within an occurrence of one and the same group with more statements.
+
+    If all of them lie at one place of the larger group, all have the same neighbour on one side
+    too, so the run that is longer by that neighbour is the same group everywhere: two equality
+    joins find these. Only a group that comes twice or more in one list can lie at several places
+    of a larger group; occurrences of such groups alone are compared with the runs around them.
+    """
     key = [*owner, "list_id"]
-    g = grouped.withColumn("length", F.col("last") - F.col("first") + 1)
-    small = g.select(*key, F.col("group").alias("inner"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("length").alias("n"), F.col("occurrences").alias("needed"))
+    g = cut(grouped.withColumn("length", F.col("last") - F.col("first") + 1))
+    left = g.select(*key, (F.col("first") + 1).alias("first"), "last", F.col("group").alias("before"))
+    right = g.select(*key, "first", (F.col("last") - 1).alias("last"), F.col("group").alias("after"))
+    around = g.join(left, [*key, "first", "last"], "left").join(right, [*key, "first", "last"], "left")
+    same = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+    one = F.struct(*key)
+    facts = around.groupBy("group").agg(F.coalesce(same("before") | same("after"), F.lit(False)).alias("gone"), (F.count_distinct(one) < F.count(F.lit(1))).alias("twice"))
+    facts = cut(facts)
+    open_ = facts.where("not gone and twice").select("group")
+    small = g.join(open_, "group", "left_semi").select(*key, F.col("group").alias("inner"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("length").alias("n"), F.col("occurrences").alias("needed"))
     inside = small.join(g.select(*key, "group", "first", "last", "length"), key).where("f >= first and l <= last and n < length")
     covered = inside.groupBy("inner", "group", "needed").agg(F.count_distinct(*[F.col(c) for c in key], F.col("f"), F.col("l")).alias("covered"))
-    gone = covered.where("covered = needed").select(F.col("inner").alias("group")).distinct()
+    gone = covered.where("covered = needed").select(F.col("inner").alias("group")).unionByName(facts.where("gone").select("group")).distinct()
     return grouped.join(gone, "group", "left_anti")

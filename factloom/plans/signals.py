@@ -255,9 +255,10 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
 # --- fragments -------------------------------------------------------------------------------
 
 _RUNS = r"""
-ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ordinal FROM documents),
-i AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS tokens, sum(CASE WHEN trim(line) <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM ls),
-ok AS (SELECT * FROM i WHERE trim(line) <> ''),
+ls AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ordinal FROM documents),
+many AS (SELECT line FROM ls WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT doc_id) > 1),
+i AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS tokens, trim(line) <> '' AND line IN (SELECT line FROM many) AS own FROM ls),
+ok AS MATERIALIZED (SELECT * FROM (SELECT *, sum(CASE WHEN own THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM i) WHERE own),
 w AS (SELECT a.doc_id, a.ordinal AS first, b.ordinal AS last FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND a.island = b.island AND b.ordinal >= a.ordinal + 2),
 f AS (SELECT w.doc_id, w.first, w.last, sum(tokens)::BIGINT AS tokens, sha256(string_agg(length(line) || ':' || line, '' ORDER BY ordinal)) AS grp
   FROM w JOIN ok ON ok.doc_id = w.doc_id AND ok.ordinal BETWEEN w.first AND w.last GROUP BY ALL HAVING sum(tokens) >= 60),

@@ -76,6 +76,27 @@ def test_fragments_need_two_owners_and_are_maximal(spark):
     assert got(fragments.maximal(runs, ["owner"]), "owner", "first", "last") == [("a", 0, 3), ("b", 0, 3)]
 
 
+def test_maximal_equals_the_definition(spark):
+    import random
+
+    for seed in range(6):
+        rnd = random.Random(seed)
+        lists = {o: [rnd.choice("ab" if seed % 2 else "abc") for _ in range(rnd.randint(3, 9))] for o in range(6)}
+        lists[1] = lists[0] + lists[0][:4]
+        rows = [(o, 0, i, x, 30, True) for o, xs in lists.items() for i, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "owner long, list_id int, ordinal long, form string, tokens long, eligible boolean")
+        out = got(fragments.maximal(fragments.groups(fragments.windows(df, ["owner"], 3, 60), ["owner"]), ["owner"]), "owner", "first", "last")
+        runs = {}
+        for o, xs in lists.items():
+            for i in range(len(xs)):
+                for j in range(i + 2, len(xs)):
+                    runs.setdefault("".join(xs[i : j + 1]), []).append((o, i, j))
+        runs = {k: v for k, v in runs.items() if len({o for o, _, _ in v}) > 1}
+        within = lambda x, ys: any(o == x[0] and i <= x[1] and x[2] <= j for o, i, j in ys)
+        kept = [k for k, v in runs.items() if not any(len(m) > len(k) and all(within(x, w) for x in v) for m, w in runs.items())]
+        assert out == sorted(x for k in kept for x in runs[k])
+
+
 def test_an_ineligible_statement_ends_a_run(spark):
     df = spark.createDataFrame([("a", 0, i, f"s{i}", 30, i != 2) for i in range(5)], "owner string, list_id int, ordinal long, form string, tokens long, eligible boolean")
     assert fragments.windows(df, ["owner"], 3, 60).count() == 0
