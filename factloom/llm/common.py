@@ -13,13 +13,13 @@ import ctypes
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
@@ -81,22 +81,19 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def filter_of(keys: DataFrame, bits: int = 25) -> Callable[[np.ndarray], np.ndarray]:
-    """A test for 64-bit hashes: true for each h of keys, and for others with chance n / 2**bits at n keys.
+def among(df: DataFrame, h: Column, keys: DataFrame, name: str, bits: int = 25) -> DataFrame:
+    """df with a column that is true where the hash h is one of keys (h), and elsewhere with chance n / 2**bits at n keys.
 
-    It has 2**bits bits whatever the number of keys; with many keys it lets more through.
+    What is broadcast are 2**bits bits as at most 2**(bits - 6) long integers, whatever the number
+    of keys; with many keys more rows are let through to the exact join that follows.
     """
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = keys.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    have = np.zeros(1 << (bits - 6), np.uint64)
-    have[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(have)
-
-    def test(h: np.ndarray) -> np.ndarray:
-        at = h.astype(np.int64).view(np.uint64) & np.uint64((1 << bits) - 1)
-        return shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-    return test
+    words = keys.select(F.shiftrightunsigned(slot, 6).alias("_slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("_slot").agg(F.bit_or("bit").alias("_bits"))
+    own = h.bitwiseAND(F.lit((1 << bits) - 1))
+    rows = df.withColumn("_h", own).withColumn("_slot", F.shiftrightunsigned(F.col("_h"), 6))
+    rows = rows.join(F.broadcast(cut(words)), "_slot", "left")
+    test = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_h & 63 as int)) & 1L") == 1, F.lit(False))
+    return rows.withColumn(name, test).drop("_h", "_slot", "_bits")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -330,16 +329,16 @@ def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, til
     may = common.cut(ends.unionByName(connected(far)))
     small, large = _dealt(may, found, one.select("cls", "n"), tile, room)
     wanted = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi")
-    here = common.filter_of(wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(here(batch["h"].to_numpy())))
-            for _, values, at in _sets(some["text"], k):
+            for _, values, at in _sets(batch["text"], k):
                 own = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(class_keys(values, at)[own]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["cls", "shingles"])
 
-    held = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(sets, "cls long, shingles binary")
+    h = F.xxhash64("doc_id")
+    some = common.among(docs.select("doc_id", "text"), h, wanted.select(h.alias("h")), "met").where("met")
+    held = some.select("text").mapInArrow(sets, "cls long, shingles binary")
     near, far = _spanning(small, large, held, percent)
     joined = connected(near.unionByName(far))
     rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
@@ -379,12 +378,10 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     same = F.col("r.root").eqNullSafe(F.col("g.root")) & F.col("r.bare").eqNullSafe(F.col("g.bare"))
     held = rows.alias("r").join(group.alias("g"), same)
     held = common.cut(held.select("r.noid", "r.id", "r.mark", (F.struct("r.noid", "r.id", "r.cls", "r.mark") == F.col("g.first")).alias("stays")).groupBy("noid", "id", "mark").agg(F.max("stays").alias("stays")))
-    here = common.filter_of(held.select(F.xxhash64("noid", "id", "mark").alias("h")))
-    may = F.pandas_udf(lambda h: pd.Series(here(h.to_numpy())), "boolean")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = ["noid", "id", "mark"]
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").isNull().alias("noid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("mark"), (F.col("doc_id").isNotNull() | text.rlike(common.WORD)).alias("compared"))
-    own = own.withColumn("met", F.col("compared") & may(F.xxhash64(*key)))
+    own = common.among(own, F.xxhash64(*key), held.select(F.xxhash64(*key).alias("h")), "met").withColumn("met", F.col("met") & F.col("compared"))
     # Rows of one id and text are always among those held, so none but those are folded here.
     others = own.where("met").dropDuplicates(key).join(held.hint("merge"), key, "left").where(F.coalesce("stays", F.lit(True)))
     whole = own.where("not met").select("row").unionByName(others.select("row"))

@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,9 +378,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     # Texts are dealt once, and only those that hold a run: the row that stands for its class is part of the join's key.
     wanted = common.cut(found.join(first.select("cls", "first"), "cls"))
     h = F.xxhash64("cls", "first").alias("h")
-    met = common.filter_of(wanted.select(h))
     some = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63))))
-    texts = some.where(F.pandas_udf(lambda x: pd.Series(met(x.to_numpy())), "boolean")(h)).join(wanted, ["cls", "first"]).select("cls", "text", "found")
+    texts = common.among(some, F.xxhash64("cls", "first"), wanted.select(h), "met").where("met").drop("met").join(wanted, ["cls", "first"]).select("cls", "text", "found")
     around = contexts(texts, lengths, gram, parts, hot)
     spans = common.cut(intervals(around, lengths).groupBy("cls").agg(F.collect_list(F.struct("level", "starts", "ends")).alias("spans")))
 
@@ -414,8 +412,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     facts = common.cut(first.select("cls", "copies").join(spans, "cls", "left").where("copies > 1 or spans is not null"))
-    listed = common.filter_of(facts.select(F.xxhash64("cls").alias("h")))
-    own = named.withColumn("listed", F.pandas_udf(lambda x: pd.Series(listed(x.to_numpy())), "boolean")(F.xxhash64("cls")))
+    own = common.among(named, F.xxhash64("cls"), facts.select(F.xxhash64("cls").alias("h")), "listed")
     among = own.where("listed").join(facts.hint("merge"), "cls", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
     alone = own.where("not listed").select("doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long" + ", kept binary" * with_text
