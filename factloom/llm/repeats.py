@@ -13,6 +13,7 @@ no repeated run stay where they are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ LENGTH, GRAM = 400, 48
 PASSAGE, PASSAGE_WORDS = 192, 50
 #: Contexts of one run that a task may hold, under 1 KB each. A run that has more goes another exact
 #: way, by hashes of whole strings, which costs some ten times the bytes.
-HOT = 100_000
+HOT = 30_000
+#: Spans that a task of intervals holds before it gives them away, beside those of one run.
+SPANS = 100_000
+RUN = np.dtype([("place", "<i8"), ("hash", "<u8"), ("size", "<i8")])
 
 
 def gram_hashes(buf: np.ndarray, length: int) -> np.ndarray:
@@ -146,44 +150,71 @@ def _texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sample_parts(texts: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """(part, hashes, places, owners): sampled runs of every text, packed by part of their hash."""
+def dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """An even spread over parts: sampled runs have the least hashes around, so their upper bits are nearly all 0."""
+    return common.part_of(common.mix(keys), parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names, n_held = [], [], 0
-
-        def rows() -> pa.RecordBatch:
-            keys, at, owner = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order, cut = common.split_by(common.part_of(keys, parts), parts)
-            table, out = np.frombuffer(b"".join(names), "V16"), []
-            for p in range(parts):
-                idx = order[cut[p] : cut[p + 1]]
-                if len(idx):
-                    own, local = np.unique(owner[idx], return_inverse=True)
-                    out.append((p, keys[idx].tobytes(), at[idx].astype("<i8").tobytes(), local.astype("<u4").tobytes(), table[own].tobytes()))
-            held.clear()
-            names.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=["part", "hashes", "places", "owners", "names"])
 
+PACKED = "part int, hashes binary, places binary, owners binary, names binary"
+
+
+class Packing:
+    """Hashed places of texts, packed by part of their hash: rows of PACKED."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.names, self.n = parts, [], [], 0
+
+    def add(self, name: bytes, keys: np.ndarray, at: np.ndarray) -> None:
+        if len(keys):
+            self.held.append((keys, at, np.full(len(at), len(self.names), np.int64)))
+            self.names.append(name)
+            self.n += len(at)
+
+    def rows(self) -> pa.RecordBatch:
+        keys, at, owner = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        order, cut = common.split_by(dealt(keys, self.parts), self.parts)
+        table, out = np.frombuffer(b"".join(self.names), "V16"), []
+        for p in range(self.parts):
+            idx = order[cut[p] : cut[p + 1]]
+            if len(idx):
+                own, local = np.unique(owner[idx], return_inverse=True)
+                out.append((p, keys[idx].tobytes(), at[idx].astype("<i8").tobytes(), local.astype("<u4").tobytes(), table[own].tobytes()))
+        self.__init__(self.parts)
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=["part", "hashes", "places", "owners", "names"])
+
+
+def new_contexts(buf: np.ndarray, at: np.ndarray, reach: int, length: int) -> np.ndarray:
+    """1 for the first place in a text of each context of a run, else 0."""
+    lo = np.maximum(at - reach, 0)
+    h = common.mix(common.span_hashes(buf, lo, np.minimum(at + length, len(buf))) + (at - lo).astype(np.uint64))
+    out = np.zeros(len(at), np.int64)
+    out[np.unique(h, return_index=True)[1]] = 1
+    return out
+
+
+def sample_parts(texts: DataFrame, lengths: tuple[int, ...], gram: int, parts: int) -> DataFrame:
+    """PACKED: sampled runs of every text; a place is doubled, and one more where its context is new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packing = Packing(parts)
         for batch in batches:
             for text in _texts(batch.column(0)):
-                at, h = sampled(np.frombuffer(text, np.uint8), length, gram)
+                buf = np.frombuffer(text, np.uint8)
+                at, h = sampled(buf, lengths[0], gram)
                 if len(at):
-                    held.append((h, at, np.full(len(at), len(names), np.int64)))
-                    names.append(_name(text))
-                    n_held += len(at)
-            if n_held > 1_000_000:
-                yield rows()
-                n_held = 0
-        if held:
-            yield rows()
+                    packing.add(_name(text), h, 2 * at + new_contexts(buf, at, lengths[0] - gram, lengths[-1]))
+            if packing.n > 1_000_000:
+                yield packing.rows()
+        if packing.n:
+            yield packing.rows()
 
-    return texts.mapInArrow(run, "part int, hashes binary, places binary, owners binary, names binary")
+    return texts.mapInArrow(run, PACKED)
 
 
-def repeated_runs(packed: DataFrame, length: int) -> DataFrame:
-    """(cls, places, hashes, sizes): each text's sampled runs that come at two places or more, and
-    about how many contexts a run has over all texts."""
+def repeated_runs(packed: DataFrame, hot: int) -> DataFrame:
+    """(cls, runs, hot): each text's sampled runs that come at two places or more, as RUN: their
+    places, hashes, and how many contexts a run has over all texts, copies of a text being one;
+    hot, if one has more than that."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]])
@@ -212,28 +243,24 @@ def repeated_runs(packed: DataFrame, length: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
         keep = np.repeat(sizes, sizes) > 1
-        # Contexts: places that go on at the same short distance in a text have the same one.
-        gap = np.zeros(len(keys), np.int64)
-        gap[1:] = np.where((keys[1:] == keys[:-1]) & (c[1:] == c[:-1]), at[1:] - at[:-1], 0)
-        again = np.zeros(len(keys), bool)
-        again[1:] = (gap[1:] > 0) & (gap[1:] == gap[:-1]) & (gap[1:] <= length)
-        sizes = np.repeat(np.add.reduceat(~again, starts, dtype=np.int64), sizes) if len(keys) else sizes
+        if len(keys):
+            sizes = np.repeat(np.add.reduceat(at & 1, starts), sizes)
         keys, at, c, sizes = keys[keep], at[keep], c[keep], sizes[keep]
         order = np.argsort(c, kind="stable")
         keys, at, c, sizes = keys[order], at[order], c[order], sizes[order]
         cut = np.searchsorted(c, np.arange(len(number) + 1))
         by = sorted(number)
         some = [i for i in range(len(number)) if cut[i + 1] > cut[i]]
-        blob = lambda x, kind: pa.array([x[cut[i] : cut[i + 1]].astype(kind).tobytes() for i in some], pa.binary())
-        return pa.table({"cls": pa.array([by[i] for i in some], pa.binary()), "places": blob(at, "<i8"), "hashes": blob(keys, "<u8"), "sizes": blob(sizes, "<i8")})
+        runs = np.empty(len(keys), RUN)
+        runs["place"], runs["hash"], runs["size"] = at >> 1, keys, sizes
+        return pa.table({"cls": pa.array([by[i] for i in some], pa.binary()), "runs": pa.array([runs[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), "hot": pa.array([bool((sizes[cut[i] : cut[i + 1]] > hot).any()) for i in some], pa.bool_())})
 
-    return packed.groupBy("part").applyInArrow(run, "cls binary, places binary, hashes binary, sizes binary")
+    return packed.groupBy("part").applyInArrow(run, "cls binary, runs binary, hot boolean")
 
 
-def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int, hot: int) -> DataFrame:
-    """From (cls, text, found runs): (part, hash, cls, level, places, before, after), a row for each
-    run and context of a text with all its places; or, for a run with more than hot places, (part,
-    hash of a whole string, cls, its level, its start, null, null).
+def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, hot: int) -> DataFrame:
+    """From (cls, text, found runs): (hash, cls, places, before, after), a row for each run and
+    context of a text with all its places, for runs of at most hot contexts.
 
     A string has a sampled position among its first lengths[0] bytes, so the context goes no
     further back than that from the one, and as far on as the longest string.
@@ -246,18 +273,11 @@ def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int,
             for cls, text, runs in zip(batch["cls"].to_pylist(), _texts(batch["text"]), batch["found"].to_pylist(), strict=True):
                 same: dict[tuple, list[int]] = {}
                 for found in runs:
-                    at, h, n = (np.frombuffer(found[x], k) for x, k in (("places", "<i8"), ("hashes", "<u8"), ("sizes", "<i8")))
+                    at, h, n = (np.frombuffer(found, RUN)[x] for x in ("place", "hash", "size"))
                     for p, x in zip(at[n <= hot].tolist(), h[n <= hot].tolist(), strict=True):
                         before, after = text[max(0, p - reach) : p], text[p : p + lengths[-1]]
                         same.setdefault((x, len(before), before + after), []).append(p)
-                    for level, length in enumerate(lengths if (n > hot).any() else ()):
-                        buf = np.frombuffer(text, np.uint8)
-                        if len(buf) < length:
-                            break
-                        starts = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, len(buf) - length) + 1) for p in at[n > hot].tolist()]))
-                        whole = gram_hashes(buf, length)[starts]
-                        out += [(x, cls, level, np.array([s], "<i8").tobytes(), None, None) for s, x in zip(starts.tolist(), whole.tolist(), strict=True)]
-                out += [(x, cls, 0, np.array(ps, "<i8").tobytes(), s[:k][::-1], s[k:]) for (x, k, s), ps in same.items()]
+                out += [(x, cls, np.array(ps, "<i8").tobytes(), s[:k][::-1], s[k:]) for (x, k, s), ps in same.items()]
                 while len(out) > 4000:
                     yield pack(out[:4000])
                     del out[:4000]
@@ -266,14 +286,58 @@ def contexts(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int,
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
         h = np.array([o[0] for o in out], np.uint64)
-        cols = [pa.array(common.part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64)), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(3, 6)]]
-        return pa.RecordBatch.from_arrays(cols, names=["part", "hash", "cls", "level", "places", "before", "after"])
+        cols = [pa.array(h.view(np.int64)), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]]
+        return pa.RecordBatch.from_arrays(cols, names=["hash", "cls", "places", "before", "after"])
+
+    return joined.select("cls", "text", "found").mapInArrow(run, "hash long, cls binary, places binary, before binary, after binary")
 
-    return joined.mapInArrow(run, "part int, hash long, cls binary, level int, places binary, before binary, after binary")
+
+def whole_strings(joined: DataFrame, lengths: tuple[int, ...], gram: int, parts: int, hot: int) -> DataFrame:
+    """(cls, level, starts, ends) as intervals gives them, for runs of more than hot contexts: all
+    strings around these, by their hashes."""
+    reach, levels = lengths[0] - gram, len(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packing = Packing(parts)
+        for batch in batches:
+            for text, runs in zip(_texts(batch["text"]), batch["found"].to_pylist(), strict=True):
+                buf, found = np.frombuffer(text, np.uint8), np.frombuffer(b"".join(runs), RUN)
+                at = found["place"][found["size"] > hot]
+                for level, length in enumerate(lengths):
+                    if len(at) and len(buf) >= length:
+                        edge = np.zeros(len(buf) - length + 2, np.int64)
+                        np.add.at(edge, np.clip(at - reach, 0, len(edge) - 1), 1)
+                        np.add.at(edge, np.minimum(at + 1, len(edge) - 1), -1)
+                        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                        keys = common.mix(gram_hashes(buf, length)[starts] + np.uint64(level))
+                        packing.add(_name(text), keys, 2 * (starts * levels + level))
+                if packing.n > 1_000_000:
+                    yield packing.rows()
+        if packing.n:
+            yield packing.rows()
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for cls, runs in zip(b["cls"].to_pylist(), b["found"].to_pylist(), strict=True):
+                at = np.frombuffer(b"".join(runs), RUN)["place"]
+                for level, length in enumerate(lengths):
+                    starts = np.sort(at[at % levels == level]) // levels
+                    if len(starts):
+                        out.append((cls, level, *[x.astype("<i8").tobytes() for x in merged(starts, starts + length)]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (2, 3)]], names=["cls", "level", "starts", "ends"])
+
+    packed = joined.select("text", "found").mapInArrow(run, PACKED)
+    found = repeated_runs(packed, hot).groupBy("cls").agg(F.collect_list("runs").alias("found"))
+    return found.mapInArrow(spans, "cls binary, level int, starts binary, ends binary")
 
 
 def intervals(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(cls, level, starts, ends): the repeated strings around sampled runs, as bytes covered in each text."""
+    """(cls, level, starts, ends): the repeated strings around sampled runs, as bytes covered in each text.
+
+    Rows come sorted by run; a task holds the contexts of one run, and SPANS spans, however many
+    runs it gets.
+    """
 
     def group(rows: tuple[list, ...], add) -> None:
         places: dict[tuple[bytes, bytes], dict[bytes, list[bytes]]] = {}
@@ -296,46 +360,60 @@ def intervals(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         for level, i, left, right in reach:
             add(level, places[members[i]], left, right)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[tuple[bytes, int], list[np.ndarray]] = {}
+        n_out = 0
 
         def add(level: int, own: dict[bytes, np.ndarray], left: int, right: int) -> None:
+            nonlocal n_out
             for cls, at in own.items():
                 out.setdefault((cls, level), []).append(np.stack([at - left, at + right]))
+                n_out += len(at)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n_out
+            packed = [merged(*np.concatenate(v, axis=1)) for v in out.values()]
+            blobs = [pa.array([x[i].astype("<i8").tobytes() for x in packed], pa.binary()) for i in (0, 1)]
+            rows = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), *blobs], names=["cls", "level", "starts", "ends"])
+            out.clear()
+            n_out = 0
+            return rows
+
+        held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
+        last = None
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            if not len(h):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            if held and h[0] != last:
+                group(columns(held), add)
+                held.clear()
+            if len(cuts) > 1:
+                if held:
+                    group(columns([*held, batch.slice(0, cuts[1])]), add)
+                    held.clear()
+                    cuts = cuts[1:]
+                rows = columns([batch])
+                for a, b in itertools.pairwise(cuts.tolist()):
+                    group(tuple(x[a:b] for x in rows), add)
+                    if n_out > SPANS:
+                        yield flush()
+                del rows
+            held.append(batch.slice(int(cuts[-1])))
+            last = h[-1]
+            if n_out > SPANS:
+                yield flush()
+        if held:
+            group(columns(held), add)
+        if out:
+            yield flush()
 
-        h = table["hash"].to_numpy()
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, int)
-        lo = 0
-        while lo < len(h):  # some whole groups at a time
-            hi = int(cuts[max(np.searchsorted(cuts, lo + 2000, "right") - 1, np.searchsorted(cuts, lo, "right"))])
-            some = table.select(["cls", "places", "before", "after"]).take(pa.array(order[lo:hi]))
-            rows = [x.to_pylist() for x in some.columns]
-            del some
-            inner = cuts[(cuts >= lo) & (cuts <= hi)] - lo
-            for a, b in zip(inner[:-1], inner[1:], strict=True):
-                group(tuple(x[a:b] for x in rows), add)
-            lo = hi
-        spans = [np.concatenate(v, axis=1) for v in out.values()]
-        packed = [merged(v[0], v[1]) for v in spans]
-        return pa.table({"cls": pa.array([x[0] for x in out], pa.binary()), "level": pa.array([x[1] for x in out], pa.int32()), "starts": pa.array([x[0].astype("<i8").tobytes() for x in packed], pa.binary()), "ends": pa.array([x[1].astype("<i8").tobytes() for x in packed], pa.binary())})
+    def columns(some: list[pa.RecordBatch]) -> tuple[list, ...]:
+        return tuple(list(itertools.chain.from_iterable(b[c].to_pylist() for b in some)) for c in ("cls", "places", "before", "after"))
 
     schema = "cls binary, level int, starts binary, ends binary"
-    near = found.where("before is not null").groupBy("part").applyInArrow(run, schema)
-    # Whole strings of very common runs: the same hash at two starts or more.
-    whole = found.where("before is null").select("level", "hash", "cls", "places").distinct()
-    many = whole.groupBy("level", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("level", "hash")
-    far = whole.join(many, ["level", "hash"], "left_semi").groupBy("cls", "level").agg(F.collect_list("places").alias("at"))
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [np.frombuffer(b"".join(x), "<i8") for x in b["at"].to_pylist()]
-            long = [lengths[x] for x in b["level"].to_pylist()]
-            packed = [merged(np.sort(x), np.sort(x) + n) for x, n in zip(at, long, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["cls"], b["level"], *[pa.array([x[i].astype("<i8").tobytes() for x in packed], pa.binary()) for i in (0, 1)]], names=["cls", "level", "starts", "ends"])
-
-    return near.unionByName(far.mapInArrow(spans, schema))
+    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, schema)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,19 +447,23 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     lengths = (passage, length)
     parts = 4 * common.shuffle_parts(spark)
     docs = common.ensure_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    packed = sample_parts(docs.select("text"), passage, gram, parts)
-    runs = common.cut(repeated_runs(packed, length))
-    found = runs.groupBy("cls").agg(F.collect_list(F.struct("places", "hashes", "sizes")).alias("found"))
+    packed = sample_parts(docs.select("text"), lengths, gram, parts)
+    found = repeated_runs(packed, hot).groupBy("cls").agg(F.collect_list("runs").alias("found"), F.max("hot").alias("hot"))
     named = docs.withColumn("cls", F.unhex(F.md5("text")))
     first = named.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = common.cut(first)
     # Texts are dealt once, and only those that hold a run: the row that stands for its class is part of the join's key.
     wanted = common.cut(found.join(first.select("cls", "first"), "cls"))
-    h = F.xxhash64("cls", "first").alias("h")
     some = named.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63))))
-    texts = common.among(some, F.xxhash64("cls", "first"), wanted.select(h), "met").where("met").drop("met").join(wanted, ["cls", "first"]).select("cls", "text", "found")
-    around = contexts(texts, lengths, gram, parts, hot)
-    spans = common.cut(intervals(around, lengths).groupBy("cls").agg(F.collect_list(F.struct("level", "starts", "ends")).alias("spans")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        h = F.xxhash64("cls", "first")
+        return common.among(some, h, wanted.select(h.alias("h")), "met").where("met").drop("met").join(wanted, ["cls", "first"])
+
+    around = intervals(contexts(texts(wanted), lengths, gram, hot), lengths)
+    if not (common_runs := wanted.where("hot")).isEmpty():
+        around = around.unionByName(whole_strings(texts(common_runs), lengths, gram, parts, hot))
+    spans = common.cut(around.groupBy("cls").agg(F.collect_list(F.struct("level", "starts", "ends")).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)

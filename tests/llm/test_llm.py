@@ -422,6 +422,39 @@ def test_repeats_equal_brute_force(docs, rows, hot):
     assert got == wanted
 
 
+def test_repeats_deal_runs_evenly(spark):
+    rnd = random.Random(5)
+    texts = spark.createDataFrame([(" ".join(str(rnd.random()) for _ in range(150)),) for _ in range(60)], "text string")
+    packed = repeats.sample_parts(texts, (192, 400), 48, 16)
+    n = Counter()
+    for r in packed.collect():
+        n[r["part"]] += len(r["hashes"]) // 8
+    assert len(n) == 16 and max(n.values()) < 2 * sum(n.values()) / 16
+
+
+def test_repeats_count_every_context(spark):
+    rnd = random.Random(6)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(70)) + "\n"
+    own = [f"{i} ".encode() + line.encode() * (3 + i) + f"end {i * i}".encode() for i in range(4)]
+    texts = spark.createDataFrame([(t.decode(),) for t in [*own, own[0]]], "text string")
+    sizes, wanted = {}, defaultdict(set)
+    for r in repeats.repeated_runs(repeats.sample_parts(texts, (192, 400), 48, 4), 1).collect():
+        found = np.frombuffer(r["runs"], repeats.RUN)
+        [text] = {t for t in own if hashlib.md5(t).digest() == bytes(r["cls"])}
+        for p, h, n in found.tolist():
+            sizes[h] = n
+            wanted[h].add((text, text[max(0, p - 144) : p], text[p : p + 400]))
+    assert sizes and sizes == {h: len(x) for h, x in wanted.items()}
+
+
+def test_repeats_across_batches(docs, monkeypatch):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words"]
+    wanted = multiset(repeats.remove_repeats(docs, 60, 12, 100_000, 30), *columns)
+    monkeypatch.setattr(repeats, "SPANS", 5)
+    monkeypatch.setattr(common, "bound_batches", lambda s, f=common.bound_batches: (f(s), s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")))
+    assert multiset(repeats.remove_repeats(docs, 60, 12, 100_000, 30), *columns) == wanted
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
