@@ -29,8 +29,8 @@ WORD_END = "</w>"
 GAP = re.compile(r"[ \t\n\r]+")
 #: A last character of a word is another symbol than the same character inside it.
 LAST = 0x10000
-#: Pieces and pair tests remembered in a worker: two generations of this many.
-REMEMBER = 150_000
+#: Pieces and pair tests remembered in a worker: two generations of this many, some 200 bytes each.
+REMEMBER = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +40,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: A pair of tokens as one number: the right one has this many bits.
+PAIR = 24
+
+
 class Remembered(dict):
     """make(key), remembered; the older half is forgotten when limit is reached."""
 
@@ -76,17 +80,17 @@ class WordBpe:
         order = {t: i for i, t in enumerate(base)}
         for a, b in merges:
             order.setdefault(a + b, len(order))
-        self.n_base, self.id_of = len(base), [0] * len(order)
+        self.n_base, self.id_of = len(base), [b""] * len(order)
         for t, i in order.items():
-            self.id_of[i] = vocab[t]
+            self.id_of[i] = vocab[t].to_bytes(4, "little")
         self.halves: list[tuple[int, int]] = [(0, 0)] * len(order)
         self.pairs: dict[tuple[int, int], int] = {}
         for a, b in merges:
             m = order[a + b]
             self.pairs.setdefault((order[a], order[b]), m)
             self.halves[m] = (order[a], order[b])
-        self.fits = Remembered(lambda p: self._fits(*p), 400_000)
-        self.words = Remembered(self._word)
+        self.fits = Remembered(lambda p: self._fits(p >> PAIR, p & (1 << PAIR) - 1))
+        self.words = Remembered(self._word, REMEMBER // 4)
         self.pieces = Remembered(self._piece)
         self.automaton = ahocorasick.Automaton()
         self.length = [0] * len(order)
@@ -128,50 +132,56 @@ class WordBpe:
                     return True
                 limit, right = right + 1, self.halves[right][0]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         """Ids of one word, given as the pattern found it."""
-        sym = self.byte_symbol
-        s = "".join([sym[b] for b in word.encode("utf-8")])
+        s = word
+        if not (s.isascii() and s.isprintable()):
+            sym = self.byte_symbol
+            s = "".join([sym[b] for b in word.encode("utf-8")])
         s = s[:-1] + chr(LAST + ord(s[-1]))
         last = [-1] * (len(s) + 1)
         length, fits = self.length, self.fits
+        done = -1
         for at, token in self.automaton.iter(s):
-            end = at + 1
-            if last[end] >= 0:
+            if at == done:
                 continue
-            before = end - length[token]
-            if before == 0 or fits[last[before], token]:
-                last[end] = token
+            before = at + 1 - length[token]
+            if before == 0 or fits[last[before] << PAIR | token]:
+                last[at + 1] = token
+                done = at
         out, end = [], len(s)
         while end:
             out.append(self.id_of[last[end]])
             end -= length[last[end]]
-        return tuple(out[::-1])
+        out.reverse()
+        return b"".join(out)
 
-    def _plain(self, piece: str) -> list[int]:
+    def _plain(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece)
         piece = piece.lower() if "Σ" not in piece else "".join([c.lower() for c in piece])
-        return [i for w in WORD_PATTERN.findall(piece) for i in self.words[w]]
+        # A word of ASCII letters is encoded like a piece of text, and remembered as one.
+        return b"".join([self.pieces[w] if w.isascii() and w.isalpha() else self.words[w] for w in WORD_PATTERN.findall(piece)])
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of text without GAP."""
-        ids: list[int] = []
+    def _piece(self, piece: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers of text without GAP."""
+        if piece.isascii() and piece.isalpha():
+            return self._word(piece) if piece.islower() else self.pieces[piece.lower()]
         if self.special_pattern and "<|" in piece:
-            for part in self.special_pattern.split(piece):
-                ids += [self.special[part]] if part in self.special else self._plain(part)
-        else:
-            ids = self._plain(piece)
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+            return b"".join([self.special[part].to_bytes(4, "little") if part in self.special else self._plain(part) for part in self.special_pattern.split(piece)])
+        return self._plain(piece)
 
-    def decode(self, ids) -> str:
-        """Tokens as the vocabulary spells them, with a space between: the file names no decoder."""
-        return " ".join([self.names[i] for i in ids])
+    def ids(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join([self.pieces[p] for p in GAP.split(text)])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
-        found = [self.pieces[p] for p in GAP.split(text)]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+        return (ids := self.ids(text)), self.decode(ids)
+
+    def decode(self, ids: bytes) -> str:
+        """Tokens as the vocabulary spells them, with a space between: the file names no decoder."""
+        return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -208,10 +218,12 @@ def encode(df: DataFrame, vocab_path: str | None = None, outputs: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(vocab_path or default_path())
+        spelled = not {"decoded", "decoded_sha256"}.isdisjoint(outputs)
         for batch in batches:
             out: dict[str, list] = {o: [] for o in outputs}
             for text in batch.column(1).to_pylist():
-                ids, decoded = model.encode(text or "")
+                ids = model.ids(text or "")
+                decoded = model.decode(ids) if spelled else ""
                 for o, values in out.items():
                     if o == "n_tokens":
                         values.append(len(ids) // 4)

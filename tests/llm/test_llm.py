@@ -196,6 +196,22 @@ def test_bpe_on_random_words():
         assert np.frombuffer(own.encode(t)[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_remembers_ids_only_and_forgets():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
+    for remembered in (own.pieces, own.words, own.fits):
+        remembered.limit = 50
+    rnd = random.Random(2)
+    for _ in range(600):
+        t = "".join(rnd.choice("aeinrstAEÉßİ',.<| \n\x01") for _ in range(rnd.randint(1, 40))) + rnd.choice(["", "<|endoftext|>", "x<|endoftext|>Y "])
+        ids, decoded = own.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == (wanted := library.encode(t, add_special_tokens=False).ids)
+        assert decoded == library.decode(wanted, skip_special_tokens=False)
+    for remembered in (own.pieces, own.words):
+        assert 0 < len(remembered) <= 50 and {type(x) for x in [*remembered.values(), *remembered.old.values()]} == {bytes}
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
