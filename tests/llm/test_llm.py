@@ -399,6 +399,16 @@ def test_quality_perplexity_and_bands(spark):
     assert not any(got[900 + i]["kept"] for i in range(5)) and sum(got[i]["kept"] for i in range(600)) >= 570
 
 
+@pytest.mark.parametrize("operator", [quality.judge, quality.keep_good])
+def test_quality_models_of_many_languages(docs, operator, monkeypatch):
+    many = docs.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("l"), F.col("doc_id") % 7)).otherwise(F.col("lang")))
+    columns = sorted(operator(docs).columns)
+    wanted = multiset(operator(many), *columns)
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    assert len(quality.languages(many.select("text", "lang"))) > 3
+    assert multiset(operator(many), *columns) == wanted
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(1)
     model = quality.KneserNey(keys := np.unique(rng.integers(0, 64**3, 3000)), rng.integers(1, 9, len(keys)))
