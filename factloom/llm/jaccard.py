@@ -29,7 +29,7 @@ TILE = 4096
 #: Shingles that one tile holds, 8 bytes each.
 ROOM = 4_000_000
 #: Segment contents held in a task before they are sent on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 
 class Bands:
@@ -98,7 +98,7 @@ def class_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch_text, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for lo, buf, offs in common.slices(batch_text):
+    for lo, buf, offs in common.slices(batch_text, common.FINE_BYTES):
         h, _, _, rows = common.words(buf, offs, True)
         n = len(offs) - 1
         yield (lo, *common.distinct_by_row(*common.shingles(h, rows, n, k), n))
@@ -141,7 +141,8 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
         held, n_held, names, n_names, seen = [], 0, [], 0, set()
 
         def rows() -> pa.RecordBatch:
-            keys, owner = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int64)
+            keys, owner = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            held.clear()
             order, at = common.split_by(common.part_of(keys, parts), parts)  # owners stay in order within a part
             keys, owner = keys[order], owner[order]
             table, out = np.concatenate(names), []
@@ -149,7 +150,6 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
                 own, times = np.unique(owner[at[p] : at[p + 1]], return_counts=True)
                 if len(own):
                     out.append((p, _pack5(keys[at[p] : at[p + 1]]), times.astype("<u2" if times.max() < 65536 else "<u4").tobytes(), table[own].tobytes()))
-            held.clear()
             names.clear()
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]], names=["part", "keys", "times", "names"])
@@ -165,7 +165,7 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
                 key, row = signatures(values, at, bands, fresh)
                 if not len(key):
                     continue
-                held.append((key, row + n_names))
+                held.append((key, (row + n_names).astype(np.int32)))
                 names.append(name)
                 n_names += len(name)
                 n_held += len(key)
@@ -183,6 +183,7 @@ def shared_segments(docs: DataFrame, k: int, percent: int, parts: int) -> DataFr
             keys.append(_unpack5(x.as_py()))
             owners.append(np.repeat(name, times))
         keys, c = np.concatenate(keys), np.concatenate(owners)
+        owners.clear()
         order = np.argsort(keys, kind="stable")
         keys, c = keys[order], c[order]
         same = np.zeros(len(keys), bool)

@@ -720,3 +720,51 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sum(r["n_tokens"] for r in out.collect()) > 0
+
+
+def test_workers_hold_little_for_a_batch():
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    class Docs:  # hands out what a task runs
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        def applyInArrow(self, run, schema):
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    rnd = np.random.default_rng(1)
+    text = pa.array([" ".join(map(str, rnd.integers(0, 10**6, 400).tolist())) for _ in range(3000)])
+    some, sets, judged = Docs(), Docs(), Docs()
+    jaccard.shared_segments(some, 5, 80, 12)
+    jaccard.classes(sets, 5)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "F", MagicMock())  # functions need a session
+        quality.count_trigrams(judged)
+    n = pa.array(np.arange(len(text)))
+    tasks = {
+        "shared_segments": (some.run, pa.record_batch([text], ["text"])),
+        "classes": (sets.run, pa.record_batch([n, n, text], ["doc_id", "mark", "text"])),
+        "count_trigrams": (judged.run, pa.record_batch([text, pa.array(np.zeros(len(text), np.int32))], ["text", "lang"])),
+    }
+    most = {}
+    for name, (run, batch) in tasks.items():
+        common._powers.clear()
+        tracemalloc.start()
+        for _ in run(iter([batch] * 2)):
+            pass
+        most[name] = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+    assert most["shared_segments"] < 75 and most["classes"] < 75 and most["count_trigrams"] < 75
