@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the thirteen operators and of the pipeline."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
+from .conversation_trie import op11_conversation_trie
+from .divergence import op12_divergence
 from .jaccard import op8_jaccard
 from .katz import op5_katz
+from .language import op13_language
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
-from .oracles import OP7_REPEATS, OP8_JACCARD
+from .oracles import OP7_REPEATS, OP8_JACCARD, OP11_CONVERSATION_TRIE, OP12_DIVERGENCE
 from .pii import op2_pii
 from .quality import op6_quality
 from .repeats import op7_repeats
@@ -29,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_divergence": op12_divergence,
+    "op13_language": op13_language,
 }
-ORACLES: dict[str, str] = {"op7_repeats": OP7_REPEATS, "op8_jaccard": OP8_JACCARD}
+ORACLES: dict[str, str] = {"op7_repeats": OP7_REPEATS, "op8_jaccard": OP8_JACCARD, "op11_conversation_trie": OP11_CONVERSATION_TRIE, "op12_divergence": OP12_DIVERGENCE}
