@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -218,8 +219,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [b.column(c) for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], [*[c for c in b.schema.names if c != "text"], "lang_pred", "score", "accepted"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(predict, f"{kept}, lang_pred string, score double, accepted boolean")
+    schema = StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    return docs.mapInArrow(predict, schema)
 
 
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
