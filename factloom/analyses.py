@@ -11,8 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import fragments, graphs, identifiers, percentiles, references, similarity, sizes
+from .operators import classify, fragments, graphs, identifiers, percentiles, protection, references, similarity, sizes, subjects
 from .options import Analysis, Descriptor, Effective, Option, Registry
+from .runtime import cut
 
 Facts = Mapping[str, DataFrame]
 
@@ -26,7 +27,7 @@ READS = {
     "type-dependency-hub-candidates": ("type_declarations", "type_edges", "types"),
     "indirection-drift-candidates": ("forwarders",),
     "missing-test-evidence-candidates": ("call_uncertainty", "calls", "functions"),
-    "dead-code-candidates": ("declarations", "protected", "reference_uncertainty", "references"),
+    "dead-code-candidates": ("attributes", "base_types", "contracts", "declarations", "documents", "entry_points", "invocations", "projects", "protected", "reference_uncertainty", "references", "symbols"),
     "non-ascii-identifiers": ("declarations",),
 }
 
@@ -136,27 +137,54 @@ def missing_evidence(facts: Facts, o: Effective) -> DataFrame:
     return _finding(rows, "missing-test-evidence-candidates", kind, "node", {"decisionCount": "decisions", "maximumNesting": "nesting", "uncertain": F.col("uncertain").cast("int")})
 
 
+def _dead_code_candidates(facts: Facts, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(types, methods) that may be reported: written by hand, in projects that aren't excluded, and
+    methods that neither override nor implement anything. Declarations without a row in symbols are plain ones."""
+    d = facts["declarations"].withColumn("symbol", F.col("symbol_id")).withColumn("project", F.col("project_path"))
+    generated = facts["documents"].where(F.coalesce("is_source_generated", F.lit(False)) | classify.is_generated(F.col("source_path"), F.col("text"))).select("project_path", "source_path").distinct()
+    d = subjects.without_projects(d, excluded).drop("project").join(generated, ["project_path", "source_path"], "left_anti")
+    node = F.col("symbol_id").alias("node")
+    marked = subjects.generated_symbols(facts["declarations"].select(node, "attributes"), facts["declarations"].select(node, F.col("parent_symbol_id").alias("parent")))
+    no = F.lit(False)
+    facets = facts["symbols"].select("symbol", F.coalesce("method_kind", F.lit("ordinary")).alias("method_kind"), F.coalesce("is_implicit", no).alias("is_implicit"), F.coalesce("container_kind", F.lit("class")).alias("container_kind"), F.col("overrides").isNotNull().alias("is_override")).dropDuplicates(["symbol"])
+    kept = facts["contracts"].where("implementation is not null").select(F.col("implementation").alias("symbol"), F.lit(True).alias("implements_interface")).distinct()
+    d = d.join(facets, "symbol", "left").join(kept, "symbol", "left").withColumn("node", F.col("symbol"))
+    d = d.withColumns({"method_kind": F.coalesce("method_kind", F.lit("ordinary")), "container_kind": F.coalesce("container_kind", F.lit("class")), **{c: F.coalesce(c, no) for c in ("is_implicit", "is_override", "implements_interface")}})
+    types = d.where(F.col("kind").isin(*subjects.TYPES) & ~F.col("is_implicit")).join(marked, "node", "left_anti")
+    methods = subjects.candidate_methods(d.where("kind = 'method'"), marked)
+    columns = ["symbol", *facts["declarations"].columns]
+    return types.select(*columns), methods.select(*columns)
+
+
 def dead_code(facts: Facts, o: Effective) -> DataFrame:
     d, refs = facts["declarations"], facts["references"]
+    marks, open_ = protection.indirect_uses(facts["invocations"], facts["attributes"], facts["symbols"], facts["contracts"], facts["base_types"], o.general["entryPointAttributes"])
+    marks = cut(marks)
+    projects = facts["projects"].select(F.col("project_path").alias("project"), F.coalesce("project_refs", F.array().cast("array<string>")).alias("references"))
+    every = projects.select("project").unionByName(open_.select("project")).distinct()
+    types, methods = _dead_code_candidates(facts, protection.excluded_area(open_, subjects.reference_areas(every, subjects.project_references(projects))))
     parents = d.select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent"))
+    contained = parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type"))
     protected = references.with_attributes(d, o.general["entryPointAttributes"]).select(F.col("symbol_id").alias("symbol")) if o.general["entryPointAttributes"] else d.limit(0).select(F.col("symbol_id").alias("symbol"))
     protected = protected.unionByName(facts["protected"].select("symbol"))
     if o.general["apiSurface"] == "external_library":
         seen = F.col("accessibility").isin("Public", "Protected", "ProtectedOrInternal")
-        open_ = graphs.visible_all_the_way(graphs.ancestors(parents), d.select(F.col("symbol_id").alias("node"), seen.alias("is_visible")))
-        protected = protected.unionByName(open_.where("protected").select(F.col("node").alias("symbol")))
-    protected = references.with_parents(protected, parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type")))
+        open_all = graphs.visible_all_the_way(graphs.ancestors(parents), d.select(F.col("symbol_id").alias("node"), seen.alias("is_visible")))
+        protected = protected.unionByName(open_all.where("protected").select(F.col("node").alias("symbol")))
+    protected = references.with_parents(protected, contained).unionByName(marks.where("is_protected").select("symbol"))
+    entries = facts["entry_points"].select(F.col("symbol").alias("node"))
+    protected = protected.unionByName(subjects.entry_chain(entries, parents).select(F.col("node").alias("symbol"))).unionByName(entries.select(F.col("node").alias("symbol")))
     # A symbol's reference to itself says nothing about the type around it either.
-    contained = parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type"))
     outer = refs.where(~F.col("is_self")).select(F.col("symbol_id").alias("symbol"), "kind", F.col("source_path").alias("place"))
     used = references.fan_out(outer, contained).select("symbol", F.lit(False).alias("is_self"))
-    uncertain = facts["reference_uncertainty"].select("symbol")
-    candidates = d.where("kind in ('type', 'method')").withColumn("symbol", F.col("symbol_id"))
-    found = references.unreferenced(candidates, used, protected, uncertain)
-    types = found.where("kind = 'type'")
-    methods = references.without_reported_parents(found.where("kind = 'method'"), types.select(F.col("symbol_id").alias("parent_symbol_id")), ["parent_symbol_id"])
-    rows = types.unionByName(methods.select(*types.columns))
-    return _finding(rows, "dead-code-candidates", F.concat(F.col("kind"), F.lit("-candidate")), "symbol_id", {})
+    uncertain = cut(facts["reference_uncertainty"].select("symbol").unionByName(marks.where("is_uncertain").select("symbol")).distinct())
+    # A type that holds a candidate which may be used may be used itself.
+    held = methods.join(uncertain, "symbol", "left_semi").select(F.col("parent_symbol_id").alias("symbol"))
+    found = references.unreferenced(types, used, protected, uncertain.unionByName(held.where("symbol is not null")))
+    lone = references.unreferenced(methods, used, protected, uncertain)
+    lone = references.without_reported_parents(lone, found.select(F.col("symbol_id").alias("parent_symbol_id")), ["parent_symbol_id"])
+    rows = found.withColumn("what", F.lit("type-candidate")).unionByName(lone.withColumn("what", F.lit("method-candidate")).select(*found.columns, "what"))
+    return _finding(rows, "dead-code-candidates", F.col("what"), "symbol_id", {})
 
 
 def non_ascii(facts: Facts, o: Effective) -> DataFrame:

@@ -233,18 +233,26 @@ def uncertain(edges: DataFrame, nodes: DataFrame, affected: DataFrame, roots: Da
     return marked.crossJoin(F.broadcast(everywhere)).select("node", (F.col("everywhere") | F.coalesce("marked", F.lit(False))).alias("uncertain"))
 
 
-def ancestors(parents: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(node, ancestor, depth) of a forest (node, parent), each node with itself at depth 0."""
+def ancestors(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, ancestor, depth) of a forest (node, parent), each node with itself at depth 0.
+
+    Known stretches double each round: rows that reach as far as any are continued by all rows of
+    their ancestor, so a chain of 2**k nodes takes k rounds. A cycle is an error.
+    """
     p = cut(parents.select("node", "parent"))
-    level = p.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = p.select(F.col("node").alias("ancestor"), "parent").where("parent is not null")
-        level = cut(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).cast("long").alias("depth")))
-        if level.limit(1).count() == 0:
-            return out
-        out = out.unionByName(level)
-    raise ValueError("parents form a cycle or a chain that is too long")
+    more = p.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    above = more
+    for k in range(max_rounds):
+        n, cyclic = more.agg(F.count(F.lit(1)), F.max(F.col("node") == F.col("ancestor"))).first()
+        if cyclic:
+            raise ValueError("parents form a cycle")
+        if n == 0:
+            return p.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth")).unionByName(above)
+        on = above.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("on"))
+        more = above.where(F.col("depth") == 1 << k).join(on, "ancestor")
+        more = cut(more.select("node", F.col("top").alias("ancestor"), (F.col("depth") + F.col("on")).alias("depth")))
+        above = above.unionByName(more)
+    raise ValueError("a chain of parents is too long")
 
 
 def visible_all_the_way(chain: DataFrame, visible: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from .graphs import MAX_ROUNDS, ancestors
 EXECUTABLE = ("method", "constructor", "accessor", "operator", "conversion", "destructor", "property", "indexer")
 BODIES = ("method", "constructor", "accessor", "local-function")
 NAMED = ("namespace", "class", "record", "struct", "interface", "enum", "enum-member", "method", "property", "variable", "parameter", "local-function")
+TYPES = ("type", "class", "record", "struct", "interface", "enum", "delegate")
 GENERATED = ("System.CodeDom.Compiler.GeneratedCodeAttribute", "System.Runtime.CompilerServices.CompilerGeneratedAttribute")
 XUNIT = ("Xunit.FactAttribute", "Xunit.TheoryAttribute", "Xunit.v3.IFactAttribute")
 NUNIT = ("NUnit.Framework.TestAttribute", "NUnit.Framework.TestCaseAttribute", "NUnit.Framework.TestCaseSourceAttribute")

@@ -26,6 +26,12 @@ SCHEMAS = {
     "declarations": "project_path string, source_path string, symbol_id string, kind string, name string, parent_symbol_id string, accessibility string, attributes array<string>, start_line int",
     "references": "symbol_id string, kind string, project_path string, source_path string, start int, is_self boolean",
     "protected": "symbol string",
+    "entry_points": "symbol string",
+    "symbols": "symbol string, symbol_kind string, name string, type string, assembly string, project string, is_source boolean, is_static boolean, accessibility string, first_parameter string, overrides string, overrides_source boolean, value_core string, value_wraps int, method_kind string, is_implicit boolean, container_kind string",
+    "contracts": "type string, contract string, contract_source boolean, member_source boolean, implementation string, arguments array<string>",
+    "base_types": "type string, base string",
+    "invocations": "project string, assembly string, target_type string, target_name string, target_source boolean, typeof_type string, has_name_parameter boolean, name string, type_arguments array<string>, argument_types array<string>",
+    "attributes": "id string, project string, owner string, owner_kind string, owner_type string, classes array<struct<name:string,assembly:string,is_source:boolean,version:string>>, interfaces array<struct<name:string,assembly:string,is_source:boolean,version:string>>, types array<string>, text string, named_types map<string,string>, named_texts map<string,string>, is_error boolean",
     "reference_uncertainty": "symbol string",
 }
 
