@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import classify, fragments, graphs, identifiers, percentiles, protection, references, similarity, sizes, subjects
+from .operators import calls, classify, fragments, graphs, identifiers, percentiles, protection, references, similarity, sizes, subjects
 from .options import Analysis, Descriptor, Effective, Option, Registry
 from .runtime import cut
 
@@ -26,7 +26,7 @@ READS = {
     "type-dependency-cycle-candidates": ("type_declarations", "type_edges", "types"),
     "type-dependency-hub-candidates": ("type_declarations", "type_edges", "types"),
     "indirection-drift-candidates": ("forwarders",),
-    "missing-test-evidence-candidates": ("call_uncertainty", "calls", "functions"),
+    "missing-test-evidence-candidates": ("attributes", "call_uncertainty", "calls", "declarations", "documents", "functions", "methods", "operations", "symbols"),
     "dead-code-candidates": ("attributes", "base_types", "contracts", "declarations", "documents", "entry_points", "invocations", "projects", "protected", "reference_uncertainty", "references", "symbols"),
     "non-ascii-identifiers": ("declarations",),
 }
@@ -123,13 +123,37 @@ def indirection_drift(facts: Facts, o: Effective) -> DataFrame:
     return _finding(rows, "indirection-drift-candidates", "transparent-forwarding-path", "root", {"forwardingEdges": "edges", "typeCount": "types", "fileCount": "files"})
 
 
+def _generated_paths(facts: Facts) -> DataFrame:
+    """(project_path, source_path) of documents that are generated."""
+    by_text = classify.is_generated(F.col("source_path"), F.col("text"))
+    return facts["documents"].where(F.coalesce("is_source_generated", F.lit(False)) | by_text).select("project_path", "source_path").distinct()
+
+
+def _test_roots(facts: Facts, written: DataFrame) -> DataFrame:
+    """(node) of written functions that a test runner starts: those marked so, and those whose attributes say so."""
+    known = facts["attributes"].where("owner_kind in ('method', 'type')")
+    own = lambda c: F.transform(F.filter(F.coalesce(c, F.array().cast("array<struct<name:string,assembly:string,is_source:boolean,version:string>>")), protection.genuine), lambda x: x["name"])
+    attributes = known.select(F.col("owner").alias("node"), F.concat(own(F.col("classes")), own(F.col("interfaces"))).alias("names"), F.col("named_texts").alias("arguments"))
+    parents = facts["symbols"].select(F.col("symbol").alias("node"), F.col("type").alias("parent")).distinct()
+    by_attribute = subjects.active_test_roots(written.select("node", F.col("is_test").alias("is_test_project")), attributes, parents)
+    return written.where("is_root").select("node").unionByName(by_attribute).distinct()
+
+
 def missing_evidence(facts: Facts, o: Effective) -> DataFrame:
-    v, nodes = o.general, facts["functions"]
-    calls = facts["calls"].select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    kinds = graphs.reach(calls, nodes.select(F.col("symbol_id").alias("node"), "is_root", (~F.col("is_test")).alias("is_production")))
-    affected = facts["call_uncertainty"].select(F.col("symbol_id").alias("source"), F.col("affected_symbol_id").alias("node"), "is_global")
-    doubt = graphs.uncertain(calls, nodes.select(F.col("symbol_id").alias("node")), affected, nodes.where("is_root").select(F.col("symbol_id").alias("node")))
-    rows = nodes.withColumnRenamed("symbol_id", "node").join(kinds, "node").join(doubt, "node")
+    v, nodes = o.general, facts["functions"].withColumn("node", F.col("symbol_id"))
+    edges, doubts = calls.call_graph(facts["operations"], facts["methods"], nodes.select(F.col("node").alias("symbol")))
+    edges = edges.select("a", "b").unionByName(facts["calls"].select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))).distinct()
+    given = facts["call_uncertainty"].select(F.col("symbol_id").alias("source"), F.col("affected_symbol_id").alias("node"), "is_global")
+    affected = doubts.select("source", "node", "is_global").unionByName(given).distinct()
+    symbols = facts["declarations"].select(F.col("symbol_id").alias("node"), "attributes", F.col("parent_symbol_id").alias("parent"))
+    written = nodes.join(_generated_paths(facts), ["project_path", "source_path"], "left_anti").join(subjects.generated_symbols(symbols, symbols), "node", "left_anti")
+    roots = cut(_test_roots(facts, written))
+    known = nodes.select("node", (~F.col("is_test")).alias("is_production")).join(roots.withColumn("is_root", F.lit(True)), "node", "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
+    edges = cut(edges)
+    kinds = graphs.reach(edges, known)
+    # Nothing leads on from a global doubt alone; what it affects is marked with everything else.
+    doubt = graphs.uncertain(edges, nodes.select("node"), affected, roots)
+    rows = written.join(kinds, "node").join(doubt, "node")
     some = (F.col("decisions") >= v["minDecisionCount"]) | (F.col("nesting") >= v["minDecisionNesting"])
     more = (F.col("decisions") >= v["minIndirectDecisionCount"]) | (F.col("nesting") >= v["minIndirectDecisionNesting"])
     rows = rows.where(((F.col("kind") == "NoPath") & some) | ((F.col("kind") == "Indirect") & more))
@@ -141,8 +165,7 @@ def _dead_code_candidates(facts: Facts, excluded: DataFrame) -> tuple[DataFrame,
     """(types, methods) that may be reported: written by hand, in projects that aren't excluded, and
     methods that neither override nor implement anything. Declarations without a row in symbols are plain ones."""
     d = facts["declarations"].withColumn("symbol", F.col("symbol_id")).withColumn("project", F.col("project_path"))
-    generated = facts["documents"].where(F.coalesce("is_source_generated", F.lit(False)) | classify.is_generated(F.col("source_path"), F.col("text"))).select("project_path", "source_path").distinct()
-    d = subjects.without_projects(d, excluded).drop("project").join(generated, ["project_path", "source_path"], "left_anti")
+    d = subjects.without_projects(d, excluded).drop("project").join(_generated_paths(facts), ["project_path", "source_path"], "left_anti")
     node = F.col("symbol_id").alias("node")
     marked = subjects.generated_symbols(facts["declarations"].select(node, "attributes"), facts["declarations"].select(node, F.col("parent_symbol_id").alias("parent")))
     no = F.lit(False)

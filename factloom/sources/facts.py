@@ -21,7 +21,9 @@ SCHEMAS = {
     "type_edges": "from_id string, to_id string, kind int, project_path string, source_path string, start int",
     "forwarders": "project_path string, symbol_id string, type_id string, source_path string, decl_line int, target_symbol_id string, call_line int",
     "functions": "symbol_id string, project_path string, source_path string, start_line int, is_test boolean, is_root boolean, decisions long, nesting long",
-    "calls": "from_id string, to_id string",
+    "calls": "from_id string, to_id string, kind string",
+    "operations": "symbol string, kind string, target string, getter string, setter string, place string, is_nameof boolean, is_call_syntax boolean, candidates array<string>, source_path string, start int",
+    "methods": "symbol string, definition string, identity string, is_sealed boolean, is_virtual boolean, is_abstract boolean, is_override boolean, container_kind string",
     "call_uncertainty": "symbol_id string, affected_symbol_id string, is_global boolean",
     "declarations": "project_path string, source_path string, symbol_id string, kind string, name string, parent_symbol_id string, accessibility string, attributes array<string>, start_line int",
     "references": "symbol_id string, kind string, project_path string, source_path string, start int, is_self boolean",
