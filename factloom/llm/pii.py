@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,3}+(?:api ?key|access ?key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?[a-z0-9_+/.-]{8,4000}={0,2}",
+    "secret": r"(?i)(?<![a-z0-9])(?:(?:api|access|auth|client|encryption|master|private|refresh|secret|session|shared|signing)[ _-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?:[a-z0-9_+/.!@#$%^*~-]|&(?![a-z0-9_.-]{1,40}=)){8,4000}={0,2}",
 }
 #: Lengths of account numbers by country, as registered. Other countries' may have any length.
 IBAN_LENGTHS = {
@@ -29,6 +31,8 @@ IBAN_LENGTHS = {
 }
 #: Code points that hold the longest one with its spaces and the character after it.
 IBAN_ROOM = 48
+#: Code points of a chunk of text, and numbers of a part of an array that grows.
+CHUNK, BLOCK = 256, 256
 #: A text without this can't hold the kind; much cheaper to look for.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 #: Score of a confirmed span, and what a context word shortly before or after it adds.
@@ -77,8 +81,32 @@ def mod97(m: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(add(acc, c))) == 1
 
 
-def _ibans(text: Column, heads: Column) -> Column:
-    """The account numbers that begin at heads (m, start), as (m, start); none begins within another.
+def piece(chunks: Column, start: Column, n: Column) -> Column:
+    """n code points from start on of the text that falls into chunks: work is by n, not by start."""
+    first = F.floor(start / CHUNK).cast("int")
+    parts = F.floor((start + n) / CHUNK).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(chunks, first + 1, parts), ""), (start - first * CHUNK + 1).cast("int"), n.cast("int"))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of values (an array of int) what merge makes of 0 and all before it.
+
+    Arrays are copied as they grow, so parts of BLOCK numbers grow on their own and are then joined.
+    values must be a column, as it is looked at again for each part.
+    """
+    none = F.array().cast("array<int>")
+
+    def part(acc: Column, b: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        step = lambda a, v: F.struct(merge(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), start, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / BLOCK).cast("int"))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), part, lambda a: a["out"])
+
+
+def _iban_ends(chunks: Column, start: Column) -> Column:
+    """The account number that begins at start, or null.
 
     The pattern finds country and check digits only. A number ends at the length of its country,
     or, where none is registered, at the furthest end of a group where mod-97 holds.
@@ -92,18 +120,22 @@ def _ibans(text: Column, heads: Column) -> Column:
         return rf"^{country}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])"
 
     patterns = F.array(*[F.lit(of(n)) for n in range(35, 11, -1)])
+    room = piece(chunks, start, F.lit(IBAN_ROOM))
+    found = F.filter(F.transform(patterns, lambda p: F.regexp_substr(room, p)), lambda m: F.when(m.isNotNull(), mod97(m)).otherwise(F.lit(False)))
+    return F.get(found, F.lit(0))
 
-    def ends(h: Column) -> Column:
-        room = F.substring(text, h["start"] + 1, F.lit(IBAN_ROOM))
-        found = F.filter(F.transform(patterns, lambda p: F.regexp_substr(room, p)), lambda m: F.when(m.isNotNull(), mod97(m)).otherwise(F.lit(False)))
-        return F.struct(F.get(found, F.lit(0)).alias("m"), h["start"].alias("start"))
 
-    def apart(acc: Column, x: Column) -> Column:
-        free = (F.size(acc) == 0) | (F.element_at(acc, -1)["start"] + F.length(F.element_at(acc, -1)["m"]) <= x["start"])
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+def _apart(spans: Column) -> Column:
+    """spans (m, start), in order, of which none begins within one that is kept before it."""
+    none = F.array().cast("array<boolean>")
 
-    found = F.filter(F.transform(heads, ends), lambda x: x["m"].isNotNull())
-    return F.aggregate(found, F.array().cast("array<struct<m:string,start:int>>"), apart)
+    def add(acc: Column, x: Column) -> Column:
+        free = acc["at"] <= x["start"]
+        return F.struct(F.when(free, x["start"] + F.length(x["m"])).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(free)).alias("out"))
+
+    flags = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
+    kept = F.filter(F.arrays_zip(spans.alias("x"), flags.alias("free")), lambda x: x["free"])
+    return F.transform(kept, lambda x: x["x"])
 
 
 def entropy(value: Column) -> Column:
@@ -119,7 +151,7 @@ def entropy(value: Column) -> Column:
 
 def secret_value(m: Column) -> Column:
     """The value at the end of an assignment."""
-    return F.regexp_substr(m, F.lit("[A-Za-z0-9_+/.-]+={0,2}$"))
+    return F.regexp_substr(m, F.lit("[A-Za-z0-9_+/.!@#$%^*~&-]+={0,2}$"))
 
 
 def _confirmed(kind: str, m: Column) -> Column:
@@ -140,42 +172,56 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """The kind's spans in text order: array of (kind, start, end, score), in code points, end exclusive."""
-    pattern = PATTERNS[kind]
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    # Only confirmed spans are gathered: work grows with the text and with what is found in it.
-    tried = (lambda m: F.lit(True)) if kind == "iban" else lambda m: _confirmed(kind, m)
-    raw = F.aggregate(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-                F.when(tried(x["m"]), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start"))))).otherwise(acc["out"]).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    kept = _ibans(text, raw) if kind == "iban" else raw
+def _spans(kind: str, chunks: Column, found: Column) -> Column:
+    """The kind's spans in text order: array of (kind, start, end, score), in code points, end exclusive.
+
+    found is array of (m, start), the matches of the kind's pattern.
+    """
+    if kind == "iban":
+        found = F.transform(found, lambda x: F.struct(_iban_ends(chunks, x["start"]).alias("m"), x["start"].alias("start")))
+        kept = _apart(F.filter(found, lambda x: x["m"].isNotNull()))
+    else:
+        kept = F.filter(found, lambda x: _confirmed(kind, x["m"]))
     if kind == "secret":  # the span is the value alone
         kept = F.transform(kept, lambda x: F.struct(secret_value(x["m"]).alias("m"), (x["start"] + F.length(x["m"]) - F.length(secret_value(x["m"]))).alias("start")))
 
     def scored(x: Column) -> Column:
         lo = F.greatest(F.lit(0), x["start"] - WINDOW)
         end = x["start"] + F.length(x["m"])
-        near = F.lower(F.concat(F.substring(text, lo + 1, x["start"] - lo), F.lit(" "), F.substring(text, end + 1, F.lit(WINDOW))))
+        near = F.lower(F.concat(piece(chunks, lo, x["start"] - lo), F.lit(" "), piece(chunks, end, F.lit(WINDOW))))
         score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), F.lit(STRONG_BONUS.get(kind, BONUS))).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     out = F.transform(kept, scored)
-    if kind not in BASE:
-        out = F.filter(out, lambda x: x["score"] >= LEAST)
+    return out if kind in BASE else F.filter(out, lambda x: x["score"] >= LEAST)
+
+
+def _there(kind: str, text: Column) -> Column:
+    """Whether text can hold the kind at all."""
     there = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
     there = there & text.rlike("[0-9]") if kind not in ("email", "key") else there
-    if kind == "secret":
-        there = there & text.rlike("[:=]")
-    return F.when(there, out).otherwise(none)
+    return there & text.rlike("[:=]") if kind == "secret" else there
+
+
+def with_spans(df: DataFrame) -> DataFrame:
+    """df, which has a text without nulls, with spans and with chunks, its text in parts of CHUNK code points.
+
+    Matches, the lengths of what lies between them, their sums and the spans are columns of one
+    projection after another: what a lambda looks at again and again must be computed before it.
+    """
+    text, own = F.col("text"), df.columns
+    none = F.array()
+    m = {f"m_{k}": F.when(_there(k, text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none.cast("array<string>")) for k in PATTERNS}
+    gaps = {f"g_{k}": F.when(_there(k, text), F.transform(F.split(text, PATTERNS[k], -1), F.length)).otherwise(none.cast("array<int>")) for k in PATTERNS}
+    steps = {f"s_{k}": F.zip_with(f"g_{k}", f"m_{k}", lambda g, x: g + F.coalesce(F.length(x), F.lit(0))) for k in PATTERNS}
+    at = {f"a_{k}": running(F.col(f"s_{k}"), lambda x, y: x + y) for k in PATTERNS}
+    step = df.withColumns({"chunks": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))} | m | gaps).withColumns(steps).withColumns(at)
+
+    def found(k: str) -> Column:
+        zipped = F.filter(F.arrays_zip(F.col(f"m_{k}").alias("m"), F.col(f"g_{k}").alias("g"), F.col(f"a_{k}").alias("a")), lambda x: x["m"].isNotNull())
+        return F.transform(zipped, lambda x: F.struct(x["m"].alias("m"), (x["g"] + x["a"]).alias("start")))
+
+    return step.select(*own, "chunks", F.concat(*[_spans(k, F.col("chunks"), found(k)) for k in PATTERNS]).alias("spans"))
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,20 +236,19 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     docs = common.ensure_text(df, id_col, text_col)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.concat(*[_spans(k, F.col("text")) for k in PATTERNS]).alias("spans"))
-
-
-def masked(text: Column, spans: Column) -> Column:
-    """text with each span, or run of overlapping spans, replaced by <KIND> of its first."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return with_spans(docs).select("doc_id", "spans")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate(ordered, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+def masked(df: DataFrame) -> DataFrame:
+    """df, as with_spans gives it, with each span, or run of overlapping spans, replaced by <KIND> of its first."""
+    own = [c for c in df.columns if c not in ("text", "chunks", "spans")]
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    step = df.withColumn("ordered", ordered).withColumn("ends", F.transform("ordered", lambda s: s["end"]))
+    step = step.withColumn("before", running(F.col("ends"), F.greatest))
+    kept = F.transform(F.arrays_zip("ordered", "before"), lambda x: F.when(x["ordered"]["start"] >= x["before"], F.concat(piece(F.col("chunks"), x["before"], x["ordered"]["start"] - x["before"]), F.lit("<"), F.upper(x["ordered"]["kind"]), F.lit(">"))).otherwise(F.lit("")))
+    last = F.array_max("ends")
+    whole = F.concat(F.array_join(kept, ""), piece(F.col("chunks"), last, F.length("text") - last))
+    return step.select(*own, F.when(F.size("spans") > 0, whole).otherwise(F.col("text")).alias("text"))
 
 
 def redact(df: DataFrame) -> DataFrame:
@@ -212,9 +257,9 @@ def redact(df: DataFrame) -> DataFrame:
     Rows repeated are each masked, and alike; an empty table gives no rows; columns of any name
     stay as they are.
     """
-    spans = F.concat(*[_spans(k, F.coalesce(F.col("text"), F.lit(""))) for k in PATTERNS])
-    out = df.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), spans)))
-    return out.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    out = masked(with_spans(rows)).withColumn("text", F.when(F.col("row.text").isNotNull(), F.col("text")))
+    return out.select(*[(F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
