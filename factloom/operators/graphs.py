@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut, drop
 
 MAX_ROUNDS = 1000
+#: Nodes whose least neighbour is broadcast, at most, and the edges that each of them has at least.
+CENTRES, CENTRE_EDGES = 1000, 1000
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -28,11 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         open_ = sides.groupBy("n").agg(F.max("below").alias("below"), F.sum("above").alias("above")).where("above > 1 or (above = 1 and below = 1)")
         if open_.limit(1).count() == 0:
             break
+        n = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
+        large = _with_least(both, "u", "v", both.where("v > u"), 2 * n).select(F.least("m", "u").alias("u"), "v").where("u <> v").distinct()
+        small = _with_least(large, "v", "u", large, n)
         new = small.select(F.col("m").alias("u"), "v").unionByName(small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
         new = cut(new)
         drop(e)
@@ -43,6 +44,21 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return e.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root").unionByName(own)
 
 
+def _with_least(edges: DataFrame, node: str, other: str, rows: DataFrame, n: int) -> DataFrame:
+    """rows with m, the least other of their node in edges, of which there are n.
+
+    A node of very many edges would bring all its rows to one task. At most CENTRES nodes can
+    have n / CENTRES edges each; their m is broadcast, and only the rows of the rest are dealt.
+    """
+    least = edges.groupBy(node).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("_n"))
+    many = max(CENTRE_EDGES, n // CENTRES)
+    hot = F.broadcast(least.where(F.col("_n") > many).select(node, F.col("m").alias("_hot")))
+    marked = rows.join(hot, node, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(least.where(F.col("_n") <= many).select(node, "m"), node)
+    columns = [*rows.columns, "m"]
+    return marked.where("_hot is not null").withColumnRenamed("_hot", "m").select(*columns).unionByName(rest.select(*columns))
+
+
 def _settle(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     """Least label that reaches each node along edges (a, b), starting from labels (node, label)."""
     for _ in range(max_rounds):

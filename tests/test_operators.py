@@ -217,3 +217,12 @@ def test_finding_ids_tell_parts_apart(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")
     ids = [r["i"] for r in df.select(findings.finding_id(F.col("x"), F.col("y")).alias("i")).collect()]
     assert ids[0] != ids[1] and all(len(i) == 32 for i in ids)
+
+
+def test_components_with_a_centre_of_many_edges(spark, monkeypatch):
+    """A star of 3,000, a chain and a ring: the centre's rows don't meet by the centre."""
+    monkeypatch.setattr(graphs, "CENTRE_EDGES", 50)
+    monkeypatch.setattr(graphs, "CENTRES", 20)
+    pairs = [(1500, i) for i in range(3000) if i != 1500] + [(10_000 + i, 10_001 + i) for i in range(64)] + [(20_000 + i, 20_000 + (i + 1) % 40) for i in range(40)]
+    out = {r["node"]: r["root"] for r in graphs.components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
+    assert out == {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(65)} | {20_000 + i: 20_000 for i in range(40)}
