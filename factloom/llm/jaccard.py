@@ -339,7 +339,8 @@ def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, til
 
     h = F.xxhash64("doc_id")
     some = common.among(docs.select("doc_id", "text"), h, wanted.select(h.alias("h")), "met").where("met")
-    held = some.select("text").mapInArrow(sets, "cls long, shingles binary")
+    # Rows of one text share an id where it is null or repeated: a class's set goes on once, dropped in tasks first.
+    held = some.select("text").mapInArrow(sets, "cls long, shingles binary").dropDuplicates(["cls"])
     near, far = _spanning(small, large, held, percent)
     joined = connected(near.unionByName(far))
     rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")

@@ -811,3 +811,21 @@ def test_workers_hold_little_for_a_batch():
         most[name] = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
     assert most["shared_segments"] < 75 and most["classes"] < 75 and most["count_trigrams"] < 75
+
+
+def test_jaccard_sends_one_set_a_class(spark, monkeypatch):
+    """300 copies without ids, and one near copy: a class's set reaches the tiles once."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words), 0)] * 300 + [(7, near, 0), (7, near, 0), (9, "something else entirely here", 0)]
+    sent = []
+    spanning = jaccard._spanning
+
+    def counted(small, large, facts, percent):
+        sent.append(facts.groupBy("cls").count().agg(F.max("count")).first()[0])
+        return spanning(small, large, facts, percent)
+
+    monkeypatch.setattr(jaccard, "_spanning", counted)
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4), k=3, percent=90).collect())
+    assert got == Counter({(None, 58, 7): 300, (7, 58, 7): 2, (9, 2, 9): 1})
+    assert sent == [1, 1]
