@@ -1,11 +1,28 @@
-"""Exact repeated fragments: runs of sibling statements, grouped across owners, contained ones suppressed."""
+"""Repeated fragments: runs of sibling statements that are equal, or equal but for the names of locals and
+parameters, grouped across owners, contained ones suppressed.
+
+A statement is an array of parts (category, text, symbol, type_key): text that is kept as it is
+(category null), or a placeholder for a local (L) or a parameter (P) of a type. In a run a
+placeholder stands for the distance to where its symbol came before, 0 if it didn't within the
+run: runs that differ by names only are the same, and so are the runs inside them.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..runtime import cut, ship
 
-from ..runtime import cut
+PARTS = "array<struct<category:string,text:string,symbol:string,type_key:string>>"
+#: Runs that a task holds before it hands them on.
+HELD = 20_000
 
 
 def encode(parts: Column) -> Column:
@@ -36,45 +53,141 @@ def normalized(df: DataFrame, columns: list[str], symbols: Column, mark: str) ->
     return rows.groupBy("_row", *columns).agg(F.when(F.count("_at") > 0, form).alias("form")).select(*columns, "form")
 
 
-def shared_only(statements: DataFrame, owner: list[str]) -> DataFrame:
-    """statements, eligible only where two owners or more have the form.
+def type_keys(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(type, key): a name for each type that tells apart whatever differs in it, at any depth.
 
-    A run that two owners have consists of such statements, so no group is lost, and runs are
-    built where there may be some instead of everywhere.
+    nodes has type, is_error, annotation (whether null is allowed) and parts, an array of (tag, value,
+    child): a plain value, or another type that is nested there. A type that is unknown, or holds
+    one that is, has no key (null).
     """
-    who = F.struct(*owner)
-    many = statements.where("eligible").groupBy("form").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
-    marked = statements.join(many.select("form", F.lit(True).alias("shared")), "form", "left")
-    return marked.withColumn("eligible", F.col("eligible") & F.coalesce("shared", F.lit(False))).select(*statements.columns)
+    keyed = lambda parts: F.array_join(F.transform(parts, lambda p: encode(F.array(p["tag"], p["value"]))), "")
+    rows = nodes.select("type", "is_error", F.coalesce("annotation", F.lit("0")).alias("annotation"), F.coalesce("parts", F.array().cast("array<struct<tag:string,value:string,child:string>>")).alias("parts")).dropDuplicates(["type"])
+    plain = F.forall("parts", lambda p: p["child"].isNull())
+    key = F.when(~F.col("is_error"), F.concat(encode(F.array(F.lit("A"), F.col("annotation"))), keyed(F.col("parts"))))
+    done, open_ = cut(rows.where(plain).select("type", key.alias("key"))), cut(rows.where(~plain))
+    for _ in range(max_depth):
+        if open_.isEmpty():
+            return done
+        children = open_.select("type", F.posexplode("parts").alias("at", "p")).join(done.select(F.col("type").alias("child"), "key", F.lit(True).alias("there")), F.col("p.child") == F.col("child"), "left")
+        known = children.groupBy("type").agg(
+            F.bool_and(F.col("p.child").isNull() | F.coalesce("there", F.lit(False))).alias("whole"), F.bool_or(F.col("there") & F.col("key").isNull()).alias("bad"),
+            F.array_sort(F.collect_list(F.struct("at", F.col("p.tag").alias("tag"), F.coalesce("key", "p.value").alias("value")))).alias("given"),
+        ).where("whole")
+        made = open_.join(known, "type").withColumn("is_error", F.col("is_error") | F.coalesce("bad", F.lit(False))).select("type", "is_error", "annotation", F.col("given").alias("parts"))
+        made = cut(made.select("type", key.alias("key")))
+        if made.isEmpty():
+            raise ValueError("types nest in a circle, or one of them is missing")
+        done, open_ = cut(done.unionByName(made)), cut(open_.join(made, "type", "left_anti"))
+    raise ValueError("types nest too deeply")
+
+
+def barred(statements: DataFrame) -> DataFrame:
+    """statements, eligible only without a nested function, without an unresolved, ambiguous or dynamic
+    binding, and without a placeholder whose type is unknown."""
+    typed = F.forall(F.coalesce("parts", F.array().cast(PARTS)), lambda p: p["category"].isNull() | p["type_key"].isNotNull())
+    no = F.lit(False)
+    return statements.withColumn("eligible", F.coalesce("eligible", no) & ~F.coalesce("nested_executable", no) & ~F.coalesce("binding_barrier", no) & typed)
+
+
+def _lists(statements: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each list of statements, in order; a form alone counts as one part."""
+    none = F.lit(None).cast("string")
+    text = F.col("form") if "form" in statements.columns else none
+    form = F.array(F.struct(none.alias("category"), text.alias("text"), none.alias("symbol"), none.alias("type_key")))
+    parts = F.coalesce("parts", form) if "parts" in statements.columns else form
+    rows = statements.select(*key, F.struct("ordinal", F.col("tokens").cast("long").alias("tokens"), "eligible", parts.alias("parts")).alias("s"))
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+
+
+def _part(p: dict, distance: int) -> bytes:
+    if p["category"] is None:
+        return f"{len(p['text'])}:{p['text']}".encode()
+    return f"{p['category']}{distance}:{len(p['type_key'])}:{p['type_key']}".encode()
+
+
+def _digests(s: list[dict], least: int, least_tokens: int, most: int | None) -> Iterator[tuple[int, int, int, str]]:
+    """(first, last, tokens, digest) of the runs of a list: a start's digest goes on from statement to statement."""
+    at, last, offsets, prev = 0, {}, [], []
+    for x in s:
+        offsets.append(at)
+        before = []
+        for p in x["parts"]:
+            before.append(last.get(p["symbol"], -1) if p["category"] is not None else -1)
+            if p["category"] is not None:
+                last[p["symbol"]] = at
+            at += 1
+        prev.append(before)
+
+    def form(j: int, start: int) -> bytes:
+        return b"".join(_part(p, offsets[j] + k - b if b >= start else 0) for k, (p, b) in enumerate(zip(s[j]["parts"], prev[j], strict=True)))
+
+    open_ = [x["eligible"] for x in s]
+    whole = [form(j, 0) if open_[j] else b"" for j in range(len(s))]
+    # What a statement goes back to: it reads the same from any start at or before that.
+    back = [min([b for b in prev[j] if b >= 0], default=at) for j in range(len(s))]
+    for i in range(len(s)):
+        digest, tokens = hashlib.sha256(), 0
+        for j in range(i, len(s) if most is None else min(len(s), i + most)):
+            if not open_[j] or s[j]["ordinal"] - s[i]["ordinal"] != j - i:
+                break
+            digest.update(whole[j] if back[j] >= offsets[i] else form(j, offsets[i]))
+            tokens += s[j]["tokens"]
+            if j - i + 1 >= least and tokens >= least_tokens:
+                yield s[i]["ordinal"], s[j]["ordinal"], tokens, digest.hexdigest()
+
+
+def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, least_tokens: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, rows, at = b.select(key), [], []
+
+        def out() -> pa.RecordBatch:
+            own = keys.take(pa.array(at, pa.int32()))  # noqa: B023
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*key, "first", "last", "tokens", "group"])
+
+        for i in range(b.num_rows):
+            for run in _digests(b["s"][i].as_py(), least, least_tokens, most):
+                rows.append(run)
+                at.append(i)
+                if len(rows) >= HELD:
+                    yield out()
+                    rows.clear(), at.clear()
+        if rows:
+            yield out()
 
 
 def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: int, most: int | None = None) -> DataFrame:
     """Every run of eligible neighbours with least statements and least_tokens tokens or more.
 
-    statements has owner columns, list_id, ordinal (gapless within a list), form, tokens, eligible.
-    Lists fall apart at ineligible statements; a run is (owner..., list_id, first, last, tokens,
-    form), built from one array per island of neighbours.
+    statements has owner columns, list_id, ordinal, tokens, eligible, and form or parts. Lists fall
+    apart at ineligible statements; a run is (owner..., list_id, first, last, tokens, group), group
+    being a digest of its parts. Runs are handed on as they are made: memory goes with the list.
     """
     key = [*owner, "list_id"]
-    w = Window.partitionBy(*key).orderBy("ordinal")
-    islands = statements.withColumn("island", F.sum(F.when(F.col("eligible"), 0).otherwise(1)).over(w)).where("eligible")
-    rows = islands.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens", "form"))).alias("s"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("s") - least + 1))).where(F.size("s") >= least)
-    last = F.size("s") if most is None else F.least(F.size("s"), F.col("i") + most - 1)
-    rows = rows.withColumn("j", F.explode(F.sequence(F.col("i") + least - 1, last)))
-    run = F.slice("s", F.col("i"), F.col("j") - F.col("i") + 1)
-    rows = rows.withColumn("run", run).withColumn("tokens", F.aggregate(F.transform("run", lambda x: x["tokens"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = rows.where(F.col("tokens") >= least_tokens)
-    first, final = F.get(F.col("run"), F.lit(0))["ordinal"], F.element_at("run", -1)["ordinal"]
-    return rows.select(*key, first.alias("first"), final.alias("last"), "tokens", encode(F.transform("run", lambda x: x["form"])).alias("form"))
+    ship(statements.sparkSession)
+    lists = _lists(statements, key)
+    schema = StructType([f for f in lists.schema if f.name != "s"]).add("first", "long").add("last", "long").add("tokens", "long").add("group", "string")
+    return lists.mapInArrow(partial(_batches, key=key, least=least, least_tokens=least_tokens, most=most), schema)
 
 
-def groups(runs: DataFrame, owner: list[str]) -> DataFrame:
-    """runs whose form two owners or more have, with group (a digest of the form), owners and occurrences.
+def shared_only(statements: DataFrame, owner: list[str], least: int = 3) -> DataFrame:
+    """statements, eligible only inside a run of least statements that two owners or more have.
 
-    A semi-join on the digest leaves few rows before anything is compared exactly.
+    A longer run that two owners have consists of such runs, so no group is lost, and longer ones
+    are made where there may be some instead of everywhere.
     """
-    marked = runs.withColumn("group", F.sha2("form", 256)).drop("form").dropDuplicates([*owner, "list_id", "first", "last"])
+    key = [*owner, "list_id"]
+    small = windows(statements, owner, least, 0, least)
+    who = F.struct(*owner)
+    many = small.groupBy("group").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
+    inside = small.join(many.select("group"), "group", "left_semi").select(*key, F.explode(F.sequence("first", "last")).alias("ordinal")).distinct()
+    marked = statements.withColumn("ordinal", F.col("ordinal").cast("long")).join(inside.withColumn("_shared", F.lit(True)), [*key, "ordinal"], "left")
+    return marked.withColumn("eligible", F.col("eligible") & F.coalesce("_shared", F.lit(False))).select(*statements.columns)
+
+
+def groups(runs: DataFrame, owner: list[str]) -> DataFrame:
+    """runs whose group two owners or more have, with owners and occurrences."""
+    marked = runs.dropDuplicates([*owner, "list_id", "first", "last"])
     shared = marked.groupBy("group").agg(F.count_distinct(*[F.col(c) for c in owner]).alias("owners"), F.count(F.lit(1)).alias("occurrences")).where("owners > 1")
     return marked.join(shared, "group")
 
@@ -83,20 +196,21 @@ def maximal(grouped: DataFrame, owner: list[str]) -> DataFrame:
     """Groups not contained in a larger one: suppressed is a group each of whose occurrences lies
     within an occurrence of one and the same group with more statements.
 
-    If all of them lie at one place of the larger group, all have the same neighbour on one side
-    too, so the run that is longer by that neighbour is the same group everywhere: two equality
-    joins find these. Only a group that comes twice or more in one list can lie at several places
-    of a larger group; occurrences of such groups alone are compared with the runs around them.
+    Most are found by their neighbours: if each occurrence, longer by the statement before or the
+    one after, is of one and the same group, all lie within that group. Only a group that comes
+    twice or more in one list can lie in a larger one otherwise; occurrences of such groups alone
+    are compared with the runs around them.
     """
     key = [*owner, "list_id"]
     g = cut(grouped.withColumn("length", F.col("last") - F.col("first") + 1))
     left = g.select(*key, (F.col("first") + 1).alias("first"), "last", F.col("group").alias("before"))
     right = g.select(*key, "first", (F.col("last") - 1).alias("last"), F.col("group").alias("after"))
     around = g.join(left, [*key, "first", "last"], "left").join(right, [*key, "first", "last"], "left")
-    same = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+    longer = around.select("group", "occurrences", F.explode(F.array_distinct(F.array_compact(F.array("before", "after")))).alias("longer"))
+    covered = longer.groupBy("group", "longer", "occurrences").agg(F.count(F.lit(1)).alias("n")).where("n = occurrences").select("group").distinct()
     one = F.struct(*key)
-    facts = around.groupBy("group").agg(F.coalesce(same("before") | same("after"), F.lit(False)).alias("gone"), (F.count_distinct(one) < F.count(F.lit(1))).alias("twice"))
-    facts = cut(facts)
+    facts = g.groupBy("group").agg((F.count_distinct(one) < F.count(F.lit(1))).alias("twice")).join(covered.withColumn("gone", F.lit(True)), "group", "left")
+    facts = cut(facts.withColumn("gone", F.coalesce("gone", F.lit(False))))
     open_ = facts.where("not gone and twice").select("group")
     small = g.join(open_, "group", "left_semi").select(*key, F.col("group").alias("inner"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("length").alias("n"), F.col("occurrences").alias("needed"))
     inside = small.join(g.select(*key, "group", "first", "last", "length"), key).where("f >= first and l <= last and n < length")

@@ -278,6 +278,38 @@ def fragments_exact(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select(F.col("group").alias("grp"), "doc_id", *long("first", "last", "tokens", "owners", "occurrences"))
 
 
+_RENAMED = r"""
+ls AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ordinal FROM documents),
+tw AS (SELECT doc_id, ordinal, unnest(list_prepend(chr(10), string_split(line, ' '))) AS word, unnest(range(0, len(string_split(line, ' ')) + 1)) AS k FROM ls WHERE trim(line) <> ''),
+tp AS (SELECT *, regexp_full_match(word, '\pL{7,}') AS ph, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, k) AS pos FROM tw),
+tk AS MATERIALIZED (SELECT *, CASE WHEN ph THEN lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos) END AS prev, min(pos) OVER (PARTITION BY doc_id, ordinal) AS begins FROM tp),
+st AS MATERIALIZED (SELECT doc_id, ordinal, begins, count(*) - 1 AS tokens FROM tk GROUP BY ALL),
+a3 AS (SELECT doc_id, ordinal AS first, begins FROM st WHERE (doc_id, ordinal + 1) IN (SELECT (doc_id, ordinal) FROM st) AND (doc_id, ordinal + 2) IN (SELECT (doc_id, ordinal) FROM st)),
+f3 AS (SELECT a3.doc_id, first, md5(string_agg(CASE WHEN ph THEN 'L' || CASE WHEN prev >= a3.begins THEN pos - prev ELSE 0 END || ':' || right(word, 1) ELSE length(word) || ':' || word END, '' ORDER BY pos)) AS form
+  FROM a3 JOIN tk ON tk.doc_id = a3.doc_id AND tk.ordinal BETWEEN first AND first + 2 GROUP BY ALL),
+s3 AS (SELECT doc_id, first FROM f3 WHERE form IN (SELECT form FROM f3 GROUP BY form HAVING count(DISTINCT doc_id) > 1)),
+ok AS MATERIALIZED (SELECT doc_id, ordinal, begins, tokens, ordinal - row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM st WHERE EXISTS (SELECT 1 FROM s3 WHERE s3.doc_id = st.doc_id AND st.ordinal BETWEEN s3.first AND s3.first + 2)),
+ru AS (SELECT a.doc_id, a.begins, a.ordinal AS first, b.ordinal AS last FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND a.island = b.island AND b.ordinal >= a.ordinal + 2),
+rt AS MATERIALIZED (SELECT ru.doc_id, ru.begins, first, last, sum(tokens)::BIGINT AS tokens FROM ru JOIN ok ON ok.doc_id = ru.doc_id AND ok.ordinal BETWEEN first AND last GROUP BY ALL HAVING sum(tokens) >= 40),
+rf AS (SELECT rt.doc_id, first, last, tokens, md5(string_agg(CASE WHEN ph THEN 'L' || CASE WHEN prev >= rt.begins THEN pos - prev ELSE 0 END || ':' || right(word, 1) ELSE length(word) || ':' || word END, '' ORDER BY pos)) AS form
+  FROM rt JOIN tk ON tk.doc_id = rt.doc_id AND tk.ordinal BETWEEN first AND last GROUP BY ALL),
+rg AS (SELECT form, count(DISTINCT doc_id) AS owners, count(*) AS occurrences FROM rf GROUP BY form HAVING count(DISTINCT doc_id) > 1)"""
+
+
+@query(f"WITH {_RENAMED} SELECT doc_id, first, last, tokens, owners, occurrences FROM rf JOIN rg USING (form)")
+def fragments_renamed(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of lines that are equal but for long words, each standing for a local whose type is its last letter."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    none = F.lit(None).cast("string")
+    local = lambda w: w.rlike(r"^\p{L}{7,}$")
+    words = F.transform(F.split("line", " ", -1), lambda w: F.struct(F.when(local(w), "L").alias("category"), w.alias("text"), F.when(local(w), w).alias("symbol"), F.when(local(w), F.right(w, F.lit(1))).alias("type_key")))
+    begin = F.array(F.struct(none.alias("category"), F.lit("\n").alias("text"), none.alias("symbol"), none.alias("type_key")))
+    no = F.lit(False)
+    statements = rows.select("doc_id", F.lit(0).alias("list_id"), (F.col("p") + 1).cast("long").alias("ordinal"), F.size(words).cast("long").alias("tokens"), (F.trim("line") != "").alias("eligible"), F.concat(begin, words).alias("parts"), no.alias("nested_executable"), no.alias("binding_barrier"))
+    runs = fragments.windows(fragments.shared_only(fragments.barred(statements), ["doc_id"]), ["doc_id"], 3, 40)
+    return fragments.groups(runs, ["doc_id"]).select("doc_id", *long("first", "last", "tokens", "owners", "occurrences"))
+
+
 @query(f"""
 WITH {_RUNS},
 c AS (SELECT x.grp AS small, y.grp AS large, x.occurrences AS needed, count(DISTINCT (x.doc_id, x.first, x.last)) AS n

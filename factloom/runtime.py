@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "factloom", cores: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with the settings that results rely on: UTC and adaptive execution."""
@@ -46,3 +54,22 @@ def drop(df: DataFrame) -> None:
     if plan.nodeName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they can import it.
+
+    The driver serves the file for as long as it runs; executors fetch it from the driver.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/{root.name}_operators.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

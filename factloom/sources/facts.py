@@ -15,7 +15,7 @@ SCHEMAS = {
     "members": "project_path string, source_path string, role string, symbol_id string, kind string, start_line int, lines long, decisions long, constructs long, nesting long",
     "type_parts": "project_path string, source_path string, role string, symbol_id string, start_line int, lines long",
     "body_tokens": "project_path string, source_path string, owner_id string, line int, tokens array<string>",
-    "statements": "project_path string, source_path string, owner_id string, list_id int, ordinal long, form string, tokens long, eligible boolean",
+    "statements": "project_path string, source_path string, owner_id string, list_id int, ordinal long, form string, tokens long, eligible boolean, nested_executable boolean, binding_barrier boolean, parts array<struct<category:string,text:string,symbol:string,type_key:string>>",
     "types": "type_id string, project_path string, is_test boolean",
     "type_declarations": "type_id string, project_path string, source_path string, start_line int",
     "type_edges": "from_id string, to_id string, kind int, project_path string, source_path string, start int",

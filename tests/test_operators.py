@@ -226,3 +226,57 @@ def test_components_with_a_centre_of_many_edges(spark, monkeypatch):
     pairs = [(1500, i) for i in range(3000) if i != 1500] + [(10_000 + i, 10_001 + i) for i in range(64)] + [(20_000 + i, 20_000 + (i + 1) % 40) for i in range(40)]
     out = {r["node"]: r["root"] for r in graphs.components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
     assert out == {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(65)} | {20_000 + i: 20_000 for i in range(40)}
+
+
+def statements(spark, lists, tokens=25):
+    """Owner to statements, each a list of parts: text, or (category, symbol, type)."""
+    rows = [(o, 0, i, tokens, True, False, False, [(None, x, None, None) if isinstance(x, str) else (x[0], None, x[1], x[2]) for x in s]) for o, body in lists.items() for i, s in enumerate(body)]
+    return spark.createDataFrame(rows, f"owner string, list_id int, ordinal long, tokens long, eligible boolean, nested_executable boolean, binding_barrier boolean, parts {fragments.PARTS}")
+
+
+def body(a, b, of="int", call="Use"):
+    return [["var", ("L", a, of), "=1"], ["var", ("L", b, of), "=", ("L", a, of)], [call, ("L", a, of), ("L", b, of), ("P", "p", "string")]]
+
+
+@pytest.mark.parametrize("other,wanted", [
+    (body("x", "y"), 2),  # renamed
+    (body("x", "y", "long"), 0),  # another type
+    ([*body("x", "y")[:2], ["Use", ("L", "y", "int"), ("L", "x", "int"), ("P", "p", "string")]], 0),  # the other way round
+    (body("x", "x"), 0),  # one symbol for two
+    (body("x", "y", call="Take"), 0),  # another text
+    ([[("L", "before", "int")], *body("x", "y")], 2),  # more around it
+])
+def test_renamed_fragments(spark, other, wanted):
+    df = fragments.barred(statements(spark, {"a": body("m", "n"), "b": other}))
+    runs = fragments.groups(fragments.windows(fragments.shared_only(df, ["owner"]), ["owner"], 3, 60), ["owner"])
+    assert runs.count() == wanted
+
+
+def test_fragments_stop_at_barriers(spark):
+    for barrier in ("nested_executable", "binding_barrier"):
+        df = statements(spark, {"a": body("m", "n") * 2, "b": body("x", "y") * 2}).withColumn(barrier, F.col("ordinal") == 3)
+        assert {r["last"] - r["first"] for r in fragments.windows(fragments.barred(df), ["owner"], 3, 60).collect()} == {2}
+    untyped = statements(spark, {"a": body("m", "n", None), "b": body("x", "y", None)})
+    assert fragments.windows(fragments.barred(untyped), ["owner"], 3, 60).count() == 0
+
+
+def test_fragments_of_many_equal_statements(spark):
+    """Two lists of 300 equal statements: one group stays, all shorter ones lie within it."""
+    df = statements(spark, {o: [["same"]] * 300 for o in "ab"})
+    runs = fragments.groups(fragments.windows(fragments.shared_only(fragments.barred(df), ["owner"]), ["owner"], 3, 60), ["owner"])
+    assert runs.count() == 2 * sum(range(1, 299))
+    assert got(fragments.maximal(runs, ["owner"]), "owner", "first", "last") == [("a", 0, 299), ("b", 0, 299)]
+
+
+def test_type_keys(spark):
+    leaf = lambda name, null="0": (name + null, False, null, [("Named", name, None)])
+    nodes = [
+        leaf("int"), leaf("int", "1"), leaf("text"), ("list", False, "0", [("Named", "List", None), ("Argument", None, "int0")]), ("list?", False, "0", [("Named", "List", None), ("Argument", None, "int1")]),
+        ("nested", False, "0", [("Named", "Map", None), ("Argument", None, "list"), ("Argument", None, "text0")]), ("bad", True, "0", []), ("of bad", False, "0", [("Argument", None, "bad")]), ("twin", False, "0", [("Named", "List", None), ("Argument", None, "int0")]),
+    ]
+    schema = "type string, is_error boolean, annotation string, parts array<struct<tag:string,value:string,child:string>>"
+    keys = {r["type"]: r["key"] for r in fragments.type_keys(spark.createDataFrame(nodes, schema)).collect()}
+    assert keys["bad"] is None and keys["of bad"] is None and keys["list"] == keys["twin"]
+    assert len(set(keys.values())) == 7
+    with pytest.raises(ValueError):
+        fragments.type_keys(spark.createDataFrame([("a", False, "0", [("t", None, "b")]), ("b", False, "0", [("t", None, "a")])], schema))
