@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import calls, classify, fragments, graphs, identifiers, percentiles, protection, references, similarity, sizes, subjects
+from .operators import calls, classify, fragments, graphs, identifiers, markup, percentiles, protection, references, similarity, sizes, subjects
 from .options import Analysis, Descriptor, Effective, Option, Registry
 from .runtime import cut
 
@@ -27,7 +27,7 @@ READS = {
     "type-dependency-hub-candidates": ("type_declarations", "type_edges", "types"),
     "indirection-drift-candidates": ("forwarders",),
     "missing-test-evidence-candidates": ("attributes", "call_uncertainty", "calls", "declarations", "documents", "functions", "methods", "operations", "symbols"),
-    "dead-code-candidates": ("attributes", "base_types", "contracts", "declarations", "documents", "entry_points", "invocations", "projects", "protected", "reference_uncertainty", "references", "symbols"),
+    "dead-code-candidates": ("attributes", "base_types", "contracts", "declarations", "documents", "entry_points", "invocations", "markup", "projects", "protected", "reference_uncertainty", "references", "symbols"),
     "non-ascii-identifiers": ("declarations",),
 }
 
@@ -182,10 +182,13 @@ def _dead_code_candidates(facts: Facts, excluded: DataFrame) -> tuple[DataFrame,
 def dead_code(facts: Facts, o: Effective) -> DataFrame:
     d, refs = facts["declarations"], facts["references"]
     marks, open_ = protection.indirect_uses(facts["invocations"], facts["attributes"], facts["symbols"], facts["contracts"], facts["base_types"], o.general["entryPointAttributes"])
-    marks = cut(marks)
     projects = facts["projects"].select(F.col("project_path").alias("project"), F.coalesce("project_refs", F.array().cast("array<string>")).alias("references"))
-    every = projects.select("project").unionByName(open_.select("project")).distinct()
-    types, methods = _dead_code_candidates(facts, protection.excluded_area(open_, subjects.reference_areas(every, subjects.project_references(projects))))
+    every = projects.select("project").unionByName(open_.select("project")).unionByName(facts["symbols"].where("project is not null").select("project")).distinct()
+    areas = subjects.reference_areas(every, subjects.project_references(projects))
+    folders = projects.select("project", F.regexp_extract("project", r"^(.*)/[^/]*$", 1).alias("dir"))
+    used_by_markup = markup.markup_marks(facts["markup"], folders, facts["symbols"], facts["attributes"], areas)
+    marks = cut(protection.combined([marks, used_by_markup], facts["symbols"]))
+    types, methods = _dead_code_candidates(facts, protection.excluded_area(open_, areas))
     parents = d.select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent"))
     contained = parents.where("parent is not null").select(F.col("node").alias("symbol"), F.col("parent").alias("type"))
     protected = references.with_attributes(d, o.general["entryPointAttributes"]).select(F.col("symbol_id").alias("symbol")) if o.general["entryPointAttributes"] else d.limit(0).select(F.col("symbol_id").alias("symbol"))

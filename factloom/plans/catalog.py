@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, protection, subjects  # noqa: F401  register their queries
+from . import calls, markup, protection, subjects  # noqa: F401  register their queries
 from .signals import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -29,7 +29,8 @@ SCHEMAS = {
     "references": "symbol_id string, kind string, project_path string, source_path string, start int, is_self boolean",
     "protected": "symbol string",
     "entry_points": "symbol string",
-    "symbols": "symbol string, symbol_kind string, name string, type string, assembly string, project string, is_source boolean, is_static boolean, accessibility string, first_parameter string, overrides string, overrides_source boolean, value_core string, value_wraps int, method_kind string, is_implicit boolean, container_kind string",
+    "markup": "file_path string, text string",
+    "symbols": "symbol string, symbol_kind string, name string, type string, assembly string, project string, is_source boolean, is_static boolean, accessibility string, first_parameter string, overrides string, overrides_source boolean, value_core string, value_wraps int, method_kind string, is_implicit boolean, container_kind string, full_name string, value_type string",
     "contracts": "type string, contract string, contract_source boolean, member_source boolean, implementation string, arguments array<string>",
     "base_types": "type string, base string",
     "invocations": "project string, assembly string, target_type string, target_name string, target_source boolean, typeof_type string, has_name_parameter boolean, name string, type_arguments array<string>, argument_types array<string>",
