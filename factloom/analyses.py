@@ -13,10 +13,24 @@ from pyspark.sql import functions as F
 
 from .operators import calls, classify, fragments, graphs, identifiers, markup, percentiles, protection, references, similarity, sizes, subjects
 from .options import Analysis, Descriptor, Effective, Option, Registry
-from .runtime import cut
+from .runtime import Artifacts, cut
 
 Facts = Mapping[str, DataFrame]
 
+
+class RunFacts(dict):
+    """Fact tables of one run, with what its analyses share."""
+
+    def __init__(self, tables: Facts) -> None:
+        super().__init__(tables)
+        self.artifacts = Artifacts()
+
+
+def _shared(facts: Facts, name: str, build) -> DataFrame:
+    """What build gives, once a run where facts are a run's."""
+    return facts.artifacts.get(name, build) if isinstance(facts, RunFacts) else build()
+
+
 #: The fact tables that each analysis reads.
 READS = {
     "method-control-flow-outliers": ("members",),
@@ -91,10 +105,15 @@ def structural_duplication(facts: Facts, o: Effective) -> DataFrame:
 
 
 def _type_edges(facts: Facts) -> tuple[DataFrame, DataFrame]:
+    e = _shared(facts, "type_edges", lambda: _bound_edges(facts))
+    return e.where("not from_test").select("a", "b").distinct(), e.where("from_test").select("a", "b").distinct()
+
+
+def _bound_edges(facts: Facts) -> DataFrame:
+    """(a, b, from_test), each once: edges between types of the solution, none to itself or to a test's type."""
     types = facts["types"]
     e = facts["type_edges"].join(types.select(F.col("type_id").alias("from_id"), F.col("is_test").alias("from_test")), "from_id").join(types.select(F.col("type_id").alias("to_id"), F.col("is_test").alias("to_test")), "to_id").where("from_id <> to_id and not to_test")
-    e = e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "from_test")
-    return e.where("not from_test").select("a", "b").distinct(), e.where("from_test").select("a", "b").distinct()
+    return e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "from_test").distinct()
 
 
 def dependency_cycles(facts: Facts, o: Effective) -> DataFrame:
@@ -125,8 +144,8 @@ def indirection_drift(facts: Facts, o: Effective) -> DataFrame:
 
 def _generated_paths(facts: Facts) -> DataFrame:
     """(project_path, source_path) of documents that are generated."""
-    by_text = classify.is_generated(F.col("source_path"), F.col("text"))
-    return facts["documents"].where(F.coalesce("is_source_generated", F.lit(False)) | by_text).select("project_path", "source_path").distinct()
+    on = F.coalesce("is_source_generated", F.lit(False)) | classify.is_generated(F.col("source_path"), F.col("text"))
+    return _shared(facts, "generated_paths", lambda: facts["documents"].where(on).select("project_path", "source_path").distinct())
 
 
 def _test_roots(facts: Facts, written: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ A finding is keyed by (analysis_id, project_path, source_path, subject_id, discr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 KEY = ["analysis_id", "project_path", "source_path", "subject_id", "discriminator"]
@@ -74,6 +74,20 @@ def violations(found: DataFrame, sources: DataFrame) -> DataFrame:
     return out
 
 
+def checked(found: DataFrame, documents: DataFrame, observation: Observation) -> DataFrame:
+    """found with id and lines; observation counts what breaks a rule, in the pass that computes the rows.
+
+    A key that comes twice, a source that documents (project_path, source_path, lines) don't have, a
+    line outside it and a metric that is no finite number are counted, by rule, and none is dropped.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
+    rows = found.withColumn("id", finding_id(*[F.col(k) for k in KEY])).withColumn("_n", n).join(documents.select("project_path", "source_path", "lines").dropDuplicates(["project_path", "source_path"]), ["project_path", "source_path"], "left")
+    infinite = F.exists(F.map_values(F.coalesce("metrics", F.create_map().cast("map<string,double>"))), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    broken = {"duplicate-key": F.col("_n") > 1, "unknown-source": F.col("lines").isNull(), "line-out-of-range": ~F.col("start_line").between(1, F.col("lines")), "metric-not-finite": infinite}
+    counts = [F.sum(F.when(F.coalesce(on, F.lit(False)), 1).otherwise(0)).alias(rule) for rule, on in broken.items()]
+    return rows.observe(observation, F.count(F.lit(1)).alias("findings"), *counts).select(*found.columns)
+
+
 def folder_rollup(files: DataFrame) -> DataFrame:
     """(folder, files, bytes): every file (path, bytes) counted in each folder above it and in "."."""
     parts = F.split("path", "/", -1)

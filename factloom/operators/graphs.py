@@ -169,28 +169,34 @@ def hubs(edges: DataFrame, test_edges: DataFrame, least_in: int, least_out: int)
     return out.withColumn("test_consumers", F.coalesce("test_consumers", F.lit(0)))
 
 
-def forwarding_paths(forwarders: DataFrame, least_edges: int = 2, max_length: int = MAX_ROUNDS) -> DataFrame:
+def forwarding_paths(forwarders: DataFrame, least_edges: int = 2, max_rounds: int = 60) -> DataFrame:
     """(root, path) from every root of a functional graph (node, target) to the node without target.
 
     A root has a target and no predecessor; a path that runs into a cycle is discarded. A target
-    that is no node is an error. Paths of fewer than least_edges edges are left out.
+    that is no node is an error. Paths of fewer than least_edges edges are left out. Each round
+    doubles how far every node is known to lead, and how much of each root's path is known.
     """
     f = cut(forwarders.select("node", "target"))
     missing = f.where("target is not null").join(f.select(F.col("node").alias("target")), "target", "left_anti")
     if missing.limit(1).count():
         raise ValueError("a forwarding target has no declaration")
+    n = f.count()
     heads = f.where("target is not null").join(f.where("target is not null").select(F.col("target").alias("node")).distinct(), "node", "left_anti")
-    live = cut(heads.select(F.col("node").alias("root"), F.col("target").alias("at"), F.array("node", "target").alias("path")))
-    found = None
-    for _ in range(max_length):
-        step = live.join(f.select(F.col("node").alias("at"), F.col("target").alias("next")), "at")
-        ended = step.where("next is null").select("root", "path")
-        found = ended if found is None else found.unionByName(ended)
-        on = step.where("next is not null").where(~F.array_contains("path", F.col("next")))
-        live = cut(on.select("root", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")))
-        if live.limit(1).count() == 0:
-            return found.where(F.size("path") > least_edges)
-    raise RuntimeError("paths didn't end")
+    known = cut(heads.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("at")))
+    jump = f.where("target is not null").select("node", F.col("target").alias("far"))
+    for k in range(max_rounds):
+        further = cut(known.join(jump, "node").select("root", F.col("far").alias("node"), (F.col("at") + (1 << k)).alias("at")))
+        known = known.unionByName(further)
+        if 1 << k > n:  # longer than all nodes: what goes on now goes round
+            known = known.join(further.select("root").distinct(), "root", "left_anti")
+            break
+        if further.limit(1).count() == 0:
+            break
+        jump = cut(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("further")), "far").select("node", F.col("further").alias("far")))
+    else:
+        raise RuntimeError("paths didn't end")
+    paths = known.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("path"))
+    return paths.where(F.size("path") > least_edges)
 
 
 def reach(edges: DataFrame, nodes: DataFrame, max_length: int = MAX_ROUNDS) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,25 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
+class Artifacts:
+    """What several analyses of one run need: built once, kept by checkpoint, dropped when the run ends.
+
+    What failed is not kept, so the next that asks builds it again.
+    """
+
+    def __init__(self) -> None:
+        self._kept: dict[str, DataFrame] = {}
+
+    def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = cut(build())
+        return self._kept[name]
+
+    def close(self) -> None:
+        while self._kept:
+            drop(self._kept.popitem()[1])
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, so that they can import it.
 

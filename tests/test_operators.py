@@ -280,3 +280,12 @@ def test_type_keys(spark):
     assert len(set(keys.values())) == 7
     with pytest.raises(ValueError):
         fragments.type_keys(spark.createDataFrame([("a", False, "0", [("t", None, "b")]), ("b", False, "0", [("t", None, "a")])], schema))
+
+
+def test_forwarding_paths_of_any_length_take_few_rounds(spark):
+    chain = [(i, i + 1 if i < 600 else None) for i in range(601)]
+    more = [(1000, 5), (2000, 2001), (2001, 2002), (2002, 2001), (3000, 2000), (4000, None), (5000, 4000)]
+    df = spark.createDataFrame([*chain, *more], "node long, target long")
+    out = {r["root"]: r["path"] for r in graphs.forwarding_paths(df, max_rounds=12).collect()}
+    assert out == {0: list(range(601)), 1000: [1000, *range(5, 601)]}
+    assert {r["root"] for r in graphs.forwarding_paths(df, least_edges=1, max_rounds=12).collect()} == {0, 1000, 5000}

@@ -115,10 +115,84 @@ def test_command_line(spark, tmp_path, capsys):
     for name, schema in facts.SCHEMAS.items():
         if name != "declarations":
             spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    out = cli.review(str(tmp_path), None, str(tmp_path / "out"), spark)
+    config_file = tmp_path / "review.json"
+    text = json.loads(config.default("facts", registry()))
+    for a in text["analyses"]:
+        a["enabled"] = a["id"] in ("non-ascii-identifiers", "type-dependency-hub-candidates", "type-dependency-cycle-candidates")
+    config_file.write_text(json.dumps(text))
+    # The finding's source isn't there: nothing is published.
+    with pytest.raises(cli.Failed, match="1 unknown-source") as failed:
+        cli.review(str(tmp_path), str(config_file), str(tmp_path / "out"), spark)
+    assert failed.value.code == 3 and not (tmp_path / "out").exists()
+    document = ("p", "a.cs", "Production", "one line", False)
+    spark.createDataFrame([document], facts.SCHEMAS["documents"]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(cli.Failed, match="1 line-out-of-range"):
+        cli.review(str(tmp_path), str(config_file), str(tmp_path / "out"), spark)
+    spark.createDataFrame([(*document[:3], "1\n2\n3", False)], facts.SCHEMAS["documents"]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = cli.review(str(tmp_path), str(config_file), str(tmp_path / "out"), spark)
     assert out["findings"]["non-ascii-identifiers"] == 1 and (tmp_path / "out").exists()
 
 
+def test_interrupts_publish_nothing_and_end_what_runs(spark, tmp_path, monkeypatch):
+    from factloom import cli
+
+    for name, schema in facts.SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    ended = []
+
+    def stop(self, facts_, options):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(type(spark), "interruptTag", lambda self, tag: ended.append(tag) or [])
+    monkeypatch.setattr("factloom.options.Analysis.run", stop, raising=False)
+    monkeypatch.setattr(cli, "registry", lambda: _stopping(registry(), stop))
+    with pytest.raises(KeyboardInterrupt):
+        cli.review(str(tmp_path), None, str(tmp_path / "out"), spark)
+    assert len(ended) == 1 and ended[0] not in spark.getTags() and not (tmp_path / "out").exists()
+
+
+def _stopping(r, stop):
+    for a in r:
+        object.__setattr__(a, "run", lambda tables, options: stop(a, tables, options))
+    return r
+
+
+def test_shared_artifacts_are_built_once_and_dropped(spark):
+    from factloom.runtime import Artifacts
+
+    built, artifacts = [], Artifacts()
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    def fail():
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        artifacts.get("a", fail)
+    assert artifacts.get("a", build).count() == artifacts.get("a", build).count() == 3 and len(built) == 1
+    path = artifacts.get("a", build)._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    artifacts.close()
+    assert not __import__("os").path.exists(path.removeprefix("file:"))
+    assert artifacts.get("a", build).count() == 3 and len(built) == 2
+
+
+def test_checked_findings(spark):
+    from pyspark.sql import Observation
+
+    from factloom.operators.findings import KEY, checked
+
+    schema = ", ".join(f"{k} string" for k in KEY) + ", start_line int, metrics map<string,double>"
+    good = ("a", "p", "a.cs", "s", "d", 2, {"x": 1.0})
+    bad = [good, good, ("a", "p", "b.cs", "s", "d", 1, {}), ("a", "p", "a.cs", "t", "d", 4, None), ("a", "p", "a.cs", "u", "d", 0, {"x": float("nan")})]
+    documents = spark.createDataFrame([("p", "a.cs", 3)], "project_path string, source_path string, lines long")
+    for rows, wanted in ((bad, {"findings": 5, "duplicate-key": 2, "unknown-source": 1, "line-out-of-range": 2, "metric-not-finite": 1}), ([good], {"findings": 1, "duplicate-key": 0, "unknown-source": 0, "line-out-of-range": 0, "metric-not-finite": 0})):
+        seen = Observation()
+        assert checked(spark.createDataFrame(rows, schema), documents, seen).count() == len(rows)
+        assert seen.get == wanted
+
+
 def test_markup_uses(spark):
     from factloom.sources import markup
 
