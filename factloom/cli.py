@@ -67,7 +67,7 @@ def review(folder: str, config: str | None, output: str | None, spark=None) -> d
                     raise Failed(3, "INVALID_FINDINGS", f"{a.descriptor.id}: " + ", ".join(f"{v} {k}" for k, v in sorted(broken.items())))
         options = {a.descriptor.id: {"enabled": on, "options": o.general, "testOptions": o.tests} for a, on, o in settings["analyses"]}
         try:
-            out = report.publish(found, output or root / settings["outputDirectory"], options)
+            out = report.publish(found, output or root / settings["outputDirectory"], options, tables)
         except OSError as e:
             raise Failed(4, "REPORT_FAILED", str(e)) from e
     except Failed:

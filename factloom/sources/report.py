@@ -1,16 +1,15 @@
-"""Publication of findings as a tree of Markdown files, written aside and renamed into place."""
+"""Publication of findings as a tree of Markdown files, written aside by tasks and renamed into place."""
 
 from __future__ import annotations
 
 import errno
 import json
-import os
 import re
 import secrets
 import shutil
 import time
 from datetime import datetime, timezone
-from itertools import groupby
+from functools import reduce
 from pathlib import Path
 from urllib.parse import quote
 
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.findings import KEY, finding_id
+from ..runtime import cut
+from . import facts, pages
 
 RETRIES = (0.02, 0.04, 0.08, 0.16)
 
@@ -54,58 +55,57 @@ def ordered(findings: DataFrame) -> DataFrame:
     return f.orderBy("project_path", "source_path", "start_line", "subject_id", "discriminator")
 
 
-def detail(title: str, findings: DataFrame) -> str:
-    """One analysis: by project and file, in order. Rows stream to the driver, as a report's writer must."""
-    out = [f"# {escape(title)}", ""]
-    rows = ordered(findings).toLocalIterator()
-    for project, own in groupby(rows, key=lambda r: r["project_path"]):
-        out += [f"## {code_span(project or '')}", ""]
-        for source, more in groupby(own, key=lambda r: r["source_path"]):
-            out += [f"### {code_span(source or '')}", ""]
-            for r in more:
-                metrics = ", ".join(f"{k} {number(v)}" for k, v in sorted((r["metrics"] or {}).items()))
-                out.append(f"- {code_span(r['subject_id'] or '')}, line {r['start_line']}, {r['discriminator']}" + (f": {metrics}" if metrics else "") + f" ({r['id']})")
-            out.append("")
-    return "\n".join(out)
-
-
 def totals(findings: DataFrame) -> tuple[int, int, int]:
     """Findings, distinct projects and distinct files."""
     row = findings.agg(F.count(F.lit(1)), F.count_distinct("project_path"), F.count_distinct("project_path", "source_path")).first()
     return tuple(row)
 
 
-def _write(path: Path, text: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "x", encoding="utf-8", newline="\n") as f:
-        f.write(text)
+def _index(counts: dict[str, tuple[int, int, int]], by_area: dict[str, int], options: dict | None) -> str:
+    """The root page: what was run and found, and where the rest is. Its size goes with the number of analyses."""
+    out = ["# Review", "", "Findings are candidates to look at, not defects.", "", "## Areas", "", "| Area | Findings |", "| --- | ---: |"]
+    out += [f"| [{a}]({a}/index.md) | {by_area.get(a, 0)} |" for a in pages.AREAS]
+    out += ["", "## Maps", "", "- [Findings by file](maps/audit/index.md)", "- [Projects](maps/projects.md)", "", "## Analyses", ""]
+    out += [f"- {escape(n)}: {c[0]} findings in {c[2]} files of {c[1]} projects" if c[0] else f"- {escape(n)}: none" for n, c in counts.items()]
+    if options:
+        out += ["", "## Options", "", "```json", json.dumps(options, sort_keys=True, indent=2), "```"]
+    return "\n".join(out)
+
+
+def report_rows(found: dict[str, DataFrame], options: dict | None, tables: dict[str, DataFrame]) -> DataFrame:
+    """All pages of the report as rows (page, at, text)."""
+    every = reduce(DataFrame.unionByName, [found[n] for n in sorted(found)])
+    documents = tables["documents"]
+    placed = cut(pages.placed(every, documents))
+    counts = {name: totals(df) for name, df in sorted(found.items())}
+    by_area = {r["area"]: r["count"] for r in placed.groupBy("area").count().collect()}
+    spark = every.sparkSession
+    index = pages._rows(spark.createDataFrame([(_index(counts, by_area, options),)], "t string"), "index.md", F.col("t"), 0)
+    projects = tables["projects"].select("project_path", F.coalesce("project_refs", F.array().cast("array<string>")).alias("references"))
+    files = documents.select("project_path", "source_path", "role", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    edges = tables["type_edges"].select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a <> b")
+    maps = pages.project_maps(projects, files, tables["types"], tables["type_declarations"], edges)
+    return reduce(DataFrame.unionByName, [index, pages.area_pages(placed), pages.finding_pages(placed), pages.audit_map(placed), maps])
 
 
-def publish(found: dict[str, DataFrame], output: str | Path, options: dict | None = None) -> Path:
-    """Writes the report below output and returns its folder; a failure leaves nothing behind.
+def publish(found: dict[str, DataFrame], output: str | Path, options: dict | None = None, tables: dict[str, DataFrame] | None = None) -> Path:
+    """Writes the report below output, which all executors share, and returns its folder; a failure leaves nothing behind.
 
-    An analysis without findings has no file of its own. The folder is made aside with a mark of
-    its owner and renamed; if the name is taken, another is drawn.
+    The folder is made aside by the tasks that write its pages and renamed when all are done; if
+    the name is taken, another is drawn. tables are the facts that areas and maps are made from.
     """
-    output = Path(output)
+    output = Path(output).resolve()
     output.mkdir(parents=True, exist_ok=True)
-    counts = {name: totals(df) for name, df in sorted(found.items())}
-    pages = {f"{name}.md": detail(name, found[name]) for name, c in counts.items() if c[0]}
-    index = ["# Review", "", "Findings are candidates to look at, not defects.", ""]
-    index += [f"- [{escape(n)}]({link(n)}.md): {c[0]} findings in {c[2]} files of {c[1]} projects" if c[0] else f"- {escape(n)}: none" for n, c in counts.items()]
-    if options:
-        index += ["", "## Options", "", "```json", json.dumps(options, sort_keys=True, indent=2), "```"]
+    if not found:
+        raise ValueError("no analysis was run")
+    tables = tables or facts.empty(next(iter(found.values())).sparkSession)
+    rows = report_rows(found, options, tables)
     for wait in (*RETRIES, None):
         name = run_id()
         aside = output / f".report-tmp-{name}"
         try:
             aside.mkdir()
-            _write(aside / ".owner", name)
-            for page, text in pages.items():
-                _write(aside / page, text + "\n")
-            _write(aside / "index.md", "\n".join(index) + "\n")
-            (aside / ".owner").unlink()
-            os.rename(aside, output / name)
+            pages.write(rows, aside, output / name)
             return output / name
         except OSError as e:
             shutil.rmtree(aside, ignore_errors=True)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.analyses import registry, run_all
 from factloom.options import Descriptor, InvalidOptions, Option
@@ -72,10 +73,53 @@ def test_analyses_and_report(spark, tmp_path):
     assert [(r["subject_id"], r["discriminator"]) for r in found["dead-code-candidates"].collect()] == [("T", "type-candidate")]
     assert [r["subject_id"] for r in found["non-ascii-identifiers"].collect()] == ["T"]
     out = report.publish(found, tmp_path)
-    assert sorted(p.name for p in out.iterdir()) == ["dead-code-candidates.md", "index.md", "non-ascii-identifiers.md"]
-    assert "`T`, line 3, type-candidate" in (out / "dead-code-candidates.md").read_text()
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*.md")) == ["index.md", "maps/audit/index.md", "maps/projects.md", "mixed/index.md", "production/dead-code-candidates.md", "production/index.md", "production/non-ascii-identifiers.md", "tests/index.md"]
+    assert "`T`, `L3`, type-candidate" in (out / "production" / "dead-code-candidates.md").read_text()
     again = report.publish(found, tmp_path)
-    assert again != out and (again / "index.md").read_text() == (out / "index.md").read_text()
+    assert again != out and all((again / p.relative_to(out)).read_text() == p.read_text() for p in out.rglob("*.md"))
+    # Both findings are about T, so each names the other.
+    assert "  - Related: `../production/non-ascii-identifiers.md`: finding-" in (out / "production" / "dead-code-candidates.md").read_text()
+    assert "No findings in this area." in (out / "mixed" / "index.md").read_text() and "| [production](production/index.md) | 2 |" in (out / "index.md").read_text()
+    assert (out / "maps" / "audit" / "index.md").read_text().count("→ `../../production/") == 2
+
+
+def test_report_maps_and_evidence(spark):
+    from factloom.sources import pages
+
+    def lines(df):
+        return {p: [r["text"] for r in df.where(F.col("page") == p).orderBy("at").collect()] for p in {r["page"] for r in df.collect()}}
+
+    projects = spark.createDataFrame([("x/A.csproj", ["x/B.csproj"]), ("x/B.csproj", [])], "project_path string, references array<string>")
+    documents = spark.createDataFrame([("x/A.csproj", "src/a/One.cs", "Production", 10), ("x/A.csproj", "src/Two.cs", "Production", 5), ("x/B.csproj", "t/T.cs", "Tests", 7)], "project_path string, source_path string, role string, bytes long")
+    types = spark.createDataFrame([("A.One", "x/A.csproj"), ("B.T", "x/B.csproj")], "type_id string, project_path string")
+    declared = spark.createDataFrame([("A.One", "src/a/One.cs"), ("A.One", "src/Two.cs")], "type_id string, source_path string")
+    got = lines(pages.project_maps(projects, documents, types, declared, spark.createDataFrame([("B.T", "A.One")] * 2, "a string, b string")))
+    key = {p.split("/")[1][:3] + p.split("/")[1][3:4]: p.split("/")[1] for p in got if p.count("/") == 2}
+    a, b = (next(k for k in key.values() if k.startswith(f"p-{x}-")) for x in "AB")
+    assert "role: production. Files: 2; types: 1. References: `x/B.csproj`." in got["maps/projects.md"][1] and "role: tests" in got["maps/projects.md"][2]
+    assert [t for t in got[f"maps/{a}/structure.md"] if t.startswith("- `")] == ["- `.`: 2 files, 15 bytes", "- `src`: 2 files, 15 bytes", "- `src/a`: 1 files, 10 bytes"]
+    assert got[f"maps/{a}/structure.md"][-1].endswith("`A.One`: `src/Two.cs`, `src/a/One.cs`")
+    assert got[f"maps/{b}/dependencies-outgoing.md"][1:] == ["- `B.T` → `A.One` in `x/A.csproj`"] and got[f"maps/{a}/dependencies-incoming.md"][1:] == ["- `A.One` ← `B.T` in `x/B.csproj`"]
+    schema = "analysis_id string, project_path string, source_path string, subject_id string, discriminator string, start_line int, metrics map<string,double>"
+    found = pages.placed(spark.createDataFrame([("an", "p", "t.cs", "s`x", "d", 3, {"b": 2.5, "a": 1.0})], schema), documents.select(F.lit("p").alias("project_path"), F.lit("t.cs").alias("source_path"), "role"))
+    own = found.first()["id"]
+    evidence = spark.createDataFrame([(own, "t.cs", 3, "N.T.M", ""), (own, "t.cs", 9, "N.T.M", "why *so*"), (own, "u.cs", 4, "N.T.K", None), (own, "u.cs", 4, "N.T.K", None)], "id string, source_path string, line int, label string, detail string")
+    page = lines(pages.finding_pages(found, evidence))["mixed/an.md"]
+    assert page[3:] == [f"- ``s`x``, `L3`, d: a 1, b 2.5 ({own})", "  - Evidence:", "    - `L9` `T.M` — why \\*so\\*", "    - `u.cs:4` `T.K`"]
+
+
+def test_aborted_reports_leave_nothing(spark, tmp_path):
+    from factloom.sources import pages
+
+    bad = F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.lit("x"))
+    rows = pages._rows(spark.range(20).repartition(4), F.concat(F.lit("p"), F.col("id"), F.lit(".md")), bad, 0)
+    (tmp_path / "aside").mkdir()
+    with pytest.raises(Exception):
+        pages.write(rows, tmp_path / "aside", tmp_path / "report")
+    assert list(tmp_path.iterdir()) == []
+    (tmp_path / "aside").mkdir()
+    pages.write(rows.where("page <> 'p7.md'"), tmp_path / "aside", tmp_path / "report")
+    assert [p.name for p in tmp_path.iterdir()] == ["report"] and len(list((tmp_path / "report").iterdir())) == 19
 
 
 def test_text_tree(spark, tmp_path):
