@@ -30,7 +30,7 @@ GAP = re.compile(r"[ \t\n\r]+")
 #: A last character of a word is another symbol than the same character inside it.
 LAST = 0x10000
 #: Pieces and pair tests remembered in a worker: two generations of this many, some 200 bytes each.
-REMEMBER = 200_000
+REMEMBER = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +40,8 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: Rows of a result that a worker puts together at a time.
+ROWS = 256
 #: A pair of tokens as one number: the right one has this many bits.
 PAIR = 24
 
@@ -56,6 +58,7 @@ class Remembered(dict):
         if value is None:
             value = self.make(key)
         if len(self) >= self.limit:
+            self.old = None  # goes before the copy is made: two generations at any time, not three
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -217,9 +220,11 @@ def encode(df: DataFrame, vocab_path: str | None = None, outputs: tuple[str, ...
     schema = ", ".join(["`doc_id` long", *[f"`{c}` {kinds[c]}" for c in carry], *[f"`{o}` {TYPES[o]}" for o in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         model = loaded(vocab_path or default_path())
         spelled = not {"decoded", "decoded_sha256"}.isdisjoint(outputs)
-        for batch in batches:
+        # Few rows at a time, as ids take more room than text.
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             out: dict[str, list] = {o: [] for o in outputs}
             for text in batch.column(1).to_pylist():
                 ids = model.ids(text or "")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import zipfile
@@ -47,13 +48,22 @@ def _return_memory() -> None:
     """Arrays of 1 MB or more go back to the system when they are freed.
 
     Left alone, the C library raises that limit to 32 MB as it runs, and a worker keeps what its
-    largest task has used.
+    largest task has used. All threads share one arena, and its end goes back when it is free.
     """
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+        libc = ctypes.CDLL("libc.so.6")
+        for name, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 1)):
+            libc.mallopt(name, value)
         pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """What a worker's tasks before this one have freed goes back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _return_memory()
 _shipped: set[str] = set()
 

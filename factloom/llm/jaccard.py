@@ -332,15 +332,20 @@ def _rooted(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, til
     wanted = one.join(may.select(F.col("node").alias("cls")), "cls", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
+        sent: set[int] = set()
         for batch in batches:
             for _, values, at in _sets(batch["text"], k):
-                own = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(class_keys(values, at)[own]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["cls", "shingles"])
+                keys = class_keys(values, at)
+                # Rows of one text share an id where it is null or repeated: a task sends a class's set once.
+                own = [i for i in np.flatnonzero(np.diff(at)).tolist() if not ((c := int(keys[i])) in sent or sent.add(c))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["cls", "shingles"])
+                if len(sent) > FLUSH:
+                    sent.clear()
 
     h = F.xxhash64("doc_id")
     some = common.among(docs.select("doc_id", "text"), h, wanted.select(h.alias("h")), "met").where("met")
-    # Rows of one text share an id where it is null or repeated: a class's set goes on once, dropped in tasks first.
-    held = some.select("text").mapInArrow(sets, "cls long, shingles binary").dropDuplicates(["cls"])
+    held = some.select("text").mapInArrow(sets, "cls long, shingles binary")
     near, far = _spanning(small, large, held, percent)
     joined = connected(near.unionByName(far))
     rows = named.drop("bits").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
