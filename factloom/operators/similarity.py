@@ -24,36 +24,49 @@ def ngrams(tokens_: Column, n: int = 5) -> Column:
 
 
 def gram_sets(df: DataFrame, id_col: str, tokens_col: str, least_tokens: int = 30, n: int = 5) -> DataFrame:
-    """(id, grams, size) of rows with least_tokens tokens or more; grams as 64-bit hashes, sorted."""
-    grams = F.array_sort(F.transform(ngrams(F.col(tokens_col), n), lambda g: F.xxhash64(g)))
+    """(id, grams, size) of rows with least_tokens tokens or more; grams as 64-bit hashes, sorted.
+
+    A gram is hashed from its tokens' hashes, so that no gram is ever put together as text.
+    """
     # No filter on what is derived from the tokens: it would be pushed down and evaluated again.
-    out = df.where(F.size(tokens_col) >= max(least_tokens, n)).select(F.col(id_col).alias("id"), grams.alias("grams"))
-    return out.withColumn("size", F.size("grams"))
+    rows = df.where(F.size(tokens_col) >= max(least_tokens, n)).select(F.col(id_col).alias("id"), F.transform(tokens_col, lambda t: F.xxhash64(t)).alias("_h"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_h") - n + 1), lambda i: F.xxhash64(F.slice(F.col("_h"), i, n)))
+    return rows.select("id", F.array_sort(F.array_distinct(runs)).alias("grams")).withColumn("size", F.size("grams"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float, least_shared: int = 3) -> DataFrame:
     """(a, b, shared, score) with a < b, score >= threshold and least_shared grams shared or more.
 
-    Grams are ranked from rare to common; two sets that are similar enough share one among their
-    first size - ceil(threshold * size) + 1 (Chaudhuri et al., 2006). Only those are joined, within
-    the sizes that a partner can have, and candidates are verified on the sorted arrays. The sets
-    and their heads, which several steps read, are computed once and kept as checkpoints.
+    Equal sets are one class, known by two hashes of it; classes are compared, and their members
+    are paired at the end. Grams are ranked from rare to common; two sets that are similar enough
+    share one among their first size - ceil(threshold * size) + 1 (Chaudhuri et al., 2006). Only
+    those are joined, within the sizes that a partner can have, and candidates are verified on the
+    sorted arrays. Classes and heads, which several steps read, are kept as checkpoints.
     """
-    sets = cut(sets)
-    rows = sets.select("id", "size", F.explode("grams").alias("gram"))
-    rare = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(rare.where("df > 1"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    w = Window.partitionBy("id").orderBy("df", "gram")
+    named = cut(sets.select("id", "grams", "size", F.struct(F.xxhash64("grams").alias("x"), F.xxhash64(F.lit(1), "grams").alias("y")).alias("cls")))
+    classes = cut(named.groupBy("cls", "size").agg(F.first("grams").alias("grams"), F.count(F.lit(1)).alias("members")))
+    rows = classes.select("cls", "size", F.explode("grams").alias("gram"))
+    many = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Grams that one class alone has pair with nothing; they rank first and need no row of their own.
+    ranked = rows.join(many, "gram")
+    w = Window.partitionBy("cls").orderBy("df", "gram")
+    lone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
     prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-    head = ranked.withColumn("r", F.row_number().over(w)).where((F.col("r") <= prefix) & (F.col("df") > 1)).select("id", "size", "gram")
+    head = ranked.withColumn("r", F.row_number().over(w) + lone).where(F.col("r") <= prefix).select("cls", "size", "gram")
     head = cut(head)
     a, b = head.alias("a"), head.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    full = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")).cast("long"))
+    near = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & near).select(F.col("a.cls").alias("ca"), F.col("b.cls").alias("cb")).distinct()
+    left, right = classes.select(F.col("cls").alias("ca"), F.col("grams").alias("ga")), classes.select(F.col("cls").alias("cb"), F.col("grams").alias("gb"))
+    full = pairs.join(left, "ca").join(right, "cb").withColumn("shared", F.size(F.array_intersect("ga", "gb")).cast("long"))
     full = full.withColumn("score", F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared")))
-    return full.where((F.col("score") >= threshold) & (F.col("shared") >= least_shared)).select("a", "b", "shared", "score")
+    full = full.where((F.col("score") >= threshold) & (F.col("shared") >= least_shared)).select("ca", "cb", "shared", "score")
+    # A class's own members share all that it has.
+    own = classes.where((F.col("members") > 1) & (F.col("size") >= least_shared)).select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.col("size").cast("long").alias("shared"), F.lit(1.0).alias("score"))
+    ids = named.select("cls", "id")
+    linked = full.unionByName(own).join(ids.select(F.col("cls").alias("ca"), F.col("id").alias("ia")), "ca").join(ids.select(F.col("cls").alias("cb"), F.col("id").alias("ib")), "cb")
+    once = (F.col("ca") != F.col("cb")) | (F.col("ia") < F.col("ib"))
+    return linked.where(once & (F.col("ia") != F.col("ib"))).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "shared", "score")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -440,10 +440,19 @@ def scc_qualified(spark: SparkSession, d: str) -> DataFrame:
     return graphs.qualified_components(graphs.strong_components(edges), edges, files)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SCC},
+g AS MATERIALIZED (SELECT p.component, a, b FROM e JOIN s p ON p.node = a JOIN s q ON q.node = b AND q.component = p.component),
+n AS (SELECT component, count(*) AS nodes FROM s GROUP BY component),
+d AS (SELECT component, component AS node, 0 AS d FROM (SELECT DISTINCT component FROM g) UNION SELECT d.component, g.a, d.d + 1 FROM d JOIN g ON g.component = d.component AND g.b = d.node JOIN n ON n.component = d.component WHERE d.d < n.nodes),
+l AS MATERIALIZED (SELECT component, node, min(d) AS d FROM d GROUP BY ALL),
+t AS MATERIALIZED (SELECT g.component, g.a AS node, min(g.b) AS next FROM g JOIN l x ON x.component = g.component AND x.node = g.a JOIN l y ON y.component = g.component AND y.node = g.b AND y.d = x.d - 1 GROUP BY ALL),
+w AS (SELECT component, min(b) AS node, component || ',' || min(b) AS path FROM g WHERE a = component GROUP BY component UNION ALL SELECT w.component, t.next, w.path || ',' || t.next FROM w JOIN t ON t.component = w.component AND t.node = w.node WHERE w.node <> w.component)
+SELECT component, path FROM w WHERE node = component""")
 def scc_example_cycles(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d, 10_000_000)
-    return graphs.example_cycles(graphs.strong_components(edges), edges)
+    cycles = graphs.example_cycles(graphs.strong_components(edges), edges)
+    return cycles.select("component", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 _FORWARD = """
