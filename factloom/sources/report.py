@@ -55,10 +55,9 @@ def ordered(findings: DataFrame) -> DataFrame:
     return f.orderBy("project_path", "source_path", "start_line", "subject_id", "discriminator")
 
 
-def totals(findings: DataFrame) -> tuple[int, int, int]:
-    """Findings, distinct projects and distinct files."""
-    row = findings.agg(F.count(F.lit(1)), F.count_distinct("project_path"), F.count_distinct("project_path", "source_path")).first()
-    return tuple(row)
+def totals(findings: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., findings, projects, files): findings, distinct projects and distinct files."""
+    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("project_path").alias("projects"), F.count_distinct("project_path", "source_path").alias("files"))
 
 
 def _index(counts: dict[str, tuple[int, int, int]], by_area: dict[str, int], options: dict | None) -> str:
@@ -77,7 +76,7 @@ def report_rows(found: dict[str, DataFrame], options: dict | None, tables: dict[
     every = reduce(DataFrame.unionByName, [found[n] for n in sorted(found)])
     documents = tables["documents"]
     placed = cut(pages.placed(every, documents))
-    counts = {name: totals(df) for name, df in sorted(found.items())}
+    counts = {name: (0, 0, 0) for name in sorted(found)} | {r[0]: tuple(r)[1:] for r in totals(placed, ["analysis_id"]).orderBy("analysis_id").collect()}
     by_area = {r["area"]: r["count"] for r in placed.groupBy("area").count().collect()}
     spark = every.sparkSession
     index = pages._rows(spark.createDataFrame([(_index(counts, by_area, options),)], "t string"), "index.md", F.col("t"), 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.analyses import registry, run_all
 from factloom.options import Descriptor, InvalidOptions, Option
+from factloom.runtime import cut
 from factloom.sources import config, facts, report
 
 
@@ -69,7 +70,7 @@ def test_analyses_and_report(spark, tmp_path):
     rows = [("p", "a.cs", "T", "type", "Größe", None, "Internal", [], 3), ("p", "a.cs", "M", "method", "Run", "T", "Internal", [], 5), ("p", "b.cs", "U", "type", "Used", None, "Internal", [], 1)]
     tables["declarations"] = spark.createDataFrame(rows, decl)
     tables["references"] = spark.createDataFrame([("U", "Direct", "p", "a.cs", 9, False), ("M", "Direct", "p", "a.cs", 9, True)], facts.SCHEMAS["references"])
-    found = run_all(tables, [{"id": "dead-code-candidates"}, {"id": "non-ascii-identifiers"}])
+    found = {k: cut(v) for k, v in run_all(tables, [{"id": "dead-code-candidates"}, {"id": "non-ascii-identifiers"}]).items()}
     assert [(r["subject_id"], r["discriminator"]) for r in found["dead-code-candidates"].collect()] == [("T", "type-candidate")]
     assert [r["subject_id"] for r in found["non-ascii-identifiers"].collect()] == ["T"]
     out = report.publish(found, tmp_path)
