@@ -13,7 +13,7 @@ from ..runtime import cut, drop
 
 MAX_ROUNDS = 1000
 #: Nodes whose least neighbour is broadcast, at most, and the edges that each of them has at least.
-CENTRES, CENTRE_EDGES = 1000, 1000
+CENTRES, CENTRE_EDGES = 1000, 10_000
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -52,6 +52,8 @@ def _with_least(edges: DataFrame, node: str, other: str, rows: DataFrame, n: int
     """
     least = edges.groupBy(node).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("_n"))
     many = max(CENTRE_EDGES, n // CENTRES)
+    if n <= many:  # no node can have so many
+        return rows.join(least.drop("_n"), node).select(*rows.columns, "m")
     hot = F.broadcast(least.where(F.col("_n") > many).select(node, F.col("m").alias("_hot")))
     marked = rows.join(hot, node, "left")
     rest = marked.where("_hot is null").drop("_hot").join(least.where(F.col("_n") <= many).select(node, "m"), node)

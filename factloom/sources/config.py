@@ -7,6 +7,7 @@ from pathlib import Path, PurePosixPath
 
 from ..options import InvalidOptions, Registry
 
+# The fields of the format.
 FIELDS = {"schemaVersion", "solution", "outputDirectory", "analyses"}
 
 
