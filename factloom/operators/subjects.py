@@ -175,10 +175,9 @@ def mapped_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def one_declaration(parts: DataFrame, key: list[str]) -> DataFrame:
-    """One row of parts for each key: with a body first, then by path and offset."""
-    first = parts.groupBy(*key).agg(F.min(F.struct((~F.col("has_body")).alias("bare"), "source_path", "offset")).alias("at"))
-    at = first.select(*key, F.col("at.source_path").alias("source_path"), F.col("at.offset").alias("offset"))
-    return parts.join(at, [*key, "source_path", "offset"], "left_semi")
+    """One row of parts for each key: with a body first, then by path and offset, nulls last; of rows equal in these any one."""
+    order = F.struct((~F.coalesce("has_body", F.lit(False))).alias("bare"), F.col("source_path").isNull().alias("no_path"), "source_path", F.col("offset").isNull().alias("no_offset"), "offset")
+    return parts.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in parts.columns if c not in key]), order).alias("_at")).select(*[c if c in key else F.col("_at")[c].alias(c) for c in parts.columns])
 
 
 def first_documents(documents: DataFrame, fold_case: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import classify, findings, fragments, graphs, identifiers, percentiles, references, similarity, sizes
+from factloom.operators import classify, findings, fragments, graphs, identifiers, percentiles, references, similarity, sizes, subjects
 from factloom.plans.catalog import QUERIES
 
 
@@ -289,3 +289,10 @@ def test_forwarding_paths_of_any_length_take_few_rounds(spark):
     out = {r["root"]: r["path"] for r in graphs.forwarding_paths(df, max_rounds=12).collect()}
     assert out == {0: list(range(601)), 1000: [1000, *range(5, 601)]}
     assert {r["root"] for r in graphs.forwarding_paths(df, least_edges=1, max_rounds=12).collect()} == {0, 1000, 5000}
+
+
+def test_one_declaration_of_equal_places(spark):
+    """Two parts at one place are one declaration, with a body or not; a missing key is a key, and missing places come last."""
+    rows = [("A", "F", 21, True), ("A", "F", 21, False), ("A", "F", 21, True), ("B", "O", 7, False), ("B", "O", 7, False), ("B", None, 1, False), (None, "F", 3, None), (None, "F", None, False)]
+    parts = spark.createDataFrame(rows, "symbol string, source_path string, offset long, has_body boolean")
+    assert sorted(map(tuple, subjects.one_declaration(parts, ["symbol"]).select("symbol", "source_path", "offset").collect()), key=repr) == [("A", "F", 21), ("B", "O", 7), (None, "F", 3)]
