@@ -10,7 +10,8 @@ symbols      symbol, symbol_kind (type, method, property, field, event), name, t
              assembly, project, is_source, is_static, accessibility, first_parameter, overrides,
              overrides_source (whether the overridden one has source), value_core, value_wraps
 contracts    type, contract (full name), contract_source, member_source, implementation (of each member of
-             each of the type's interfaces), arguments (array, of the interface)
+             each of the type's interfaces), arguments (array, of the interface); may have implementation_kind,
+             for facts in which members of several kinds share a symbol
 invocations  project, assembly, target_type, target_name, target_source, typeof_type, has_name_parameter,
              name (constant, else null), type_arguments, argument_types (arrays)
 attributes   id, project, owner, owner_kind (type, method, parameter, member, assembly), owner_type,
@@ -116,7 +117,10 @@ def framework_hooks(types: DataFrame, symbols: DataFrame, contracts: DataFrame)
     """marks of types (type) that a framework creates: itself, its overrides of methods without
     source, and its own methods that implement members of contracts without source."""
     own = symbols.where("symbol_kind = 'method' and overrides is not null and not coalesce(overrides_source, false)").join(types, "type", "left_semi")
-    kept = contracts.where("not member_source and implementation is not null").join(types, "type", "left_semi").select("type", F.col("implementation").alias("symbol"))
+    kept = contracts.where("not member_source and implementation is not null").join(types, "type", "left_semi")
+    if "implementation_kind" in contracts.columns:
+        kept = kept.where("implementation_kind = 'method'")
+    kept = kept.select("type", F.col("implementation").alias("symbol"))
     kept = kept.join(symbols.where("symbol_kind = 'method'").select("symbol", "type"), ["symbol", "type"], "left_semi")
     return _marks(types, "type", True, False).unionByName(_marks(own, "symbol", True, False)).unionByName(_marks(kept, "symbol", True, False))
 

@@ -60,7 +60,7 @@ def registration_marks(spark: SparkSession, d: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("int")
     members = _members(spark, d, name=F.when(quantity == 1, "Invoke").when(quantity == 2, "InvokeAsync").otherwise("m"), first_parameter=F.when(F.col("l_returnflag") == "A", protection.MIDDLEWARE_CONTEXT), overrides=F.when(F.col("l_discount") == 0.05, "base"), overrides_source=F.col("l_tax") > 0.04)
     lines = table(spark, d, "lineitem").where("l_linestatus = 'O'")
-    contracts = lines.select(F.col("l_partkey").cast("string").alias("type"), (F.col("l_tax") < 0.02).alias("member_source"), F.concat_ws(":", "l_partkey", "l_orderkey", "l_linenumber").alias("implementation"))
+    contracts = lines.select(F.col("l_partkey").cast("string").alias("type"), (F.col("l_tax") < 0.02).alias("member_source"), F.concat_ws(":", "l_partkey", "l_orderkey", "l_linenumber").alias("implementation"), F.when(F.col("l_returnflag") == "R", "property").otherwise("method").alias("implementation_kind"))
     own, none, seg = F.array(F.col("c_custkey").cast("string")), F.array().cast("array<string>"), F.col("c_mktsegment")
     services = F.lit(protection.SERVICES + protection.SERVICE_CLASSES[0])
     calls = table(spark, d, "customer").select(F.when(seg == "MACHINERY", protection.MIDDLEWARE[0][0]).otherwise(services).alias("target_type"), F.when(seg == "MACHINERY", "UseMiddleware").when(seg == "BUILDING", "AddScoped").when(seg == "FURNITURE", "AddSingleton").otherwise("Configure").alias("target_name"), F.lit(False).alias("target_source"), F.when(seg == "FURNITURE", none).otherwise(own).alias("type_arguments"), F.when(seg == "FURNITURE", F.array_append(own, (F.col("c_custkey") + 1).cast("string"))).otherwise(none).alias("argument_types"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.analyses import run_all
 from factloom.operators import graphs, protection
+from factloom.plans.catalog import QUERIES
 from factloom.sources import facts
 
 from .fact_rows import table
@@ -182,3 +183,11 @@ def test_ancestors_of_a_long_chain_take_few_rounds(spark):
     out = graphs.ancestors(parents, max_rounds=10)
     assert out.count() == n * (n + 1) // 2
     assert out.where("node = 299 and ancestor = 0").first()["depth"] == 299
+
+
+def test_registration_marks_of_lines_that_share_a_symbol(spark, tmp_path):
+    """A property that implements a contract, and a method that implements none, have one symbol: it isn't used."""
+    spark.createDataFrame([(1, 5, 2, 9.0, 0.01, 0.04, "R", "O"), (1, 5, 2, 9.0, 0.01, 0.04, "A", "F"), (1, 6, 2, 9.0, 0.01, 0.04, "A", "O")], "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "one", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert marks(QUERIES["registration_marks"](spark, str(tmp_path))) == {"1": "P", "1:6:2": "P"}
