@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .graphs import ancestors
 from .references import unique_on
 
@@ -104,12 +105,12 @@ def dispatch_targets(calls: DataFrame, implementations: DataFrame, base_types: D
 
     implementations is (type, slot, method), at most one a slot and type: what any type that derives
     from the receiver declares for the slot, and what the receiver itself has, declared by it or its nearest base.
+    Implementations are handed up to each base, so what meets in the join are the rows of one receiver and slot.
     """
-    c = calls.select("receiver", "slot").distinct()
-    spans = type_intervals(base_types)
-    at = implementations.join(spans.select("type", "low"), "type").select("slot", "method", F.col("low").alias("at"))
-    below = c.join(spans.select(F.col("type").alias("receiver"), "low", "high"), "receiver").join(at, "slot").where("at >= low and at < high").select("receiver", "slot", "method")
-    up = ancestors(base_types.select(F.col("type").alias("node"), F.col("base").alias("parent")))
+    c = cut(calls.select("receiver", "slot").distinct())
+    up = cut(ancestors(base_types.select(F.col("type").alias("node"), F.col("base").alias("parent"))))
+    heard = up.join(c.select(F.col("receiver").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("node").alias("type"), F.col("ancestor").alias("receiver"))
+    below = implementations.join(heard, "type").join(c, ["receiver", "slot"], "left_semi").select("receiver", "slot", "method")
     near = c.join(up.select(F.col("node").alias("receiver"), F.col("ancestor").alias("type"), "depth"), "receiver").join(implementations, ["type", "slot"])
     own = near.groupBy("receiver", "slot").agg(F.min_by("method", "depth").alias("method"))
     return reduce(DataFrame.unionByName, [below, own]).distinct()

@@ -1,5 +1,7 @@
 """The call graph and missing test evidence on small fact rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def test_virtual_calls_reach_overrides_below_and_the_nearest_above(spark):
     assert got == [("B", "s", "A.s"), ("B", "s", "C.s"), ("C", "s", "C.s"), ("D", "s", "A.s")]
 
 
+def test_dispatch_targets_meet_by_receiver(spark):
+    """No join is on the slot alone: a slot that very many types declare would pair them all with all receivers."""
+    types = spark.range(100).select(F.col("id").alias("type"), F.when(F.col("id") > 0, 0).cast("long").alias("base"))
+    rows = types.select("type", (F.col("type") % 1).alias("slot"), F.col("type").alias("method"))
+    out = calls.dispatch_targets(types.select(F.col("type").alias("receiver"), (F.col("type") % 1).alias("slot")), rows, types)
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().executedPlan().toString())
+    assert "Join" in plan and not re.search(r"Join \[slot\], \[slot\]", plan)
+    assert out.count() == 199
+
+
 def function(symbol, project="p", is_test=False, is_root=False, decisions=0, nesting=0, path="a.cs"):
     return dict(symbol_id=symbol, project_path=project, source_path=path, start_line=1, is_test=is_test, is_root=is_root, decisions=decisions, nesting=nesting)
 
