@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..runtime import cut, ship
+from ..runtime import cut, drop, ship
 
 PARTS = "array<struct<category:string,text:string,symbol:string,type_key:string>>"
 #: Runs that a task holds before it hands them on.
@@ -90,50 +90,58 @@ def barred(statements: DataFrame) -> DataFrame:
 
 
 def _lists(statements: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each list of statements, in order; a form alone counts as one part."""
+    """One row for each list of statements, in order; a form alone counts as one part.
+
+    A part goes to tasks as what a digest takes of it: kept text, or what follows a placeholder's distance.
+    """
     none = F.lit(None).cast("string")
     text = F.col("form") if "form" in statements.columns else none
     form = F.array(F.struct(none.alias("category"), text.alias("text"), none.alias("symbol"), none.alias("type_key")))
     parts = F.coalesce("parts", form) if "parts" in statements.columns else form
-    rows = statements.select(*key, F.struct("ordinal", F.col("tokens").cast("long").alias("tokens"), "eligible", parts.alias("parts")).alias("s"))
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    taken = F.transform(parts, lambda p: F.struct(p["category"].alias("category"), F.when(p["category"].isNull(), sized(p["text"])).otherwise(F.concat(F.lit(":"), sized(p["type_key"]))).alias("form"), F.when(p["category"].isNotNull(), p["symbol"]).alias("symbol")))
+    rows = statements.select(*key, F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("tokens").cast("long").alias("tokens"), "eligible", taken.alias("parts")).alias("s"))
     return rows.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("s"))
 
 
-def _part(p: dict, distance: int) -> bytes:
-    if p["category"] is None:
-        return f"{len(p['text'])}:{p['text']}".encode()
-    return f"{p['category']}{distance}:{len(p['type_key'])}:{p['type_key']}".encode()
-
-
-def _digests(s: list[dict], least: int, least_tokens: int, most: int | None) -> Iterator[tuple[int, int, int, str]]:
+class _List:
+    """A list's statements: what is kept of each lies between its placeholders, each with where it is and where its symbol came before."""
+
+    def __init__(self, ends: list[int], category: list, form: list, symbol: list, open_: list[bool]):
+        self.ends, self.kept, self.holes, last = ends, [], [], {}
+        for j, (lo, hi) in enumerate(zip(ends, ends[1:])):
+            kept, holes, at = [], [], lo
+            for k in [k for k in range(lo, hi) if category[k] is not None]:
+                if open_[j]:
+                    kept.append("".join(form[at:k]) + category[k])
+                    holes.append((k, last.get(symbol[k], -1), form[k]))
+                last[symbol[k]], at = k, k + 1
+            self.kept.append(kept + ["".join(form[at:hi])] if open_[j] else [])
+            self.holes.append(holes)
+        # The form of each statement as it was made last, and the furthest start for which it still holds.
+        self.made, self.holds = [b""] * len(open_), [-1] * len(open_)
+
+    def form(self, j: int, start: int) -> bytes:
+        """Statement j in a run from start (a part); starts never go down. It changes only when a start passes one of the places it goes back to."""
+        if start > self.holds[j]:
+            kept, holes = self.kept[j], self.holes[j]
+            self.made[j] = "".join([*[f"{t}{k - b if b >= start else 0}{tail}" for t, (k, b, tail) in zip(kept, holes)], kept[-1]]).encode()
+            self.holds[j] = min([b for _, b, _ in holes if b >= start], default=self.ends[-1])
+        return self.made[j]
+
+
+def _digests(ordinal: list[int], tokens: list[int], open_: list[bool], parts: _List, least: int, least_tokens: int, most: int | None) -> Iterator[tuple[int, int, int, str]]:
     """(first, last, tokens, digest) of the runs of a list: a start's digest goes on from statement to statement."""
-    at, last, offsets, prev = 0, {}, [], []
-    for x in s:
-        offsets.append(at)
-        before = []
-        for p in x["parts"]:
-            before.append(last.get(p["symbol"], -1) if p["category"] is not None else -1)
-            if p["category"] is not None:
-                last[p["symbol"]] = at
-            at += 1
-        prev.append(before)
-
-    def form(j: int, start: int) -> bytes:
-        return b"".join(_part(p, offsets[j] + k - b if b >= start else 0) for k, (p, b) in enumerate(zip(s[j]["parts"], prev[j], strict=True)))
-
-    open_ = [x["eligible"] for x in s]
-    whole = [form(j, 0) if open_[j] else b"" for j in range(len(s))]
-    # What a statement goes back to: it reads the same from any start at or before that.
-    back = [min([b for b in prev[j] if b >= 0], default=at) for j in range(len(s))]
-    for i in range(len(s)):
-        digest, tokens = hashlib.sha256(), 0
-        for j in range(i, len(s) if most is None else min(len(s), i + most)):
-            if not open_[j] or s[j]["ordinal"] - s[i]["ordinal"] != j - i:
+    n = len(ordinal)
+    for i in range(n):
+        digest, total = hashlib.sha256(), 0
+        for j in range(i, n if most is None else min(n, i + most)):
+            if not open_[j] or ordinal[j] - ordinal[i] != j - i:
                 break
-            digest.update(whole[j] if back[j] >= offsets[i] else form(j, offsets[i]))
-            tokens += s[j]["tokens"]
-            if j - i + 1 >= least and tokens >= least_tokens:
-                yield s[i]["ordinal"], s[j]["ordinal"], tokens, digest.hexdigest()
+            digest.update(parts.form(j, parts.ends[i]))
+            total += tokens[j]
+            if j - i + 1 >= least and total >= least_tokens:
+                yield ordinal[i], ordinal[j], total, digest.hexdigest()
 
 
 def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, least_tokens: int, most: int | None) -> Iterator[pa.RecordBatch]:
@@ -145,8 +153,23 @@ def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, leas
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]  # noqa: B023
             return pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*key, "first", "last", "tokens", "group"])
 
-        for i in range(b.num_rows):
-            for run in _digests(b["s"][i].as_py(), least, least_tokens, most):
+        lists = b["s"]
+        s, offsets = lists.values, lists.offsets.to_pylist()
+        ordinals, tokens, eligible, parts = (s.field(c) for c in ("ordinal", "tokens", "eligible", "parts"))
+        category, form, symbol = (parts.values.field(c) for c in ("category", "form", "symbol"))
+        starts = b["starts"].to_pylist() if "starts" in b.schema.names else None
+        for i, (lo, hi) in enumerate(zip(offsets, offsets[1:])):
+            own = lambda c, lo=lo, n=hi - lo: c.slice(lo, n).to_pylist()
+            ordinal, open_ = own(ordinals), [bool(x) for x in own(eligible)]
+            if starts is not None:
+                inside = {f + k for f in starts[i] for k in range(least)}
+                open_ = [x and o in inside for x, o in zip(open_, ordinal)]
+            if sum(open_) < least:
+                continue
+            ends = parts.offsets.slice(lo, hi - lo + 1).to_pylist()
+            of = lambda c, lo=ends[0], n=ends[-1] - ends[0]: c.slice(lo, n).to_pylist()
+            whole = _List([e - ends[0] for e in ends], of(category), of(form), of(symbol), open_)
+            for run in _digests(ordinal, own(tokens), open_, whole, least, least_tokens, most):
                 rows.append(run)
                 at.append(i)
                 if len(rows) >= HELD:
@@ -156,6 +179,11 @@ def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, leas
             yield out()
 
 
+def _runs(lists: DataFrame, key: list[str], least: int, least_tokens: int, most: int | None) -> DataFrame:
+    schema = StructType([lists.schema[k] for k in key]).add("first", "long").add("last", "long").add("tokens", "long").add("group", "string")
+    return lists.mapInArrow(partial(_batches, key=key, least=least, least_tokens=least_tokens, most=most), schema)
+
+
 def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: int, most: int | None = None) -> DataFrame:
     """Every run of eligible neighbours with least statements and least_tokens tokens or more.
 
@@ -165,9 +193,7 @@ def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: i
     """
     key = [*owner, "list_id"]
     ship(statements.sparkSession)
-    lists = _lists(statements, key)
-    schema = StructType([f for f in lists.schema if f.name != "s"]).add("first", "long").add("last", "long").add("tokens", "long").add("group", "string")
-    return lists.mapInArrow(partial(_batches, key=key, least=least, least_tokens=least_tokens, most=most), schema)
+    return _runs(_lists(statements, key), key, least, least_tokens, most)
 
 
 def shared_only(statements: DataFrame, owner: list[str], least: int = 3) -> DataFrame:
@@ -177,7 +203,7 @@ def shared_only(statements: DataFrame, owner: list[str], least: int = 3) -> Data
     are made where there may be some instead of everywhere.
     """
     key = [*owner, "list_id"]
-    small = windows(statements, owner, least, 0, least)
+    small = cut(windows(statements, owner, least, 0, least))
     who = F.struct(*owner)
     many = small.groupBy("group").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
     inside = small.join(many.select("group"), "group", "left_semi").select(*key, F.explode(F.sequence("first", "last")).alias("ordinal")).distinct()
@@ -185,6 +211,27 @@ def shared_only(statements: DataFrame, owner: list[str], least: int = 3) -> Data
     return marked.withColumn("eligible", F.col("eligible") & F.coalesce("_shared", F.lit(False))).select(*statements.columns)
 
 
+def shared_windows(statements: DataFrame, owner: list[str], least: int, least_tokens: int) -> DataFrame:
+    """windows of the statements that lie inside a run of least statements that two owners or more have.
+
+    A longer run that two owners have consists of such runs, so no group is lost, and longer ones
+    are made where there may be some instead of everywhere. Lists, short runs and the runs given are
+    kept as checkpoints: each is made once.
+    """
+    key = [*owner, "list_id"]
+    ship(statements.sparkSession)
+    lists = cut(_lists(statements, key))
+    small = cut(_runs(lists, key, least, 0, least))
+    who = F.struct(*owner)
+    many = small.groupBy("group").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
+    starts = small.join(many.select("group"), "group", "left_semi").groupBy(*key).agg(F.collect_set("first").alias("starts"))
+    l, r = lists.alias("l"), starts.alias("r")
+    same = reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
+    runs = cut(_runs(l.join(r, same).select("l.*", "r.starts"), key, least, least_tokens, None))
+    drop(small), drop(lists)
+    return runs
+
+
 def groups(runs: DataFrame, owner: list[str]) -> DataFrame:
     """runs whose group two owners or more have, with owners and occurrences."""
     marked = runs.dropDuplicates([*owner, "list_id", "first", "last"])

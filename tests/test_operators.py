@@ -296,3 +296,20 @@ def test_one_declaration_of_equal_places(spark):
     rows = [("A", "F", 21, True), ("A", "F", 21, False), ("A", "F", 21, True), ("B", "O", 7, False), ("B", "O", 7, False), ("B", None, 1, False), (None, "F", 3, None), (None, "F", None, False)]
     parts = spark.createDataFrame(rows, "symbol string, source_path string, offset long, has_body boolean")
     assert sorted(map(tuple, subjects.one_declaration(parts, ["symbol"]).select("symbol", "source_path", "offset").collect()), key=repr) == [("A", "F", 21), ("B", "O", 7), (None, "F", 3)]
+
+
+def test_shared_windows_read_statements_once(spark):
+    """The runs of windows(shared_only), with every statement read a single time, however often groups are looked at."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = fragments.barred(statements(spark, {"a": body("m", "n") + body("x", "y"), "b": body("q", "r"), "c": body("m", "n")[:2]}))
+    wanted = got(fragments.windows(fragments.shared_only(df, ["owner"]), ["owner"], 3, 60), "owner", "first", "last", "tokens", "group")
+    counted = df.mapInArrow(seen, df.schema)
+    runs = fragments.groups(fragments.shared_windows(counted, ["owner"], 3, 60), ["owner"])
+    assert wanted and got(runs, "owner", "first", "last", "tokens", "group") == [r for r in wanted if r[4] in {x["group"] for x in runs.collect()}]
+    assert read.value == df.count()
