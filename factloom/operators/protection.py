@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .graphs import ancestors
 
 # Targets of invocations with what they bind.
@@ -246,12 +247,21 @@ def bound_data(bindings: DataFrame, symbols: DataFrame, bases: DataFrame, up: Da
     keys = [c for c in b.columns if c != "project"]
     b = b.select(*keys).distinct()
     members = symbols.where(_in("symbol_kind", PROVIDER_KINDS)).select("symbol", F.col("type").alias("ancestor"), "name", "symbol_kind", "is_static", "accessibility", "value_core", "value_wraps")
-    inherited = bases.select(F.col("node").alias("source_type"), "ancestor").join(members, "ancestor")
+    # Bindings go up to the bases and meet members there: members aren't handed down to all types.
+    above = bases.select(F.col("node").alias("source_type"), "ancestor")
     equal = lambda k: F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    counts = b.join(inherited.select("source_type", F.col("name").alias("wanted"), "symbol").distinct(), ["source_type", "wanted"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    b = b.alias("l").join(counts.alias("r"), reduce(Column.__and__, map(equal, keys)), "left").select(*[F.col(f"l.{k}").alias(k) for k in keys], F.coalesce("r.n", F.lit(0)).alias("n"))
-    found = inherited.join(b.where("n > 0").select("source_type", F.col("wanted").alias("name"), (F.col("n") > 1).alias("several")), ["source_type", "name"])
-    open_ = inherited.join(b.where("n <> 1"), "source_type").where(plausible_provider(F.col("framework"), F.col("allows_task"), F.col("allows_async")))
+    wanted = b.where("wanted is not null").select("source_type", "wanted").distinct()
+    met = wanted.join(above, "source_type").join(members.select("ancestor", F.col("name").alias("wanted"), "symbol").distinct(), ["ancestor", "wanted"])
+    met = cut(met.select("source_type", "wanted", "symbol").distinct())
+    counts = met.groupBy("source_type", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    names = ["source_type", "wanted"]
+    b = cut(b.alias("l").join(counts.alias("r"), reduce(Column.__and__, map(equal, names)), "left").select(*[F.col(f"l.{k}").alias(k) for k in keys], F.coalesce("r.n", F.lit(0)).alias("n")))
+    found = met.join(counts, names).groupBy("symbol").agg(F.max(F.col("n") > 1).alias("several"))
+    # What makes a provider plausible is seen before it meets the kinds of bindings that reach its type.
+    likely = members.where(plausible_provider(F.lit("nunit"), F.lit(True), F.lit(True)))
+    kinds = ["framework", "allows_task", "allows_async"]
+    reaching = b.where("n <> 1").select("source_type", *kinds).distinct().join(above, "source_type").select("ancestor", *kinds).distinct()
+    open_ = likely.join(reaching, "ancestor").where(plausible_provider(F.col("framework"), F.col("allows_task"), F.col("allows_async")))
     whole = providers(b.where("n = 0").select(F.col("source_type").alias("type")), up, contracts)
     return _marks(found, "symbol", True, F.col("several")).unionByName(_marks(open_, "symbol", False, True)).unionByName(whole)
 

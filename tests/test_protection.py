@@ -191,3 +191,15 @@ def test_registration_marks_of_lines_that_share_a_symbol(spark, tmp_path):
     spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, "one", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert marks(QUERIES["registration_marks"](spark, str(tmp_path))) == {"1": "P", "1:6:2": "P"}
+
+
+def test_bindings_meet_only_the_members_they_name(spark, monkeypatch):
+    """200 types derive from one with 50 members: what is kept are the 200 members that are named, not all 10,000 inherited ones."""
+    kept = []
+    monkeypatch.setattr(protection, "cut", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    _, _, up, contracts = hierarchy(spark)
+    symbols = table(spark, "symbols", [dict(symbol=f"A.{i}", symbol_kind="property", name=f"M{i}", type="A", is_static=True, accessibility="Public", value_core="enumerable", value_wraps=0) for i in range(50)])
+    bases = spark.createDataFrame([(f"T{i}", "A", 1) for i in range(200)], "node string, ancestor string, depth long")
+    bindings = spark.createDataFrame([("p", "xunit", f"T{i}", "M7", False, False, False) for i in range(200)], "project string, framework string, source_type string, name string, allows_task boolean, allows_async boolean, is_open boolean")
+    assert marks(protection.bound_data(bindings, symbols, bases, up, contracts)) == {"A.7": "P"}
+    assert [k.count() for k in kept] == [200, 200]
