@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
+#: Bits of a filter: 2**19 rows of 64 bits are broadcast at most.
+FILTER_BITS = 1 << 25
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those whose columns on aren't among keys; the exact join follows.
+
+    A bit stands for all keys of a hash, so more keys only let more rows through.
+    """
+    bit = F.xxhash64(*[F.col(c).cast("string") for c in on]).bitwiseAND(F.lit(FILTER_BITS - 1))
+    at = keys.select(F.shiftright(bit, 6).alias("_at"), (bit % 64).cast("int").alias("_bit"))
+    bits = at.groupBy("_at").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = rows.withColumn("_at", F.shiftright(bit, 6)).join(F.broadcast(bits), "_at")
+    return marked.where(F.getbit("_bits", (bit % 64).cast("int")) == 1).select(*rows.columns)
+
 
 def unreferenced(candidates: DataFrame, references: DataFrame, protected: DataFrame, uncertain: DataFrame) -> DataFrame:
     """candidates (symbol, ...) that no reference (symbol, is_self) but their own names, and that
@@ -34,12 +51,14 @@ def match_names(uses: DataFrame, declared: DataFrame) -> DataFrame:
 
     One match is protected, several make each of them uncertain; a use without a match says
     nothing. A symbol that any use protects is protected, uses that leave it uncertain aside.
-    Matches are counted where they are, so a very common name is one row to join.
+    Declarations that no use can mean are left out before they are dealt, and a symbol's state
+    needs no join: the one symbol of a name is known from its group, all others are uncertain.
     """
-    d = declared.select("name", "symbol").distinct().join(uses.select("name").distinct(), "name", "left_semi")
-    state = F.when(F.col("n") == 1, "protected").otherwise("uncertain")
-    counted = d.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", state.alias("state"))
-    return d.join(counted, "name").groupBy("symbol").agg(F.min("state").alias("state"))
+    wanted = cut(uses.select("name").distinct())
+    d = among(declared.select("name", "symbol"), wanted, ["name"]).distinct().join(wanted, "name", "left_semi")
+    one = d.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("symbol")).where("n = 1").select("symbol", F.lit(True).alias("one"))
+    every = one.unionByName(d.select("symbol").distinct().select("symbol", F.lit(False).alias("one")))
+    return every.groupBy("symbol").agg(F.when(F.bool_or("one"), "protected").otherwise("uncertain").alias("state"))
 
 
 def match_members(uses: DataFrame, members: DataFrame) -> DataFrame:

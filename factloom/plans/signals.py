@@ -592,8 +592,8 @@ d AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM w WHERE name <> '')
 SELECT symbol, min(CASE WHEN n = 1 THEN 'protected' ELSE 'uncertain' END) AS state FROM d WHERE name IN (SELECT name FROM u) GROUP BY symbol""")
 def protect_uncertain(spark: SparkSession, d: str) -> DataFrame:
     uses = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name"))
-    words = F.explode(F.array_distinct(F.filter(F.split("text", "[ \n]+", -1), lambda x: x != "")))
-    declared = table(spark, d, "documents").select(words.alias("name"), F.col("doc_id").alias("symbol"))
+    words = F.explode(F.split("text", "[ \n]+", -1))
+    declared = table(spark, d, "documents").select(words.alias("name"), F.col("doc_id").alias("symbol")).where("name <> ''")
     return references.match_names(uses, declared)
 
 

@@ -33,3 +33,18 @@ def by_sql(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
 
 def by_spark(df) -> tuple[list[str], list[tuple]]:
     return df.columns, rows(df.columns, [tuple(r) for r in df.collect()])
+
+
+def dealt(spark, df) -> int:
+    """Rows that Spark writes to shuffles while df is computed."""
+    sc = spark.sparkContext
+    jvm, context = sc._jvm, sc._jsc.sc()
+
+    def written() -> int:
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    df.collect()
+    return written() - before

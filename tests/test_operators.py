@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from factloom.operators import classify, findings, fragments, graphs, identifiers, percentiles, references, similarity, sizes, subjects
 from factloom.plans.catalog import QUERIES
 
+from .harness import dealt
+
 
 def got(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
@@ -135,6 +137,24 @@ def test_names_of_all_words_are_protected_or_uncertain(spark, tmp_path):
     assert got(out, "symbol", "state") == [(1, "protected"), (2, "uncertain"), (3, "protected")]
 
 
+def test_names_that_nothing_uses_are_not_dealt(spark):
+    uses = spark.createDataFrame([("n7",), ("n8",), ("same",), ("absent",), (None,)], "name string")
+    declared = spark.range(20_000).selectExpr("concat('n', id) as name", "id as symbol")
+    more = [("same", 7), ("same", 9), ("same", 9), ("n8", 8), ("n8", None), (None, 3), ("", 4)]
+    declared = declared.unionByName(spark.createDataFrame(more, "name string, symbol long"))
+    out = references.match_names(uses, declared)
+    assert dealt(spark, out) < 2_000
+    assert sorted(map(tuple, out.collect()), key=str) == [(7, "protected"), (8, "uncertain"), (9, "uncertain"), (None, "uncertain")]
+    assert references.match_names(uses.where("false"), declared).count() == 0
+
+
+def test_a_filter_keeps_all_that_is_among_the_keys(spark):
+    rows = spark.range(50_000).selectExpr("id as a", "cast(id % 7 as string) as b")
+    keys = rows.where("a % 10 = 0").selectExpr("cast(a as int) as a", "b")
+    left = {r["a"] for r in references.among(rows, keys, ["a", "b"]).collect()}
+    assert left >= set(range(0, 50_000, 10)) and len(left) < 6_000
+
+
 EDGES = [("A", "B"), ("B", "A"), ("B", "C"), ("C", "A"), ("D", "E"), ("E", "D"), ("X", "Y"), ("Y", "Z")]
 
 
