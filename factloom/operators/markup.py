@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, ship
 from .protection import _marks
+from .references import among, meeting, owner_by_longest_prefix
 
 # What a use looks like.
 CLR = "clr-namespace:"
@@ -30,7 +31,7 @@ PLAIN = r"(?U)^@?(\w+)\s*$"
 SCRIPT = r"""DotNet\.invokeMethod(?:Async)?\(\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]+)['"]"""
 INVOKABLE, INVOKABLE_ASSEMBLY = "Microsoft.JSInterop.JSInvokableAttribute", "Microsoft.JSInterop"
 
-XAML_USE = "file_path string, kind string, type string, name string, member string"
+XAML_USE = "file_path string, kind string, type string, name string, member string, project string"
 
 
 def _clr(namespace: str | None, name: str) -> str | None:
@@ -96,9 +97,9 @@ def xaml_uses(path: str, text: str) -> list[tuple]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [u for p, t in zip(b["file_path"].to_pylist(), b["text"].to_pylist(), strict=True) for u in xaml_uses(p, t or "")]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["file_path", "kind", "type", "name", "member"])
+        rows = [(*u, at) for p, t, at in zip(b["file_path"].to_pylist(), b["text"].to_pylist(), b["project"].to_pylist(), strict=True) for u in xaml_uses(p, t or "")]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["file_path", "kind", "type", "name", "member", "project"])
 
 
 def counted(found: DataFrame, use: list[str]) -> DataFrame:
@@ -118,48 +119,58 @@ def xaml_marks(files: DataFrame, symbols: DataFrame, areas: DataFrame, max_round
     """marks of files (file_path, text, project). symbols has full_name of types and value_type of properties too.
 
     A type is looked up by its full name in the file's project, else in what that refers to (areas:
-    origin, project), where it must be the only one.
+    origin, project), where it must be the only one. Symbols are filtered by what is looked for
+    before they are dealt, and names that may mean any member of a project are met in one pass.
     """
     ship(files.sparkSession)
-    rows = files.select("file_path", "text").mapInArrow(_parsed, XAML_USE)
-    uses = cut(rows.join(files.select("file_path", "project"), "file_path"))
+    uses = cut(files.select("file_path", "text", "project").mapInArrow(_parsed, XAML_USE))
     types = symbols.where("symbol_kind = 'type' and full_name is not null").select("full_name", F.col("symbol").alias("owner"), F.col("project").alias("home"))
     named = uses.where("type is not null").select("project", F.col("type").alias("full_name")).distinct()
     near = named.join(areas.select(F.col("origin").alias("project"), F.col("project").alias("home")), "project").join(types, ["full_name", "home"])
     own = F.col("home") == F.col("project")
-    picked = near.groupBy("project", "full_name").agg(F.min(F.when(own, F.col("owner"))).alias("own"), F.count_distinct("owner").alias("n"), F.min("owner").alias("any"))
-    picked = picked.select("project", F.col("full_name").alias("type"), F.coalesce("own", F.when(F.col("n") == 1, F.col("any"))).alias("owner"))
+    picked = near.groupBy("project", "full_name").agg(F.min(F.when(own, F.col("owner"))).alias("own"), F.min("owner").alias("any"), F.max("owner").alias("last"))
+    picked = picked.select("project", F.col("full_name").alias("type"), F.coalesce("own", F.when(F.col("any") == F.col("last"), F.col("any"))).alias("owner"))
     u = cut(uses.join(picked, ["project", "type"], "left").select("file_path", "project", "kind", "owner", "name", "member"))
-    inside = symbols.where("symbol_kind <> 'type'").select("symbol", "symbol_kind", "name", F.col("type").alias("owner"), "project", "value_type")
     sources = symbols.where("is_source")
+    inside = symbols.where("symbol_kind <> 'type'").select("symbol", "symbol_kind", "name", F.col("type").alias("owner"), "value_type")
+    place = ["owner", "name"]
 
-    def by_name(wanted: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-        """marks of all of the project's own symbols of the kinds and the name (project, name)."""
-        return _marks(sources.where(F.col("symbol_kind").isin(*kinds)).join(wanted.select("project", "name").distinct(), ["project", "name"], "left_semi"), "symbol", False, True)
+    def astray(wanted: DataFrame, *kinds: str) -> DataFrame:
+        """What may be any of the project's own members of the kinds and the name (project, name)."""
+        return wanted.select("project", "name", F.explode(F.array(*map(F.lit, kinds))).alias("symbol_kind"))
 
     members = ("method", "property", "field", "event")
-    marks = [_marks(u.where("kind in ('class', 'type') and owner is not null"), "owner", True, False), by_name(u.where("kind in ('class', 'static') and owner is null"), ("type",))]
+    lost = u.where("kind in ('class', 'static') and owner is null").select("project", "name")
+    marks = [_marks(u.where("kind in ('class', 'type') and owner is not null"), "owner", True, False), _marks(meeting(sources.where("symbol_kind = 'type'"), lost, ["project", "name"]), "symbol", False, True)]
+    loose = []
     # Handlers: attributes that are events of their element's type name methods of the code behind.
-    events = u.where("kind = 'event'").join(inside.where("symbol_kind = 'event'").select("owner", "name").distinct(), ["owner", "name"], "left_semi")
-    behind = u.where("kind = 'class' and owner is not null").select("file_path", F.col("owner").alias("behind"))
-    handlers = events.join(behind, "file_path").select("project", F.col("behind").alias("owner"), F.col("member").alias("name")).distinct()
-    methods = handlers.join(inside.where("symbol_kind = 'method'").select("owner", "name", "symbol"), ["owner", "name"])
-    marks += [counted(methods, ["owner", "name"]), by_name(_without(handlers, methods, ["owner", "name"]), ("method",))]
-    statics = u.where("kind = 'static' and owner is not null").select("project", "owner", F.col("member").alias("name")).distinct()
-    fixed = statics.join(inside.select("owner", "name", "symbol"), ["owner", "name"])
-    marks += [_marks(fixed, "symbol", True, False), by_name(_without(statics, fixed, ["owner", "name"]), members)]
+    events = u.where("kind = 'event'")
+    events = events.join(among(inside.where("symbol_kind = 'event'").select(*place), events, place).distinct(), place, "left_semi")
+    behind = u.where("kind = 'class' and owner is not null").select("file_path", "project", F.col("owner").alias("behind"))
+    handlers = cut(events.join(behind, ["file_path", "project"]).select("project", F.col("behind").alias("owner"), F.col("member").alias("name")).distinct())
+    methods = cut(among(inside.where("symbol_kind = 'method'").select(*place, "symbol"), handlers, place).join(handlers, place))
+    marks.append(counted(methods, place))
+    loose.append(astray(_without(handlers, methods, place), "method"))
+    statics = cut(u.where("kind = 'static' and owner is not null").select("project", "owner", F.col("member").alias("name")).distinct())
+    fixed = cut(among(inside.select(*place, "symbol"), statics, place).join(statics, place))
+    marks.append(_marks(fixed, "symbol", True, False))
+    loose.append(astray(_without(statics, fixed, place), *members))
     # Paths go on from property to property, all at once, until each has ended.
     at = u.where("kind = 'binding'").select("project", "owner", F.split("name", r"\.").alias("rest")).distinct()
-    firsts = inside.where("symbol_kind = 'property'").groupBy("owner", "name").agg(F.min(F.struct("symbol", "value_type")).alias("p"))
+    properties = inside.where("symbol_kind = 'property'")
     for _ in range(max_rounds):
-        step = cut(at.withColumn("name", F.get("rest", F.lit(0))).join(firsts, ["owner", "name"], "left"))
-        marks += [_marks(step.where("p is not null").select(F.col("p.symbol").alias("symbol")), "symbol", True, False), by_name(step.where("p is null"), members)]
+        at = at.withColumn("name", F.get("rest", F.lit(0)))
+        firsts = among(properties, at, place).groupBy(*place).agg(F.min(F.struct("symbol", "value_type")).alias("p"))
+        step = cut(at.join(firsts, place, "left"))
+        marks.append(_marks(step.where("p is not null").select(F.col("p.symbol").alias("symbol")), "symbol", True, False))
+        loose.append(astray(step.where("p is null"), *members))
         at = step.where("p is not null and size(rest) > 1").select("project", F.col("p.value_type").alias("owner"), F.slice("rest", F.lit(2), F.size("rest") - 1).alias("rest"))
         if at.isEmpty():
             break
     else:
         raise RuntimeError("binding paths didn't end")
-    return reduce(DataFrame.unionByName, marks)
+    found = meeting(sources.where("symbol_kind <> 'type'"), reduce(DataFrame.unionByName, loose), ["project", "name", "symbol_kind"])
+    return reduce(DataFrame.unionByName, marks).unionByName(_marks(found, "symbol", False, True))
 
 
 def _razor_members(bound: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -216,8 +227,6 @@ def script_marks(files: DataFrame, symbols: DataFrame, attributes: DataFrame) ->
 
 def markup_marks(markup: DataFrame, projects: DataFrame, symbols: DataFrame, attributes: DataFrame, areas: DataFrame) -> DataFrame:
     """marks of all markup (file_path, text); a file that lies in no project (project, dir) is an error."""
-    from .references import owner_by_longest_prefix
-
     owned = owner_by_longest_prefix(markup.select(F.col("file_path").alias("path")).distinct(), projects.select("dir", F.col("project").alias("owner")))
     files = cut(markup.join(owned.select(F.col("path").alias("file_path"), F.col("owner").alias("project")), "file_path", "left"))
     if lost := files.where("project is null").orderBy("file_path").limit(1).collect():

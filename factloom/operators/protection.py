@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .graphs import ancestors
+from .references import among
 
 # Targets of invocations with what they bind.
 REFLECTION = (("System.Type", "GetMethod", "method"), ("System.Type", "GetMethods", "method"), ("System.Type", "GetProperty", "property"), ("System.Type", "GetProperties", "property"))
@@ -91,8 +92,9 @@ def _marks(df: DataFrame, symbol: str, protected: Column | bool, uncertain: Colu
 
 def combined(marks: list[DataFrame], symbols: DataFrame) -> DataFrame:
     """marks of each symbol once; the type that contains a protected symbol is protected too, the types around that one aren't."""
-    every = reduce(DataFrame.unionByName, marks).where("symbol is not null").groupBy("symbol").agg(F.bool_or("is_protected").alias("is_protected"), F.bool_or("is_uncertain").alias("is_uncertain"))
-    around = every.where("is_protected").join(symbols.select("symbol", "type").where("type is not null"), "symbol").select("type").distinct()
+    every = reduce(DataFrame.unionByName, marks).where("symbol is not null")
+    held = every.where("is_protected").select("symbol").distinct()
+    around = among(symbols.select("symbol", "type").where("type is not null"), held, ["symbol"]).join(held, "symbol").select("type").distinct()
     return every.unionByName(_marks(around, "type", True, False)).groupBy("symbol").agg(F.bool_or("is_protected").alias("is_protected"), F.bool_or("is_uncertain").alias("is_uncertain"))
 
 

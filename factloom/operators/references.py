@@ -9,6 +9,8 @@ from ..runtime import cut
 
 #: Bits of a filter: 2**19 rows of 64 bits are broadcast at most.
 FILTER_BITS = 1 << 25
+#: Keys that are broadcast whole, at most.
+FEW_KEYS = 10_000
 
 
 def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -23,6 +25,15 @@ def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return marked.where(F.getbit("_bits", (bit % 64).cast("int")) == 1).select(*rows.columns)
 
 
+def meeting(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose columns on are among keys; a key that very many rows have is no group of a task where keys are few."""
+    keys = cut(keys.select(*on).distinct())
+    if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    # No semi join: Spark would move it before the filter, which would then see dealt rows.
+    return among(rows, keys, on).join(keys, on).select(*rows.columns)
+
+
 def unreferenced(candidates: DataFrame, references: DataFrame, protected: DataFrame, uncertain: DataFrame) -> DataFrame:
     """candidates (symbol, ...) that no reference (symbol, is_self) but their own names, and that
     are neither protected nor uncertain (symbol)."""

@@ -31,7 +31,7 @@ def xaml_marks(spark: SparkSession, d: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("int")
     members = table(spark, d, "lineitem").select(F.concat_ws(":", "l_partkey", "l_orderkey", "l_linenumber").alias("symbol"), F.when(event, "event").otherwise("method").alias("symbol_kind"), F.when(event, F.concat(F.lit("E"), quantity % 3)).otherwise(F.concat(F.lit("M"), quantity)).alias("name"), F.col("l_partkey").cast("string").alias("type"), none.alias("full_name"))
     types = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.lit("type").alias("symbol_kind"), F.concat(F.lit("T"), "p_partkey").alias("name"), none.alias("type"), F.concat(F.lit("N"), F.col("p_partkey") % 5, F.lit(".T"), "p_partkey").alias("full_name"))
-    symbols = members.unionByName(types).distinct().select("*", F.lit("p").alias("project"), F.lit(True).alias("is_source"), none.alias("value_type"))
+    symbols = members.unionByName(types).select("*", F.lit("p").alias("project"), F.lit(True).alias("is_source"), none.alias("value_type"))
     areas = files.select(F.col("project").alias("origin"), "project").distinct()
     marks = protection.combined([markup.xaml_marks(files, symbols, areas)], symbols)
     return marks.select("symbol", "is_protected", "is_uncertain")

@@ -35,8 +35,8 @@ def by_spark(df) -> tuple[list[str], list[tuple]]:
     return df.columns, rows(df.columns, [tuple(r) for r in df.collect()])
 
 
-def dealt(spark, df) -> int:
-    """Rows that Spark writes to shuffles while df is computed."""
+def dealt(spark, run) -> int:
+    """Rows that Spark writes to shuffles while run() runs."""
     sc = spark.sparkContext
     jvm, context = sc._jvm, sc._jsc.sc()
 
@@ -46,5 +46,5 @@ def dealt(spark, df) -> int:
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = written()
-    df.collect()
+    run()
     return written() - before

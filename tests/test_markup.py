@@ -2,10 +2,11 @@
 
 import pytest
 
-from factloom.operators import markup
+from factloom.operators import markup, protection, references
 from factloom.sources import facts
 
 from .fact_rows import table
+from .harness import dealt
 from .test_protection import decl, marks, run_dead_code
 
 XAML = """<Window xmlns="http://x" xmlns:x="http://y" xmlns:v="clr-namespace:App.Views;assembly=App" xmlns:g="clr-namespace:" x:Class="App.Main">
@@ -63,6 +64,21 @@ def test_xaml_marks(spark):
     assert marks(markup.xaml_marks(other, symbols(spark), areas(spark)))["App.Main"] == "U"
 
 
+def test_xaml_marks_deal_only_symbols_that_files_may_mean(spark, monkeypatch):
+    files = spark.createDataFrame([("a.xaml", XAML, "p")], "file_path string, text string, project string")
+    known = symbols(spark)
+    other = spark.range(20_000).selectExpr("concat('S', id) as symbol", "if(id % 2 = 0, 'method', 'event') as symbol_kind", "concat('N', id) as name", "concat('T', id % 500) as type", "'p' as project", "true as is_source")
+    many = known.unionByName(known).unionByName(other, allowMissingColumns=True)
+    found = lambda s: marks(protection.combined([markup.xaml_marks(files, s, areas(spark))], s))
+    expected = found(known)
+    assert expected["App.Main.Go"] == "P" and expected["Elsewhere.Missing"] == "U"
+    got = []
+    assert dealt(spark, lambda: got.append(found(many))) < 5_000
+    assert got == [expected]
+    monkeypatch.setattr(references, "FEW_KEYS", 0)
+    assert found(many) == expected
+
+
 def test_razor_marks(spark):
     more = [sym(t, "type") for t in ("Home", "Card", "Row")] + [sym("q.Row", "type", project="q")]
     more += [sym("Home.Save", "method", "Home"), sym("Home.Twice", "method", "Home"), sym("Home.Twice#2", "method", "Home"), sym("Card.Title", "property", "Card"), sym("Card.Open", "method", "Card"), sym("Row.Any", "method", "Row"), sym("Far.Away", "method", "App.User")]
