@@ -25,6 +25,15 @@ def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return marked.where(F.getbit("_bits", (bit % 64).cast("int")) == 1).select(*rows.columns)
 
 
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """rows with a column that is true wherever their columns on are among keys, and by chance for some others; see among."""
+    bit = F.xxhash64(*[F.col(c).cast("string") for c in on]).bitwiseAND(F.lit(FILTER_BITS - 1))
+    at = keys.select(F.shiftright(bit, 6).alias("_at"), (bit % 64).cast("int").alias("_bit"))
+    bits = at.groupBy("_at").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    found = rows.withColumn("_at", F.shiftright(bit, 6)).join(F.broadcast(bits), "_at", "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit("_bits", (bit % 64).cast("int")) == 1, F.lit(False)).alias(name))
+
+
 def meeting(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """rows whose columns on are among keys; a key that very many rows have is no group of a task where keys are few."""
     keys = cut(keys.select(*on).distinct())

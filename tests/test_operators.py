@@ -1,6 +1,8 @@
 """Boundary cases of the review operators as small rows."""
 
 import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,3 +349,38 @@ def test_similar_pairs_keep_sets_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum("grams" in k.columns for k in kept) == 1
+
+
+def test_similar_pairs_deal_first_grams_only(spark):
+    """A part of each set's grams is dealt, and pairs are those of brute force: sets of many sizes, copies and common grams among them."""
+    rng = random.Random(7)
+    gram = lambda: rng.getrandbits(64) - (1 << 63)
+    common, sets = [gram() for _ in range(20)], {}
+    for i in range(80):
+        base = {gram() for _ in range(rng.choice([20, 100, 600, 1500]))} | set(rng.sample(common, 10))
+        for k, lost in enumerate((0, 0, 0.02, 0.1, 0.25, 0.5)[: rng.randint(1, 6)]):
+            sets[10 * i + k] = sorted(set(rng.sample(sorted(base), int(len(base) * (1 - lost)))) | {gram() for _ in range(int(len(base) * lost / 4))})
+    df = spark.createDataFrame([(i, s, len(s)) for i, s in sets.items()], "id long, grams array<long>, size int").localCheckpoint()
+    known, grams = {i: set(s) for i, s in sets.items()}, sum(len(s) for s in sets.values())
+    for threshold in (0.65, 0.95):
+        wanted = [(a, b, n) for a in sets for b in sets if a < b and (n := len(known[a] & known[b])) >= max(3, threshold * len(known[a] | known[b]))]
+        out = []
+        rows = dealt(spark, lambda: out.extend(got(similarity.similar_pairs(df, threshold), "a", "b", "shared")))  # noqa: B023
+        assert len(wanted) > 50 and out == wanted
+        assert rows < (0.5 if threshold == 0.65 else 0.2) * grams
+
+
+def test_odd_cells_tell_no_more_than_sets_differ():
+    rng = random.Random(3)
+    for m, n in ((5, 40), (64, 64), (300, 500)):
+        a, b = {rng.getrandbits(63) for _ in range(m)}, {rng.getrandbits(63) for _ in range(n)}
+        b |= set(sorted(a)[: m // 2])
+
+        def odd(s, width):
+            out = bytearray(width // 8)
+            for x in s:
+                out[(x % width) // 8] ^= 128 >> x % 8
+            return bytes(out)
+
+        assert 0 < similarity._unlike(odd(a, 256), odd(b, 1024)) <= len(a ^ b)
+        assert similarity._unlike(odd(a, 128), odd(a, 512)) == 0
