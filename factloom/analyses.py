@@ -97,7 +97,7 @@ def duplicate_code(facts: Facts, o: Effective) -> DataFrame:
 
 def structural_duplication(facts: Facts, o: Effective) -> DataFrame:
     key = ["project_path", "source_path", "owner_id"]
-    found = fragments.maximal(fragments.groups(fragments.shared_windows(fragments.barred(facts["statements"]), key, 3, 60), key), key)
+    found = fragments.maximal(fragments.groups(fragments.shared_windows(fragments.barred(facts["statements"]), key, 3, 60), key, once=True), key)
     first = found.groupBy("group", "owners", "occurrences", "tokens").agg(F.min_by(F.struct(*key, F.col("first").alias("first"), (F.col("last") - F.col("first") + 1).alias("n")), F.struct(*key, "first")).alias("x"))
     rows = first.select("*", "x.*").withColumn("start_line", F.col("first"))
     kind = F.concat_ws(":", F.lit("structural-duplicate"), F.col("first").cast("string"), F.col("n").cast("string"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..runtime import cut, drop, ship
+from .references import among
 
 PARTS = "array<struct<category:string,text:string,symbol:string,type_key:string>>"
 #: Runs that a task holds before it hands them on.
@@ -130,7 +131,7 @@ class _List:
         return self.made[j]
 
 
-def _digests(ordinal: list[int], tokens: list[int], open_: list[bool], parts: _List, least: int, least_tokens: int, most: int | None) -> Iterator[tuple[int, int, int, str]]:
+def _digests(ordinal: list[int], tokens: list[int], open_: list[bool], parts: _List, least: int, least_tokens: int, most: int | None) -> Iterator[tuple[int, int, int, bytes]]:
     """(first, last, tokens, digest) of the runs of a list: a start's digest goes on from statement to statement."""
     n = len(ordinal)
     for i in range(n):
@@ -141,7 +142,7 @@ def _digests(ordinal: list[int], tokens: list[int], open_: list[bool], parts: _L
             digest.update(parts.form(j, parts.ends[i]))
             total += tokens[j]
             if j - i + 1 >= least and total >= least_tokens:
-                yield ordinal[i], ordinal[j], total, digest.hexdigest()
+                yield ordinal[i], ordinal[j], total, digest.digest()
 
 
 def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, least_tokens: int, most: int | None) -> Iterator[pa.RecordBatch]:
@@ -150,8 +151,8 @@ def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, leas
 
         def out() -> pa.RecordBatch:
             own = keys.take(pa.array(at, pa.int32()))  # noqa: B023
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]  # noqa: B023
-            return pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*key, "first", "last", "tokens", "group"])
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*key, "first", "last", "tokens", "digest"])
 
         lists = b["s"]
         s, offsets = lists.values, lists.offsets.to_pylist()
@@ -180,10 +181,15 @@ def _batches(batches: Iterator[pa.RecordBatch], key: list[str], least: int, leas
 
 
 def _runs(lists: DataFrame, key: list[str], least: int, least_tokens: int, most: int | None) -> DataFrame:
-    schema = StructType([lists.schema[k] for k in key]).add("first", "long").add("last", "long").add("tokens", "long").add("group", "string")
+    schema = StructType([lists.schema[k] for k in key]).add("first", "long").add("last", "long").add("tokens", "long").add("digest", "binary")
     return lists.mapInArrow(partial(_batches, key=key, least=least, least_tokens=least_tokens, most=most), schema)
 
 
+def _named(runs: DataFrame, key: list[str]) -> DataFrame:
+    """runs with group, the digest in hex; digests themselves are half as long and what is dealt."""
+    return runs.select(*key, "first", "last", "tokens", F.lower(F.hex("digest")).alias("group"))
+
+
 def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: int, most: int | None = None) -> DataFrame:
     """Every run of eligible neighbours with least statements and least_tokens tokens or more.
 
@@ -193,7 +199,7 @@ def windows(statements: DataFrame, owner: list[str], least: int, least_tokens: i
     """
     key = [*owner, "list_id"]
     ship(statements.sparkSession)
-    return _runs(_lists(statements, key), key, least, least_tokens, most)
+    return _named(_runs(_lists(statements, key), key, least, least_tokens, most), key)
 
 
 def shared_only(statements: DataFrame, owner: list[str], least: int = 3) -> DataFrame:
@@ -221,22 +227,31 @@ def shared_windows(statements: DataFrame, owner: list[str], least: int, least_to
     key = [*owner, "list_id"]
     ship(statements.sparkSession)
     lists = cut(_lists(statements, key))
-    small = cut(_runs(lists, key, least, 0, least))
+    # Eight bytes of a digest will do here: runs that only these make equal are told apart by the whole digest later.
+    short = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("short")
+    small = cut(_runs(lists, key, least, 0, least).select(*key, "first", short))
     who = F.struct(*owner)
-    many = small.groupBy("group").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
-    starts = small.join(many.select("group"), "group", "left_semi").groupBy(*key).agg(F.collect_set("first").alias("starts"))
-    l, r = lists.alias("l"), starts.alias("r")
+    many = small.groupBy("short").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
+    starts = cut(small.join(many.select("short"), "short", "left_semi").groupBy(*key).agg(F.collect_set("first").alias("starts")))
+    l, r = among(lists, starts, key).alias("l"), starts.alias("r")
     same = reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
     runs = cut(_runs(l.join(r, same).select("l.*", "r.starts"), key, least, least_tokens, None))
-    drop(small), drop(lists)
-    return runs
+    drop(small), drop(lists), drop(starts)
+    return _named(runs, key)
 
 
-def groups(runs: DataFrame, owner: list[str]) -> DataFrame:
-    """runs whose group two owners or more have, with owners and occurrences."""
-    marked = runs.dropDuplicates([*owner, "list_id", "first", "last"])
-    shared = marked.groupBy("group").agg(F.count_distinct(*[F.col(c) for c in owner]).alias("owners"), F.count(F.lit(1)).alias("occurrences")).where("owners > 1")
-    return marked.join(shared, "group")
+def groups(runs: DataFrame, owner: list[str], once: bool = False) -> DataFrame:
+    """runs whose group two owners or more have, with owners and occurrences; group is a digest in hex.
+
+    once tells that no run is there twice, as with those of shared_windows of two statements or more.
+    """
+    digest = F.unhex("group").alias("digest")
+    names = [c for c in runs.columns if c != "group"]
+    marked = (runs if once else runs.dropDuplicates([*owner, "list_id", "first", "last"])).select(*names, digest)
+    owned = marked.groupBy("digest", *owner).agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in owner])
+    shared = owned.groupBy("digest").agg(F.count(F.when(known, 1)).alias("owners"), F.sum("n").alias("occurrences")).where("owners > 1")
+    return marked.join(shared, "digest").select(F.lower(F.hex("digest")).alias("group"), *names, "owners", "occurrences")
 
 
 def maximal(grouped: DataFrame, owner: list[str]) -> DataFrame:
@@ -246,21 +261,32 @@ def maximal(grouped: DataFrame, owner: list[str]) -> DataFrame:
     Most are found by their neighbours: if each occurrence, longer by the statement before or the
     one after, is of one and the same group, all lie within that group. Only a group that comes
     twice or more in one list can lie in a larger one otherwise; occurrences of such groups alone
-    are compared with the runs around them.
+    are compared with the runs around them. Neighbours are met in windows, in which a run is dealt
+    once, and known by 64-bit hashes; what is kept is looked up by a bitmap before it is dealt.
     """
     key = [*owner, "list_id"]
-    g = cut(grouped.withColumn("length", F.col("last") - F.col("first") + 1))
-    left = g.select(*key, (F.col("first") + 1).alias("first"), "last", F.col("group").alias("before"))
-    right = g.select(*key, "first", (F.col("last") - 1).alias("last"), F.col("group").alias("after"))
-    around = g.join(left, [*key, "first", "last"], "left").join(right, [*key, "first", "last"], "left")
-    longer = around.select("group", "occurrences", F.explode(F.array_distinct(F.array_compact(F.array("before", "after")))).alias("longer"))
-    covered = longer.groupBy("group", "longer", "occurrences").agg(F.count(F.lit(1)).alias("n")).where("n = occurrences").select("group").distinct()
-    one = F.struct(*key)
-    facts = g.groupBy("group").agg((F.count_distinct(one) < F.count(F.lit(1))).alias("twice")).join(covered.withColumn("gone", F.lit(True)), "group", "left")
-    facts = cut(facts.withColumn("gone", F.coalesce("gone", F.lit(False))))
-    open_ = facts.where("not gone and twice").select("group")
-    small = g.join(open_, "group", "left_semi").select(*key, F.col("group").alias("inner"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("length").alias("n"), F.col("occurrences").alias("needed"))
-    inside = small.join(g.select(*key, "group", "first", "last", "length"), key).where("f >= first and l <= last and n < length")
-    covered = inside.groupBy("inner", "group", "needed").agg(F.count_distinct(*[F.col(c) for c in key], F.col("f"), F.col("l")).alias("covered"))
-    gone = covered.where("covered = needed").select(F.col("inner").alias("group")).unionByName(facts.where("gone").select("group")).distinct()
-    return grouped.join(gone, "group", "left_anti")
+    names = [c for c in grouped.columns if c != "group"]
+    dealt = grouped.select(*names, F.unhex("group").alias("digest")).repartition(*key)
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+    up, on = Window.partitionBy(*key, "last").orderBy("first"), Window.partitionBy(*key, "first").orderBy("last")
+    before = F.when(whole & (F.lag("first").over(up) == F.col("first") - 1), F.xxhash64(F.lag("digest").over(up)))
+    after = F.when(whole & (F.lead("last").over(on) == F.col("last") + 1), F.xxhash64(F.lead("digest").over(on)))
+    g = cut(dealt.withColumns({"_before": before}).withColumns({"_after": after}))
+    sides = [f(c).alias(f"{n}{c}") for c in ("_before", "_after") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    merged = [f(f"{n}{c}").alias(f"{n}{c}") for c in ("_before", "_after") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.sum))]
+    facts = g.groupBy("digest", *key).agg(F.first("occurrences").alias("occurrences"), F.count(F.lit(1)).alias("n"), *sides)
+    facts = facts.groupBy("digest").agg(F.first("occurrences").alias("occurrences"), (F.max("n") > 1).alias("twice"), *merged)
+    one = lambda c: F.coalesce((F.col(f"lo{c}") == F.col(f"hi{c}")) & (F.col(f"n{c}") == F.col("occurrences")), F.lit(False))
+    facts = cut(facts.select("digest", "twice", (one("_before") | one("_after")).alias("gone")))
+    # A group longer by a statement may follow some occurrences and precede others, in a list of equal statements.
+    twice = facts.where("not gone and twice").select("digest")
+    longer = among(g, twice, ["digest"]).select("digest", "occurrences", F.explode(F.array_distinct(F.array_compact(F.array("_before", "_after")))).alias("longer"))
+    covered = longer.groupBy("digest", "longer", "occurrences").agg(F.count(F.lit(1)).alias("n")).where("n = occurrences").select("digest")
+    open_ = cut(twice.join(covered, "digest", "left_anti"))
+    sized = g.select(*key, "digest", "first", "last", "occurrences", (F.col("last") - F.col("first") + 1).alias("length"))
+    small = cut(among(sized, open_, ["digest"]).join(open_, "digest").select(*key, F.col("digest").alias("inner"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("length").alias("n"), F.col("occurrences").alias("needed")))
+    inside = small.join(among(sized, small, key).drop("occurrences"), key).where("f >= first and l <= last and n < length")
+    covered = covered.unionByName(inside.groupBy("inner", "digest", "needed").agg(F.count_distinct(*[F.col(c) for c in key], F.col("f"), F.col("l")).alias("covered")).where("covered = needed").select(F.col("inner").alias("digest")))
+    kept = cut(facts.where("not gone").select("digest").join(covered, "digest", "left_anti"))
+    out = among(g, kept, ["digest"]).join(kept, "digest")
+    return out.select(F.lower(F.hex("digest")).alias("group"), *names).select(*grouped.columns)

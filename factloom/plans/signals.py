@@ -270,7 +270,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "form"))
     tokens = (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1).cast("long")
     statements = rows.select("doc_id", F.lit(0).alias("list_id"), (F.col("p") + 1).cast("long").alias("ordinal"), "form", tokens.alias("tokens"), (F.trim("form") != "").alias("eligible"))
-    return fragments.groups(fragments.shared_windows(statements, ["doc_id"], 3, 60), ["doc_id"])
+    return fragments.groups(fragments.shared_windows(statements, ["doc_id"], 3, 60), ["doc_id"], once=True)
 
 
 @query(f"WITH {_RUNS} SELECT grp, doc_id, first, last, tokens, owners, occurrences FROM g")
@@ -307,7 +307,7 @@ def fragments_renamed(spark: SparkSession, d: str) -> DataFrame:
     no = F.lit(False)
     statements = rows.select("doc_id", F.lit(0).alias("list_id"), (F.col("p") + 1).cast("long").alias("ordinal"), F.size(words).cast("long").alias("tokens"), (F.trim("line") != "").alias("eligible"), F.concat(begin, words).alias("parts"), no.alias("nested_executable"), no.alias("binding_barrier"))
     runs = fragments.shared_windows(fragments.barred(statements), ["doc_id"], 3, 40)
-    return fragments.groups(runs, ["doc_id"]).select("doc_id", *long("first", "last", "tokens", "owners", "occurrences"))
+    return fragments.groups(runs, ["doc_id"], once=True).select("doc_id", *long("first", "last", "tokens", "owners", "occurrences"))
 
 
 @query(f"""

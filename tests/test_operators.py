@@ -384,3 +384,20 @@ def test_odd_cells_tell_no_more_than_sets_differ():
 
         assert 0 < similarity._unlike(odd(a, 256), odd(b, 1024)) <= len(a ^ b)
         assert similarity._unlike(odd(a, 128), odd(a, 512)) == 0
+
+
+def test_fragment_runs_are_dealt_a_few_times(spark):
+    """Groups and the largest of them deal a run a few times, whatever comes of it; runs of an owner that isn't known stay."""
+    rng = random.Random(5)
+    page = [f"s{i}" for i in range(30)]
+    rows = [(o, 0, i, x, 30, True) for o in range(40) for i, x in enumerate([f"own{o}", *page[rng.randint(0, 3) :], "end"])]
+    rows += [(None, 0, i, x, 30, True) for i, x in enumerate(page[5:12])]
+    df = spark.createDataFrame(rows, "owner long, list_id int, ordinal long, form string, tokens long, eligible boolean").localCheckpoint()
+    found, runs = [], fragments.shared_windows(df, ["owner"], 3, 60)
+    made = runs.count()
+    rows = dealt(spark, lambda: found.extend(fragments.maximal(fragments.groups(runs, ["owner"], once=True), ["owner"]).collect()))
+    twice = fragments.groups(runs.unionAll(runs), ["owner"])
+    assert sorted(map(str, twice.collect())) == sorted(map(str, fragments.groups(runs, ["owner"], once=True).collect()))
+    # What an unknown owner has lies in no run: its groups stay, in all places.
+    assert {(r["first"], r["last"]) for r in found if r["owner"] is None} == {(i, j) for i in range(7) for j in range(i + 2, 7)}
+    assert rows < 7 * made
